@@ -137,7 +137,8 @@ def edges(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     The explodes and the broadcast join leave rows where their word is, so grouping needs no further shuffle."""
     at = words.withColumn("size", F.length("word")).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("size") - 2)))
     each = at.withColumn("l", F.explode(F.sequence(F.lit(2), F.least(F.lit(longest), F.col("size") - F.col("s")))))
-    found = each.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("l"))).join(F.broadcast(pieces), "piece")
+    part = each.withColumn("part", F.substring("word", F.col("s") + 1, F.col("l")))
+    found = part.join(F.broadcast(pieces.withColumn("key", F.xxhash64("piece"))), (F.xxhash64("part") == F.col("key")) & (F.col("part") == F.col("piece")))  # numbers are found faster than strings
     return found.groupBy("word").agg(F.first("n").alias("n"), F.collect_list(F.struct((-F.col("score")).alias("p"), "s", "l")).alias("edges"))
 
 
@@ -147,7 +148,7 @@ def _bpe() -> str:
     The edges ride in the accumulator, or they would be sorted anew for every step."""
     inner, ends = "shiftleft(1L, e.s + e.l) - shiftleft(1L, e.s + 1)", "shiftleft(1L, e.s) | shiftleft(1L, e.s + e.l)"
     masks = f"transform(array_sort(edges), e -> named_struct('inner', {inner}, 'ends', {ends}))"
-    hit = "filter(acc.m, m -> (acc.b & m.ends) = m.ends and (acc.b & m.inner) <> 0L and ((acc.b & m.inner) & ((acc.b & m.inner) - 1L)) = 0L)"
+    hit = "filter(acc.m, m -> ((acc.b & m.inner) & ((acc.b & m.inner) - 1L)) = 0L and (acc.b & m.ends) = m.ends and (acc.b & m.inner) <> 0L)"
     step = f"if(acc.b = acc.last, acc, named_struct('b', acc.b & ~coalesce(get({hit}, 0).inner, 0L), 'last', acc.b, 'm', acc.m))"
     return f"aggregate(sequence(1, length(word)), named_struct('b', shiftleft(1L, length(word) + 1) - 1L, 'last', 0L, 'm', {masks}), (acc, k) -> {step}, acc -> filter(sequence(0, length(word)), k -> (acc.b & shiftleft(1L, k)) <> 0L))"
 
@@ -209,8 +210,9 @@ def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     pieces = spark.createDataFrame([(p, s) for p, _, s in vocabulary.pieces if len(p) > 1], "piece string, score double")
     if vocabulary.kind == "bpe":
         grouped = edges(words, pieces, vocabulary.longest)
-        near = grouped.where(F.length("word") <= BITS).select("word", "n", F.expr(_bpe()).alias("bounds"))
-        return near.unionByName(_long(edges(words.where(F.length("word") > BITS), pieces, vocabulary.longest)))
+        short = F.length("word") <= BITS
+        folded = cut(grouped.select("word", "n", F.when(short, F.expr(_bpe())).alias("bounds"), F.when(~short, F.col("edges")).alias("edges")), "folded")
+        return folded.where("edges is null").select("word", "n", "bounds").unionByName(_long(folded.where("edges is not null").select("word", "n", "edges")))
     grouped = edges(words, pieces, vocabulary.longest)
     least = min((s for _, _, s in vocabulary.pieces), default=0.0) - 10.0
     singles = {p: s for p, _, s in vocabulary.pieces if len(p) == 1}
@@ -283,7 +285,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     own = own.select("doc_id", "text", id_order("doc_id").alias("k"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"))
-    table = cut(encode_words(count_words(own, vocabulary), vocabulary), "words")
+    table = encode_words(count_words(own, vocabulary), vocabulary)
+    table = table if vocabulary.kind == "bpe" else cut(table, "words")
     sent = spark.sparkContext.broadcast(_pack_hot(_frequent(table, hot_words), vocabulary))
     key, alone = f"{spark.sparkContext.applicationId}-{id(sent)}-{hashlib.md5(b''.join(sent.value)).hexdigest()}", vocabulary.alone()
 
