@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,8 +78,23 @@ def spread(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % n
 
 
-def hash_pair(a: str, b: str) -> Column:
-    return F.xxhash64(F.col(a), F.col(b))
+def squeezed(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with a string or binary column as zstandard frames, for texts that a shuffle moves; nulls stay."""
+    at = df.columns.index(column)
+    fields = [T.StructField(f.name, T.BinaryType() if f.name == column else f.dataType) for f in df.schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            got = pa.array([None if (raw := x.as_buffer()) is None else squeeze(raw) for x in batch.column(at)], pa.binary())
+            yield pa.RecordBatch.from_arrays([got if k == at else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    return df.mapInArrow(run, T.StructType(fields))
+
+
+def unsqueezed(x: pa.Scalar, tool: zstandard.ZstdDecompressor) -> bytes | None:
+    raw = x.as_buffer()
+    return None if raw is None else tool.decompress(raw)
 
 
 def local_components(u: np.ndarray, v: np.ndarray, n: int, labels: np.ndarray | None = None) -> np.ndarray:
@@ -131,10 +147,6 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
-def long_type() -> T.LongType:
-    return T.LongType()
-
-
 def default_tokenizer(name: str) -> str:
     """Path of a public vocabulary file: ``QUARTZITE_TOKENIZERS`` or the folder that the image offers."""
     return os.path.join(os.environ.get("QUARTZITE_TOKENIZERS", "/opt/tokenizers"), name)

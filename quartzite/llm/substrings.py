@@ -9,9 +9,9 @@ start to the last one's end, so phrases overlap by LENGTH - 1 bytes and each str
 one phrase, chosen by its own bytes alone.  Equal strings hence have equal triggers at equal places.
 
 Dictionary: equal phrases (two 64-bit hashes) are one entry, placed at its earliest occurrence; all others go whole.
-A trigger with a single phrase has no string that another phrase has too.  Where a trigger has several phrases, the
-dictionary's suffixes of LENGTH bytes at those phrases are ordered by a 128-bit fingerprint and all but the earliest
-of each go.  Order by fingerprint stands in for lexicographic order: its classes of equal strings are the same.
+A trigger with a single phrase has no string that another phrase has too.  Where a trigger has several phrases, short
+hashes of the bytes next to it bound how far two of them can agree; the dictionary's suffixes of LENGTH bytes that
+lie within that are ordered by a 128-bit fingerprint and all but the earliest of each go.  Order by fingerprint stands in for lexicographic order: its classes of equal strings are the same.
 
 Parts of the parse are combined before they move: of a phrase (or suffix) that a task meets often, only the earliest
 travels, so the rows of a hot phrase are bounded by the number of tasks' blocks.  A trigger that meets over ``HOT``
@@ -27,10 +27,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quartzite.llm.common import cut, id_order, read_table, shuffle_partitions, spread
+from quartzite.llm.common import cut, id_order, read_table, shuffle_partitions, spread, squeezed, unsqueezed
 
 LENGTH = 100
 GRAM = 32
@@ -39,7 +40,11 @@ HOT = 256
 BLOCK, PIECE = 1 << 18, 1 << 20
 #: Triggers, or suffixes, that a task combines before it passes them on.
 COMBINE = 1 << 20
+#: Suffixes go to so many buckets at least: a bucket is sorted in memory, and answers travel per document and bucket.
+SUFFIX_BUCKETS = 256
 _REACH = LENGTH - GRAM + 1
+#: Bytes next to a trigger that short hashes cover.
+LEVELS = (16, 32, 48)
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 _TABLE = _RANDOM.integers(0, 2**64, 256, np.uint64)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -53,14 +58,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _rolling(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of every 32 and every 64 bytes, by doubling."""
+def _rolling(raw: np.ndarray) -> list[np.ndarray]:
+    """Hashes of every 16, 32 and 64 bytes, by doubling."""
     h, base, out = _TABLE[raw], _BASE, []
     for width in (1, 2, 4, 8, 16, 32):
         h = h[:-width] * base + h[width:]
         base = np.uint64(int(base) * int(base) % 2**64)
-        out = [*out[-1:], h]
-    return out[0], out[1]
+        out = [*out[-2:], h]
+    return out
 
 
 def _least(rank: np.ndarray, width: int) -> np.ndarray:
@@ -73,12 +78,14 @@ def _least(rank: np.ndarray, width: int) -> np.ndarray:
 
 
 def parse(raw: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Trigger hash, phrase hash, first start and number of further starts of each phrase; bytes of equal owner belong
-    together."""
-    empty = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8))
+    """Each phrase's trigger hash, phrase hash, first start, number of further starts, distance from the first start to
+    the trigger, and short hashes of 16, 32 and 48 bytes before and after the trigger (0 where the phrase has fewer).
+
+    Bytes of equal owner belong together."""
+    empty = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(0, np.uint8), np.zeros((0, 6), np.uint8))
     if len(raw) < LENGTH:
         return empty
-    h32, h64 = _rolling(raw)
+    h16, h32, h64 = _rolling(raw)
     rank = _mix(h32) & ~np.uint64(0xFFFFFF) | (np.uint64(0xFFFFFF) - np.arange(len(h32), dtype=np.uint64))
     trigger = np.uint64(0xFFFFFF) - (_least(rank, _REACH) & np.uint64(0xFFFFFF))
     start = np.flatnonzero(owner[: len(trigger)] == owner[LENGTH - 1 :])
@@ -89,12 +96,21 @@ def parse(raw: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
     a, b, t = start[new], start[np.concatenate((new[1:], [len(start)])) - 1], trigger[new]
     end = b + LENGTH - 64
     ph = _mix(h64[a] * _MIX[0] + h64[np.minimum(a + 52, end)] * _MIX[3] + h64[end] * _MIX[4] + ((b - a) * 1024 + (t - a)).astype(np.uint64) * _MIX[1])
-    return _mix(h32[t] + _MIX[3]), ph, a, (b - a).astype(np.uint8)
+    before, after, sides = t - a, b + LENGTH - t - GRAM, []
+    for room, first, second, at in (
+        (before, h16, None, t - 16), (before, h32, None, t - 32), (before, h32, h16, t - 48),
+        (after, h16, None, t + GRAM), (after, h32, None, t + GRAM), (after, h32, h16, t + GRAM),
+    ):
+        x = first[np.clip(at, 0, len(first) - 1)]
+        if second is not None:
+            x = x + second[np.clip(at + 32, 0, len(second) - 1)] * _MIX[4]
+        sides.append(np.where(room >= LEVELS[len(sides) % 3], (_mix(x) >> np.uint64(56)) | np.uint64(1), np.uint64(0)).astype(np.uint8))
+    return _mix(h32[t] + _MIX[3]), ph, a, (b - a).astype(np.uint8), before.astype(np.uint8), np.stack(sides, axis=1)
 
 
 def suffix_keys(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """128-bit fingerprints of the LENGTH bytes from each place, as two columns."""
-    _, h64 = _rolling(raw)
+    h64 = _rolling(raw)[2]
     return np.stack([_mix(h64[at] * _MIX[0] + h64[at + LENGTH - 64]), _mix(h64[at] + h64[at + LENGTH - 64] * _MIX[4])], axis=1)
 
 
@@ -182,28 +198,47 @@ class _Docs:
 
 
 def _pack(types: tuple[str, ...], *cols: np.ndarray) -> bytes:
-    return np.uint32(len(cols[0])).tobytes() + b"".join(np.ascontiguousarray(c.astype(t)).tobytes() for c, t in zip(cols, types, strict=True))
+    return np.uint32(len(cols[0])).tobytes() + b"".join(np.ascontiguousarray(c.astype(np.dtype(t).base)).tobytes() for c, t in zip(cols, types, strict=True))
+
+
+def _unpack(raw, types: tuple[str, ...], at: int = 0) -> tuple[list[np.ndarray], int]:
+    n, out = int(np.frombuffer(raw, "<u4", 1, at)[0]), []
+    at += 4
+    for t in types:
+        kind = np.dtype(t)
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += n * kind.itemsize
+    return out, at
+
 
+def _pack_rows(types: tuple[str, ...], doc: np.ndarray, k: np.ndarray, th: np.ndarray, *cols: np.ndarray) -> bytes:
+    """A table of the documents that the rows are from, then the rows with the documents' numbers in it."""
+    docs, number = np.unique(doc, return_inverse=True)
+    return _pack(_DOC, k[docs], th[docs]) + _pack(("<u4", *types), number, *cols)
 
-def _unpack(pays: pa.ChunkedArray | list, types: tuple[str, ...]) -> list[np.ndarray]:
-    parts: list[list[np.ndarray]] = [[] for _ in types]
+
+def _unpack_rows(pays: pa.ChunkedArray, types: tuple[str, ...]) -> list[np.ndarray]:
+    """Ids, text hashes and columns of all payloads' rows."""
+    parts: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (*_DOC, *types)]
     for x in pays:
-        raw = x.as_buffer() if isinstance(x, pa.Scalar) else x
-        n, at = int(np.frombuffer(raw, "<u4", 1)[0]), 4
-        for j, t in enumerate(types):
-            parts[j].append(np.frombuffer(raw, t, n, at))
-            at += n * np.dtype(t).itemsize
-    return [np.concatenate(p) if p else np.zeros(0, t) for p, t in zip(parts, types, strict=True)]
+        raw = x.as_buffer()
+        (k, th), at = _unpack(raw, _DOC)
+        (number, *cols), _ = _unpack(raw, ("<u4", *types), at)
+        for part, c in zip(parts, (k[number], th[number], *cols), strict=True):
+            part.append(c)
+    return [np.concatenate(p) for p in parts]
 
 
-_TRIGGER = ("<u8", "<u8", "<i8", "<i8", "<u4", "u1")
-_SUFFIX = ("<u8", "<u8", "<i8", "<i8", "<u4")
+_DOC = ("<i8", "<i8")
+_TRIGGER = ("<u8", "<u8", "<u4", "u1", "u1", "(6,)u1")
+_SUFFIX = ("<u8", "<u8", "<u4")
 _PHRASE = ("<u4", "u1")
 
 
 def _spans_out(doc: np.ndarray, a: np.ndarray, b: np.ndarray, k: np.ndarray, th: np.ndarray, n: int) -> Iterator[tuple]:
+    to = spread(k.view(np.uint64), n)
     for d, flat in _intervals(doc, a, b):
-        yield int(th[d]) % n, 1, int(k[d]), int(th[d]), flat.astype("<u4").tobytes()
+        yield int(to[d]), 1, int(k[d]), int(th[d]), flat.astype("<u4").tobytes()
 
 
 def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -213,22 +248,24 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(bucket[part[0]]), part
 
 
-def _combine_triggers(kh, ph, doc, a, more, docs: _Docs, n: int) -> pa.RecordBatch:
+def _combine_triggers(kh, ph, doc, a, more, before, sides, docs: _Docs, n: int) -> pa.RecordBatch:
     k, th = docs.arrays()
-    order, group, later = _earliest([kh, ph], k[doc], a)
-    kh, ph, doc, a, more = (x[order] for x in (kh, ph, doc, a, more))
+    order, _, later = _earliest([kh, ph], k[doc], a)
+    kh, ph, doc, a, more, before, sides = (x[order] for x in (kh, ph, doc, a, more, before, sides))
     rows = list(_spans_out(doc[later], a[later], a[later] + more[later] + LENGTH, k, th, n))
-    kh, ph, doc, a, more = (x[~later] for x in (kh, ph, doc, a, more))
+    kh, ph, doc, a, more, before, sides = (x[~later] for x in (kh, ph, doc, a, more, before, sides))
     runs = np.flatnonzero(np.concatenate(([True], kh[1:] != kh[:-1])))
     size = np.diff(np.concatenate((runs, [len(kh)])))
     hot = np.repeat(size > HOT, size)
     bucket = spread(np.where(hot, kh ^ ph, kh), n)
     more = np.where(hot, more | _FLAG, more)
-    marks = kh[runs[size > HOT]]
-    zero = np.zeros(len(marks), np.int64)
-    kh, ph, doc, a, more, bucket = (np.concatenate(x) for x in ((kh, marks), (ph, zero.astype(np.uint64)), (doc, zero), (a, zero), (more, np.full(len(marks), _MARK)), (bucket, spread(marks, n))))
-    for to, own in _by_bucket(bucket):
-        rows.append((to, 0, 0, 0, _pack(_TRIGGER, kh[own], ph[own], k[doc[own]], th[doc[own]], a[own], more[own])))
+    marks = runs[size > HOT]
+    own = np.concatenate((np.arange(len(kh)), marks))
+    more = np.concatenate((more, np.full(len(marks), _MARK)))
+    bucket = np.concatenate((bucket, spread(kh[marks], n)))
+    for to, at in _by_bucket(bucket):
+        x = own[at]
+        rows.append((to, 0, 0, 0, _pack_rows(_TRIGGER, doc[x], k, th, kh[x], ph[x], a[x], more[at], before[x], sides[x])))
     return _rows(rows)
 
 
@@ -238,9 +275,9 @@ def _find_triggers(n: int):
 
         def parsed(block) -> int:
             raw, owner, doc, shift = block
-            kh, ph, a, more = parse(raw, owner)
+            kh, ph, a, more, before, sides = parse(raw, owner)
             piece = owner[a]
-            found.append((kh, ph, doc[piece], a + shift[piece], more.astype(np.int64)))
+            found.append((kh, ph, doc[piece], a + shift[piece], more.astype(np.int64), before, sides))
             return len(kh)
 
         for batch in batches:
@@ -265,27 +302,57 @@ def _emit(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_batches([_rows(rows)])
 
 
+def _shared(run: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Whether another row of the same run has the value; 0 is no value."""
+    order = np.lexsort((value, run))
+    r, v = run[order], value[order]
+    same = np.concatenate(([False], (r[1:] == r[:-1]) & (v[1:] == v[:-1]) & (v[1:] > 0), [False]))
+    out = np.zeros(len(run), bool)
+    out[order] = same[1:] | same[:-1]
+    return out
+
+
+def _reach(run: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Most bytes that each phrase can have in common, before and after the trigger, with another of its run."""
+    out = []
+    for side in (0, 3):
+        most = np.full(len(run), LEVELS[0] - 1)
+        for j, upto in enumerate((*(x - 1 for x in LEVELS[1:]), LENGTH - GRAM)):
+            most = np.where((most >= LEVELS[j] - 1) & _shared(run, sides[:, side + j]), upto, most)
+        out.append(most)
+    return out[0], out[1]
+
+
 def _settle_triggers(table: pa.Table) -> pa.Table:
-    """Kind 1: spans that go.  Kind 2: dictionary phrases that share their trigger with others."""
+    """Kind 1: spans that go.  Kind 2: parts of dictionary phrases that others with their trigger may share."""
     kind = table.column("kind").to_numpy()
     rows = [(0, 1, *r) for r in zip(*(table.filter(pa.array(kind == 1)).column(c).to_pylist() for c in ("k", "th", "pay")), strict=True)]
-    kh, ph, k, th, a, more = _unpack(table.filter(pa.array(kind == 0)).column("pay"), _TRIGGER)
+    k, th, kh, ph, a, more, before, sides = _unpack_rows(table.filter(pa.array(kind == 0)).column("pay"), _TRIGGER)
     if len(kh):
         a = a.astype(np.int64)
         order, group, later = _earliest([kh, ph], k, a)
-        kh, ph, k, th, a, more = (x[order] for x in (kh, ph, k, th, a, more))
-        mark = more == _MARK
+        kh, ph, k, th, a, more, before, sides = (x[order] for x in (kh, ph, k, th, a, more, before, sides))
+        mark, flag = more == _MARK, more >= _FLAG
         run = np.cumsum(np.concatenate(([True], kh[1:] != kh[:-1]))) - 1
         phrases = np.bincount(run, np.concatenate(([True], group[1:] != group[:-1])))
-        ask = ((phrases[run] > 1) | (more >= _FLAG)) & ~mark & ~later
-        later &= ~mark
+        marked = np.bincount(run, mark) > 0
         length = (more & (_FLAG - 1)).astype(np.int64)
-        for kind_, own in ((1, np.flatnonzero(later)), (2, np.flatnonzero(ask))):
-            by = own[np.lexsort((a[own], th[own], k[own]))]
-            for part in np.split(by, np.flatnonzero((np.diff(k[by]) != 0) | (np.diff(th[by]) != 0)) + 1):
+        gone = np.flatnonzero(later & ~mark)
+        every = flag | marked[run]  # phrases of a trigger that was dealt by phrase: all their strings
+        ask = np.flatnonzero(((phrases[run] > 1) | every) & ~mark & ~later)
+        left, right = _reach(run[ask], sides[ask])
+        left, right = (np.where(every[ask], LENGTH - GRAM, x) for x in (left, right))
+        t = a[ask] + before[ask]
+        low, high = np.maximum(a[ask], t - left), np.minimum(a[ask] + length[ask], t - (LENGTH - GRAM - right))
+        some = low <= high
+        asked = (ask[some], low[some], high[some] - low[some])
+        for kind_, (own, at, size) in ((1, (gone, a[gone], length[gone])), (2, asked)):
+            by = np.lexsort((at, th[own], k[own]))
+            own, at, size = own[by], at[by], size[by]
+            for part in np.split(np.arange(len(own)), np.flatnonzero((np.diff(k[own]) != 0) | (np.diff(th[own]) != 0)) + 1):
                 if len(part):
-                    pay = merge(a[part], a[part] + length[part] + LENGTH).astype("<u4").tobytes() if kind_ == 1 else _pack(_PHRASE, a[part], length[part])
-                    rows.append((0, kind_, int(k[part[0]]), int(th[part[0]]), pay))
+                    pay = merge(at[part], at[part] + size[part] + LENGTH).astype("<u4").tobytes() if kind_ == 1 else _pack(_PHRASE, at[part], size[part])
+                    rows.append((0, kind_, int(k[own[part[0]]]), int(th[own[part[0]]]), pay))
     return _emit(rows)
 
 
@@ -296,17 +363,18 @@ def _combine_suffixes(key, doc, s, docs: _Docs, n: int) -> pa.RecordBatch:
     rows = list(_spans_out(doc[later], s[later], s[later] + LENGTH, k, th, n))
     key, doc, s = key[~later], doc[~later], s[~later]
     for to, own in _by_bucket(spread(key[:, 0], n)):
-        rows.append((to, 0, 0, 0, _pack(_SUFFIX, key[own, 0], key[own, 1], k[doc[own]], th[doc[own]], s[own])))
+        rows.append((to, 0, 0, 0, _pack_rows(_SUFFIX, doc[own], k, th, key[own, 0], key[own, 1], s[own])))
     return _rows(rows)
 
 
 def _find_suffixes(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         docs, found, size = _Docs(), [], 0
+        tool = zstandard.ZstdDecompressor()
         for batch in batches:
             for k, th, x, pays in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                raw = np.frombuffer(x.as_buffer(), np.uint8)
-                a, more = _unpack([p.as_buffer() for p in pays.values], _PHRASE)
+                raw = np.frombuffer(unsqueezed(x, tool), np.uint8)
+                a, more = (np.concatenate(c) for c in zip(*(_unpack(p.as_buffer(), _PHRASE)[0] for p in pays.values), strict=True))
                 span = more.astype(np.int64) + 1
                 starts = np.unique(np.repeat(a.astype(np.int64), span) + np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span))
                 doc = docs.add(k, th)
@@ -327,7 +395,7 @@ def _find_suffixes(n: int):
 def _settle_suffixes(table: pa.Table) -> pa.Table:
     kind = table.column("kind").to_numpy()
     rows = [(0, 1, *r) for r in zip(*(table.filter(pa.array(kind == 1)).column(c).to_pylist() for c in ("k", "th", "pay")), strict=True)]
-    hi, lo, k, th, s = _unpack(table.filter(pa.array(kind == 0)).column("pay"), _SUFFIX)
+    k, th, hi, lo, s = _unpack_rows(table.filter(pa.array(kind == 0)).column("pay"), _SUFFIX)
     if len(hi):
         s = s.astype(np.int64)
         order, _, later = _earliest([hi, lo], k, s)
@@ -342,10 +410,11 @@ def _settle_suffixes(table: pa.Table) -> pa.Table:
 def spans(docs: DataFrame) -> DataFrame:
     """``(k, th, pays)``: for each document of ``docs (k, th, text binary)`` arrays of starts and ends that go."""
     n = shuffle_partitions(docs.sparkSession)
+    parts = max(SUFFIX_BUCKETS, n)
     first = cut(docs.mapInArrow(_find_triggers(n), _OUT).groupBy("bucket").applyInArrow(_settle_triggers, _OUT).where("kind > 0"), "phrases")
     ask = first.where("kind = 2").groupBy(F.col("k").alias("k2"), F.col("th").alias("th2")).agg(F.collect_list("pay").alias("pays"))
-    held = docs.join(ask, (F.col("k") == F.col("k2")) & (F.col("th") == F.col("th2"))).select("k", "th", "text", "pays")
-    second = held.mapInArrow(_find_suffixes(n), _OUT).groupBy("bucket").applyInArrow(_settle_suffixes, _OUT)
+    held = squeezed(docs.select("k", "th", "text"), "text").join(ask, (F.col("k") == F.col("k2")) & (F.col("th") == F.col("th2"))).select("k", "th", "text", "pays")
+    second = held.mapInArrow(_find_suffixes(parts), _OUT).groupBy("bucket").applyInArrow(_settle_suffixes, _OUT)
     return first.where("kind = 1").select("k", "th", "pay").unionByName(second.select("k", "th", "pay")).groupBy("k", "th").agg(F.collect_list("pay").alias("pays"))
 
 
@@ -366,11 +435,12 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     own = own.select("doc_id", id_order("doc_id").alias("k"), F.xxhash64("text").alias("th"), "text")
     gone = spans(own.select("k", "th", "text")).select(F.col("k").alias("k2"), F.col("th").alias("th2"), "pays")
-    joined = own.join(gone, (F.col("k") == F.col("k2")) & (F.col("th") == F.col("th2")), "left").select("doc_id", "text", "pays")
+    joined = squeezed(own, "text").join(gone, (F.col("k") == F.col("k2")) & (F.col("th") == F.col("th2")), "left").select("doc_id", "text", "pays")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        tool = zstandard.ZstdDecompressor()
         for batch in batches:
-            got = [(raw := x.as_py(), keep(raw, p.as_py())) for x, p in zip(batch.column(1), batch.column(2), strict=True)]
+            got = [(raw := unsqueezed(x, tool), keep(raw, p.as_py())) for x, p in zip(batch.column(1), batch.column(2), strict=True)]
             cols = [pa.array([len(r) for r, _ in got], pa.int64()), pa.array([g[1] for _, g in got], pa.int64()), pa.array([g[2] for _, g in got], pa.int64()), pa.array([g[0] for _, g in got], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
