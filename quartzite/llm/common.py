@@ -21,6 +21,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Where a null id is compared with others it counts as this, so null ids come first.
 NULL_ID = -(2**63)
 
+#: Rows of a batch that goes to a Python worker.
+ROWS_PER_BATCH = 2048
+
 _LOCAL: dict[str, str] = {}
 
 
@@ -53,6 +56,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts may be long, and a Python worker holds two Arrow batches at once: so few rows a batch, unless the session
+    sets its own number."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, None) in (None, "10000"):
+        spark.conf.set(name, str(ROWS_PER_BATCH))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -70,6 +81,7 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(table_path(sf_dir, name))
 
 

@@ -6,6 +6,10 @@ against licence templates by the Dice coefficient of their sets of word bigrams.
 threshold t with a template of b only if b t / (2 - t) <= a <= b (2 - t) / t, so each template is listed under the
 sizes it allows and units are joined with that list by size; other templates are never looked at.
 
+Before that, units that cannot match are passed over by words: at the threshold t a unit holds t / (2 - t) of a
+template's bigrams at least, so words that lie in more than the rest of them are words of which it holds one.  Each
+template has a set of such words, first those that serve smaller templates already, then its longest, and texts and units without any of these words match nothing.
+
 Templates are few and fixed; with the default ones the list has under two thousand rows, and a larger set of
 templates is refused above ``MAX_LISTED`` rows, so that the broadcast has a proven bound.
 
@@ -17,7 +21,10 @@ document of their own.  Two templates that are equally near are both reported.
 from __future__ import annotations
 
 import math
+import operator
 import re
+from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +91,23 @@ def template_rows(templates: dict[str, list[str]] | None = None) -> list[tuple[s
     return out
 
 
+def keywords(rows: list[tuple[str, list[str]]], least: float = DICE) -> list[str]:
+    """Words of which every unit that reaches a template holds one."""
+    out: set[str] = set()
+    common = Counter(w for _, pairs in rows for w in {w for p in pairs for w in p.split()})
+    for _, pairs in sorted(rows, key=lambda r: (len(r[1]), r)):
+        spare = len(pairs) * (1 - least / (2 - least)) + 1e-9  # so many bigrams may be missing
+        own, covered = set(), 0
+        for word in sorted({w for p in pairs for w in p.split()}, key=lambda w: (w not in out or len(w) < 4, -len(w), common[w], w)):
+            if covered > spare:
+                break
+            own.add(word)
+            covered = sum(any(w in own for w in p.split()) for p in pairs)
+        out |= own
+    # A word that holds another is found with it.
+    return sorted(w for w in out if not any(o != w and o in w for o in out))
+
+
 def _allowed(b: int, least: float) -> range:
     """Sizes with which b bigrams can reach the threshold."""
     return range(math.ceil(b * least / (2 - least) - 1e-9), math.floor(b * (2 - least) / least + 1e-9) + 1)
@@ -111,9 +135,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     listed = [(a, name, pairs) for name, pairs in template_rows(templates) for a in _allowed(len(pairs), least)]
     if len(listed) > MAX_LISTED:
         raise ValueError(f"the templates list {len(listed)} sizes; {MAX_LISTED} is the bound for a broadcast")
+    needed = keywords(template_rows(templates), least)
+    holds = lambda text: reduce(operator.or_, (F.contains(text, F.lit(w)) for w in needed))  # noqa: E731  far cheaper than one pattern of alternatives
     small = spark.createDataFrame([(a, name, pairs) for a, name, pairs in listed], "size int, licence string, pairs array<string>")
-    each = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.explode(units(F.col(text_col))).alias("unit"))
-    own = each.select("doc_id", "unit", bigrams(F.col("unit")).alias("own")).where("own is not null").select("doc_id", "unit", "own", F.size("own").alias("size"))
+    each = docs.where(holds(F.lower(F.col(text_col)))).select(F.col(id_col).cast("long").alias("doc_id"), F.explode(units(F.col(text_col))).alias("unit"))
+    own = each.where(holds(F.col("unit"))).select("doc_id", "unit", bigrams(F.col("unit")).alias("own")).where("own is not null").select("doc_id", "unit", "own", F.size("own").alias("size"))
     near = own.join(F.broadcast(small), "size").withColumn("dice", F.lit(2.0) * F.size(F.array_intersect("own", "pairs")) / (F.size("own") + F.size("pairs")))
     return near.where(F.col("dice") >= least).groupBy("doc_id", "licence").agg(F.max("dice").alias("dice"), F.countDistinct("unit").alias("n_units"))
 

@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
-A text is one dummy space and the text, spaces written as U+2581; no piece continues after a letter with U+2581, so
-words (a run of U+2581 and what follows up to the next) are encoded on their own, and each distinct word of the
-corpus once.  Substrings of two characters up to the longest piece are exploded and equi-joined to the piece table
+A text is one dummy space and the text (the library writes spaces as U+2581, here they stay spaces).  Words are cut
+where no piece of the vocabulary goes on: before spaces, and between punctuation and other characters as far as the
+vocabulary allows.  So they are encoded on their own, and each distinct word of the corpus once.  Substrings of two characters up to the longest piece are exploded and equi-joined to the piece table
 (fixed in size, so broadcast), the edges are grouped by word, and a higher-order ``aggregate`` folds them.
 
 The fold follows the vocabulary's kind.  ``unigram``: Viterbi, the path with the greatest sum of scores, over the
@@ -26,28 +26,31 @@ import hashlib
 import heapq
 import math
 import re
+import string
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quartzite.llm.common import cut, default_tokenizer, id_order, read_table
+from quartzite.llm.common import cut, default_tokenizer, id_order, read_table, squeezed, unsqueezed
 
 SPACE = "▁"
-HOT_WORDS = 1_000_000
+HOT_WORDS = 300_000
 #: Distinct words that a task counts before it passes them on.
-COUNTED = 1 << 20
+COUNTED = 1 << 18
 BITS = 60
 MODEL = "piece_bpe_32k.model"
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Pieces with their ids and scores; ``raw`` has the ids of the 256 bytes, or is empty."""
+    """Pieces (with spaces for U+2581), their ids and scores; ``raw`` has the ids of the 256 bytes, or is empty."""
 
     pieces: tuple[tuple[str, int, float], ...]
     raw: tuple[int, ...] = ()
@@ -57,16 +60,38 @@ class Vocabulary:
 
     def __post_init__(self):
         self.ids.update({p: k for p, k, _ in self.pieces})
-        if any(SPACE in p.lstrip(SPACE) for p in self.ids):
+        if any(" " in p.lstrip(" ") for p in self.ids):
             raise ValueError("a piece goes on into the next word, so words cannot be encoded on their own")
 
     @property
     def longest(self) -> int:
         return max(map(len, self.ids), default=1)
 
-    def alone(self) -> str:
-        """White-space characters that no longer piece holds; they end words."""
-        return "".join(c for c in "\n\t\r" if not any(c in p and len(p) > 1 for p in self.ids))
+    def pattern(self) -> str:
+        """Words: spaces and then marks, or spaces and then other characters, or white space that pieces hold alone.
+
+        Characters that are next to each other in a piece (a space before one aside) belong together, and so do those
+        that further characters tie to each other.  Marks are those that are so tied to punctuation and to no letter;
+        no piece goes on from a mark to another character, or back."""
+        tied: dict[str, set[str]] = {}
+        for p in self.ids:
+            for x, y in zip(p, p[1:], strict=False):
+                if x != " ":
+                    tied.setdefault(x, set()).add(y)
+                    tied.setdefault(y, set()).add(x)
+
+        def reach(start: Iterable[str]) -> set[str]:
+            seen, todo = set(), list(start)
+            while todo:
+                if (x := todo.pop()) not in seen:
+                    seen.add(x)
+                    todo += tied.get(x, ())
+            return seen
+
+        marks = reach(set(string.punctuation) - reach(string.ascii_letters + string.digits))
+        alone = "".join(c for c in "\n\t\r" if c not in tied and c not in marks)
+        inside, end = re.escape("".join(sorted(marks))), re.escape(" " + alone)
+        return "|".join([f" *[{inside}]+"] * bool(marks) + [f" *[^{inside}{end}]+", " +"] + [f"[{re.escape(alone)}]"] * bool(alone))
 
     def part(self, text: str) -> list[int]:
         got = self.ids.get(text)
@@ -83,7 +108,7 @@ class Vocabulary:
         """The bytes of every id."""
         out = [b""] * (max([*self.ids.values(), *self.raw, self.unknown]) + 1)
         for p, k in self.ids.items():
-            out[k] = p.replace(SPACE, " ").encode()
+            out[k] = p.encode()
         for b, k in enumerate(self.raw):
             out[k] = bytes([b])
         return out
@@ -95,29 +120,27 @@ def load(path: str | None = None) -> Vocabulary:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path or default_tokenizer(MODEL))
     every = range(sp.get_piece_size())
-    plain = tuple((sp.id_to_piece(k), k, float(sp.get_score(k))) for k in every if not (sp.is_byte(k) or sp.is_control(k) or sp.is_unknown(k) or sp.is_unused(k)))
+    plain = tuple((sp.id_to_piece(k).replace(SPACE, " "), k, float(sp.get_score(k))) for k in every if not (sp.is_byte(k) or sp.is_control(k) or sp.is_unknown(k) or sp.is_unused(k)))
     raw = tuple(k for k in every if sp.is_byte(k))
     return Vocabulary(plain, raw if len(raw) == 256 else (), sp.unk_id())
 
 
-def _cutter(alone: str):
-    end = re.escape(SPACE + alone)
-    pattern = f"{SPACE}*[^{end}]+|{SPACE}+" + (f"|[{re.escape(alone)}]" if alone else "")
+def _cutter(pattern: str):
     find = re.compile(pattern).findall
-    return lambda text: find(SPACE + text.replace(" ", SPACE)) if text else []
+    return lambda text: find(" " + (text.replace(SPACE, " ") if SPACE in text else text)) if text else []
 
 
 def count_words(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``(word, n)``: words of two characters or more, summed on the tasks before they move."""
-    alone = vocabulary.alone()
+    pattern = vocabulary.pattern()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        words, seen = _cutter(alone), Counter()
+        words, seen = _cutter(pattern), Counter()
 
         def out() -> Iterator[pa.RecordBatch]:
-            own = [(w, n) for w, n in seen.items() if len(w) > 1]
-            for at in range(0, len(own), 1 << 16):
-                w, n = zip(*own[at : at + (1 << 16)], strict=True)
+            items = ((w, n) for w, n in seen.items() if len(w) > 1)
+            while own := list(islice(items, 1 << 15)):
+                w, n = zip(*own, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(n, pa.int64())], names=["word", "n"])
             seen.clear()
 
@@ -262,16 +285,14 @@ def _hot_ids(key: str, parts: list[bytes]) -> dict[str, bytes]:
     return _HOT[key]
 
 
-def _ids_column(vocabulary: Vocabulary, words: list[str], bounds: list[list[int] | None]) -> pa.Array:
-    return pa.array([np.array(vocabulary.word_ids(w, b), "<u4").tobytes() for w, b in zip(words, bounds, strict=True)], pa.binary())
-
-
 def _pack_hot(table: DataFrame, vocabulary: Vocabulary) -> list[bytes]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        decodes = vocabulary.table()
         for batch in batches:
-            if batch.num_rows:
-                words = batch.column(0)
-                own = pa.table({"word": words, "ids": _ids_column(vocabulary, words.to_pylist(), batch.column(1).to_pylist())})
+            every = [(w, vocabulary.word_ids(w, b)) for w, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            # Words that do not decode to themselves (unknown pieces) stay with the others, where that is told.
+            if good := [(w, np.array(x, "<u4").tobytes()) for w, x in every if decode(x, decodes) == w]:
+                own = pa.table({"word": pa.array([w for w, _ in good], pa.string()), "ids": pa.array([x for _, x in good], pa.binary())})
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                     out.write_table(own)
@@ -280,75 +301,71 @@ def _pack_hot(table: DataFrame, vocabulary: Vocabulary) -> list[bytes]:
     return [bytes(r[0]) for r in table.select("word", "bounds").mapInArrow(run, "part binary").collect()]
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", hot_words: int = HOT_WORDS) -> DataFrame:
-    """``(doc_id, text, ids binary)`` of every row; ids are little-endian 32-bit numbers."""
+def encoded(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, hot_words: int = HOT_WORDS) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, round_trip)`` of every row, and ``ids array<int>`` on request.
+
+    ids_sha256 is the hash of the ids as little-endian 32-bit numbers.  round_trip tells that decoding them gives the
+    text, U+2581 taken for a space: pieces decode one by one, so it holds if every word's ids give the word and the
+    words give the text."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     own = own.select("doc_id", "text", id_order("doc_id").alias("k"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"))
     table = encode_words(count_words(own, vocabulary), vocabulary)
     table = table if vocabulary.kind == "bpe" else cut(table, "words")
     sent = spark.sparkContext.broadcast(_pack_hot(_frequent(table, hot_words), vocabulary))
-    key, alone = f"{spark.sparkContext.applicationId}-{id(sent)}-{hashlib.md5(b''.join(sent.value)).hexdigest()}", vocabulary.alone()
+    key, pattern = f"{spark.sparkContext.applicationId}-{hashlib.md5(b''.join(sent.value)).hexdigest()}", vocabulary.pattern()
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        hot, words = _hot_ids(key, sent.value), _cutter(alone)
+        hot, words = _hot_ids(key, sent.value), _cutter(pattern)
+        schema = pa.schema([("k2", pa.int64()), ("th2", pa.int64()), ("word", pa.string())])
         for batch in batches:
-            rows = [(k, th, w) for k, th, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True) for w in {w for w in words(x.as_py()) if len(w) > 1 and w not in hot}]
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string()), strict=True)], names=["k2", "th2", "word"])
+            ks, ths, ws = [], [], []
+            for k, th, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                new = [w for w in set(words(x.as_py())).difference(hot) if len(w) > 1]
+                ks += [k] * len(new)
+                ths += [th] * len(new)
+                ws += new
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((ks, ths, ws), schema, strict=True)], schema=schema)
 
     pairs = own.select("k", "th", "text").mapInArrow(rest, "k2 long, th2 long, word string")
     named = pairs.join(table.select("word", "bounds"), "word").groupBy("k2", "th2").agg(F.collect_set(F.struct("word", "bounds")).alias("rare"))
-    joined = own.join(named, (F.col("k") == F.col("k2")) & (F.col("th") == F.col("th2")), "left").select("doc_id", "text", "rare")
+    joined = squeezed(own, "text").join(named, (F.col("k") == F.col("k2")) & (F.col("th") == F.col("th2")), "left").select("doc_id", "text", "rare")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        hot, words = _hot_ids(key, sent.value), _cutter(alone)
-        single: dict[str, bytes] = {}
-
-        def other(w: str, rare: dict) -> bytes:
-            if len(w) == 1:
-                if w not in single:
-                    single[w] = np.array(vocabulary.part(w), "<u4").tobytes()
-                return single[w]
-            return np.array(vocabulary.word_ids(w, rare.get(w)), "<u4").tobytes()
-
-        for batch in batches:
-            out = []
-            for x, r in zip(batch.column(1), batch.column(2), strict=True):
-                rare = {e["word"]: e["bounds"] for e in r.as_py() or ()}
-                out.append(b"".join([hot.get(w) or other(w, rare) for w in words(x.as_py())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "text", "ids"])
-
-    return joined.mapInArrow(run, "doc_id long, text string, ids binary")
+        hot, words, tool = _hot_ids(key, sent.value), _cutter(pattern), zstandard.ZstdDecompressor()
+        decodes = vocabulary.table()
 
+        def ids_of(word: str, bounds: list[int] | None) -> bytes:
+            own = vocabulary.word_ids(word, bounds)
+            if decode(own, decodes) != word:
+                broken.append(word)
+            return np.array(own, "<u4").tobytes()
 
-def decode(ids: np.ndarray, table: list[bytes]) -> str:
-    return b"".join([table[k] for k in ids.tolist()]).decode("utf-8", "replace")[1:]
-
-
-def encoded(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, hot_words: int = HOT_WORDS) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, round_trip)`` of every row, and ``ids array<int>`` on request.
-
-    ids_sha256 is the hash of the ids as little-endian 32-bit numbers; round_trip tells that decoding them gives the
-    text, U+2581 taken for a space."""
-    extra = [("ids", pa.list_(pa.int32()))] if with_ids else []
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        table = vocabulary.table()
         for batch in batches:
             n, sha, same, ids = [], [], [], []
-            for x, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                own = np.frombuffer(raw, "<u4")
-                n.append(len(own))
-                sha.append(hashlib.sha256(raw).hexdigest())
-                same.append(decode(own, table) == (x or "").replace(SPACE, " "))
+            for x, r in zip(batch.column(1), batch.column(2), strict=True):
+                raw = unsqueezed(x, tool)
+                text, broken = "" if raw is None else raw.decode(), []
+                own = words(text)
+                rare = {e["word"]: ids_of(e["word"], e["bounds"]) for e in r.as_py() or ()}
+                for w in set(own).difference(hot, rare):  # no piece of two characters lies in them
+                    rare[w] = ids_of(w, None)
+                out = b"".join([hot.get(w) or rare[w] for w in own])
+                n.append(len(out) // 4)
+                sha.append(hashlib.sha256(out).hexdigest())
+                same.append(not broken and "".join(own)[1:] == text.replace(SPACE, " "))
                 if with_ids:
-                    ids.append(own.astype(np.int32))
+                    ids.append(np.frombuffer(out, "<i4"))
             cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_()), *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "round_trip", *(e[0] for e in extra)])
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "round_trip", *["ids"] * with_ids])
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids
+    return joined.mapInArrow(run, schema)
+
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean" + (", ids array<int>" if with_ids else "")
-    return encode(docs, vocabulary, id_col, text_col, hot_words).mapInArrow(run, schema)
+def decode(ids: Iterable[int], table: list[bytes]) -> str:
+    """The text of ids, dummy space included; ``table`` is the vocabulary's."""
+    return b"".join([table[k] for k in ids]).decode("utf-8", "replace")
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
