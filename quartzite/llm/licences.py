@@ -136,9 +136,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     if len(listed) > MAX_LISTED:
         raise ValueError(f"the templates list {len(listed)} sizes; {MAX_LISTED} is the bound for a broadcast")
     needed = keywords(template_rows(templates), least)
-    holds = lambda text: reduce(operator.or_, (F.contains(text, F.lit(w)) for w in needed))  # noqa: E731  far cheaper than one pattern of alternatives
+    # The text is bound once, as a lambda's variable: a filter would put it to lower case for every word.
+    holds = lambda text: F.exists(F.array(text), lambda t: reduce(operator.or_, (F.contains(t, F.lit(w)) for w in needed)))
     small = spark.createDataFrame([(a, name, pairs) for a, name, pairs in listed], "size int, licence string, pairs array<string>")
-    each = docs.where(holds(F.lower(F.col(text_col)))).select(F.col(id_col).cast("long").alias("doc_id"), F.explode(units(F.col(text_col))).alias("unit"))
+    each = docs.where(holds(F.lower(F.col(text_col)))).select(F.col(id_col).cast("long").alias("doc_id"), F.explode_outer(units(F.col(text_col))).alias("unit"))  # explode would have the units worked out in a filter first
     own = each.where(holds(F.col("unit"))).select("doc_id", "unit", bigrams(F.col("unit")).alias("own")).where("own is not null").select("doc_id", "unit", "own", F.size("own").alias("size"))
     near = own.join(F.broadcast(small), "size").withColumn("dice", F.lit(2.0) * F.size(F.array_intersect("own", "pairs")) / (F.size("own") + F.size("pairs")))
     return near.where(F.col("dice") >= least).groupBy("doc_id", "licence").agg(F.max("dice").alias("dice"), F.countDistinct("unit").alias("n_units"))

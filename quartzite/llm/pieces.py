@@ -43,7 +43,7 @@ from quartzite.llm.common import cut, default_tokenizer, id_order, read_table, s
 SPACE = "▁"
 HOT_WORDS = 300_000
 #: Distinct words that a task counts before it passes them on.
-COUNTED = 1 << 18
+COUNTED = 1 << 17
 BITS = 60
 MODEL = "piece_bpe_32k.model"
 
@@ -99,7 +99,9 @@ class Vocabulary:
             return [got]
         return [x for c in text for x in ([self.ids[c]] if c in self.ids else [self.raw[b] for b in c.encode()] if self.raw else [self.unknown])]
 
-    def word_ids(self, word: str, bounds: list[int] | None) -> list[int]:
+    def word_ids(self, word: str, bits: int | None, bounds: list[int] | None) -> list[int]:
+        if bits:
+            bounds = [k for k in range(len(word) + 1) if bits >> k & 1]
         if not bounds:
             return [x for c in word for x in self.part(c)]
         return [x for a, b in zip(bounds, bounds[1:], strict=False) for x in self.part(word[a:b])]
@@ -135,6 +137,7 @@ def count_words(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     pattern = vocabulary.pattern()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        _HOT.clear()  # of an earlier corpus
         words, seen = _cutter(pattern), Counter()
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -173,7 +176,7 @@ def _bpe() -> str:
     masks = f"transform(array_sort(edges), e -> named_struct('inner', {inner}, 'ends', {ends}))"
     hit = "filter(acc.m, m -> ((acc.b & m.inner) & ((acc.b & m.inner) - 1L)) = 0L and (acc.b & m.ends) = m.ends and (acc.b & m.inner) <> 0L)"
     step = f"if(acc.b = acc.last, acc, named_struct('b', acc.b & ~coalesce(get({hit}, 0).inner, 0L), 'last', acc.b, 'm', acc.m))"
-    return f"aggregate(sequence(1, length(word)), named_struct('b', shiftleft(1L, length(word) + 1) - 1L, 'last', 0L, 'm', {masks}), (acc, k) -> {step}, acc -> filter(sequence(0, length(word)), k -> (acc.b & shiftleft(1L, k)) <> 0L))"
+    return f"aggregate(sequence(1, length(word)), named_struct('b', shiftleft(1L, length(word) + 1) - 1L, 'last', 0L, 'm', {masks}), (acc, k) -> {step}, acc -> acc.b)"
 
 
 def _viterbi(single: float) -> str:
@@ -228,14 +231,16 @@ def viterbi_path(word: str, found: list[tuple[float, int, int]], singles: list[f
 
 
 def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``(word, n, bounds array<int>)`` of every word that holds a piece of two characters or more."""
+    """``(word, n, bits long, bounds array<int>)`` of every word that holds a piece of two characters or more: where its
+    parts begin and end, as bits where the fold has them so (they take less room in shuffles), else as numbers."""
     spark = words.sparkSession
     pieces = spark.createDataFrame([(p, s) for p, _, s in vocabulary.pieces if len(p) > 1], "piece string, score double")
     if vocabulary.kind == "bpe":
         grouped = edges(words, pieces, vocabulary.longest)
         short = F.length("word") <= BITS
-        folded = cut(grouped.select("word", "n", F.when(short, F.expr(_bpe())).alias("bounds"), F.when(~short, F.col("edges")).alias("edges")), "folded")
-        return folded.where("edges is null").select("word", "n", "bounds").unionByName(_long(folded.where("edges is not null").select("word", "n", "edges")))
+        folded = cut(grouped.select("word", "n", F.when(short, F.expr(_bpe())).alias("bits"), F.when(~short, F.col("edges")).alias("edges")), "folded")
+        near = folded.where("edges is null").select("word", "n", "bits", F.lit(None).cast("array<int>").alias("bounds"))
+        return near.unionByName(_long(folded.where("edges is not null").select("word", "n", "edges")).select("word", "n", F.lit(None).cast("long").alias("bits"), "bounds"))
     grouped = edges(words, pieces, vocabulary.longest)
     least = min((s for _, _, s in vocabulary.pieces), default=0.0) - 10.0
     singles = {p: s for p, _, s in vocabulary.pieces if len(p) == 1}
@@ -246,7 +251,7 @@ def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, got], names=[*batch.schema.names, "singles"])
 
     scored = grouped.mapInArrow(run, "word string, n long, edges array<struct<p:double,s:int,l:int>>, singles array<double>")
-    return scored.select("word", "n", F.expr(_viterbi(least)).alias("bounds"))
+    return scored.select("word", "n", F.lit(None).cast("long").alias("bits"), F.expr(_viterbi(least)).alias("bounds"))
 
 
 def _long(grouped: DataFrame) -> DataFrame:
@@ -289,7 +294,7 @@ def _pack_hot(table: DataFrame, vocabulary: Vocabulary) -> list[bytes]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         decodes = vocabulary.table()
         for batch in batches:
-            every = [(w, vocabulary.word_ids(w, b)) for w, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            every = [(w, vocabulary.word_ids(w, b, bounds)) for w, b, bounds in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             # Words that do not decode to themselves (unknown pieces) stay with the others, where that is told.
             if good := [(w, np.array(x, "<u4").tobytes()) for w, x in every if decode(x, decodes) == w]:
                 own = pa.table({"word": pa.array([w for w, _ in good], pa.string()), "ids": pa.array([x for _, x in good], pa.binary())})
@@ -298,7 +303,7 @@ def _pack_hot(table: DataFrame, vocabulary: Vocabulary) -> list[bytes]:
                     out.write_table(own)
                 yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["part"])
 
-    return [bytes(r[0]) for r in table.select("word", "bounds").mapInArrow(run, "part binary").collect()]
+    return [bytes(r[0]) for r in table.select("word", "bits", "bounds").mapInArrow(run, "part binary").collect()]
 
 
 def encoded(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, hot_words: int = HOT_WORDS) -> DataFrame:
@@ -328,28 +333,29 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((ks, ths, ws), schema, strict=True)], schema=schema)
 
     pairs = own.select("k", "th", "text").mapInArrow(rest, "k2 long, th2 long, word string")
-    named = pairs.join(table.select("word", "bounds"), "word").groupBy("k2", "th2").agg(F.collect_set(F.struct("word", "bounds")).alias("rare"))
+    named = pairs.join(table.select("word", "bits", "bounds"), "word").groupBy("k2", "th2").agg(F.collect_list(F.struct("word", "bits", "bounds")).alias("rare"))
     joined = squeezed(own, "text").join(named, (F.col("k") == F.col("k2")) & (F.col("th") == F.col("th2")), "left").select("doc_id", "text", "rare")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         hot, words, tool = _hot_ids(key, sent.value), _cutter(pattern), zstandard.ZstdDecompressor()
         decodes = vocabulary.table()
 
-        def ids_of(word: str, bounds: list[int] | None) -> bytes:
-            own = vocabulary.word_ids(word, bounds)
+        def ids_of(word: str, bits: int | None = None, bounds: list[int] | None = None) -> bytes:
+            own = vocabulary.word_ids(word, bits, bounds)
             if decode(own, decodes) != word:
                 broken.append(word)
             return np.array(own, "<u4").tobytes()
 
         for batch in batches:
-            n, sha, same, ids = [], [], [], []
+            n, sha, same, ids, broken = [], [], [], [], []
             for x, r in zip(batch.column(1), batch.column(2), strict=True):
                 raw = unsqueezed(x, tool)
-                text, broken = "" if raw is None else raw.decode(), []
+                text = "" if raw is None else raw.decode()
+                broken.clear()
                 own = words(text)
-                rare = {e["word"]: ids_of(e["word"], e["bounds"]) for e in r.as_py() or ()}
+                rare = {e["word"]: ids_of(e["word"], e["bits"], e["bounds"]) for e in r.as_py() or ()}
                 for w in set(own).difference(hot, rare):  # no piece of two characters lies in them
-                    rare[w] = ids_of(w, None)
+                    rare[w] = ids_of(w)
                 out = b"".join([hot.get(w) or rare[w] for w in own])
                 n.append(len(out) // 4)
                 sha.append(hashlib.sha256(out).hexdigest())
