@@ -8,7 +8,7 @@ sizes it allows and units are joined with that list by size; other templates are
 
 Before that, units that cannot match are passed over by words: at the threshold t a unit holds t / (2 - t) of a
 template's bigrams at least, so words that lie in more than the rest of them are words of which it holds one.  Each
-template has a set of such words, first those that serve smaller templates already, then its longest, and texts and units without any of these words match nothing.
+template has a set of such words (first those that serve smaller templates already, then its longest) or bigrams, and texts and units without any of these match nothing.
 
 Templates are few and fixed; with the default ones the list has under two thousand rows, and a larger set of
 templates is refused above ``MAX_LISTED`` rows, so that the broadcast has a proven bound.
@@ -91,21 +91,29 @@ def template_rows(templates: dict[str, list[str]] | None = None) -> list[tuple[s
     return out
 
 
-def keywords(rows: list[tuple[str, list[str]]], least: float = DICE) -> list[str]:
-    """Words of which every unit that reaches a template holds one."""
+def keywords(rows: list[tuple[str, list[str]]], least: float = DICE) -> tuple[list[str], list[str]]:
+    """Words and bigrams of which every unit that reaches a template holds one.
+
+    Words of four letters or more serve first; where they do not suffice, bigrams do, as short words are everywhere."""
     out: set[str] = set()
+    two: set[str] = set()
     common = Counter(w for _, pairs in rows for w in {w for p in pairs for w in p.split()})
     for _, pairs in sorted(rows, key=lambda r: (len(r[1]), r)):
         spare = len(pairs) * (1 - least / (2 - least)) + 1e-9  # so many bigrams may be missing
-        own, covered = set(), 0
-        for word in sorted({w for p in pairs for w in p.split()}, key=lambda w: (w not in out or len(w) < 4, -len(w), common[w], w)):
-            if covered > spare:
+        own, covered = set(), set()
+        for word in sorted({w for p in pairs for w in p.split() if len(w) > 3}, key=lambda w: (w not in out, -len(w), common[w], w)):
+            if len(covered) > spare:
                 break
             own.add(word)
-            covered = sum(any(w in own for w in p.split()) for p in pairs)
+            covered |= {p for p in pairs if word in p.split()}
         out |= own
+        for pair in sorted(set(pairs) - covered, key=lambda p: (-len(p), p)):
+            if len(covered) > spare:
+                break
+            two.add(pair)
+            covered.add(pair)
     # A word that holds another is found with it.
-    return sorted(w for w in out if not any(o != w and o in w for o in out))
+    return sorted(w for w in out if not any(o != w and o in w for o in out)), sorted(two)
 
 
 def _allowed(b: int, least: float) -> range:
@@ -135,9 +143,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     listed = [(a, name, pairs) for name, pairs in template_rows(templates) for a in _allowed(len(pairs), least)]
     if len(listed) > MAX_LISTED:
         raise ValueError(f"the templates list {len(listed)} sizes; {MAX_LISTED} is the bound for a broadcast")
-    needed = keywords(template_rows(templates), least)
+    needed, pairs = keywords(template_rows(templates), least)
+    apart = "|".join(p.replace(" ", r"[^\p{L}\p{N}]+") for p in pairs)
+    any_of = lambda t: reduce(operator.or_, [F.contains(t, F.lit(w)) for w in needed] + [t.rlike(apart)] * bool(pairs), F.lit(False))
     # The text is bound once, as a lambda's variable: a filter would put it to lower case for every word.
-    holds = lambda text: F.exists(F.array(text), lambda t: reduce(operator.or_, (F.contains(t, F.lit(w)) for w in needed)))
+    holds = lambda text: F.exists(F.array(text), any_of)
     small = spark.createDataFrame([(a, name, pairs) for a, name, pairs in listed], "size int, licence string, pairs array<string>")
     each = docs.where(holds(F.lower(F.col(text_col)))).select(F.col(id_col).cast("long").alias("doc_id"), F.explode_outer(units(F.col(text_col))).alias("unit"))  # explode would have the units worked out in a filter first
     own = each.where(holds(F.col("unit"))).select("doc_id", "unit", bigrams(F.col("unit")).alias("own")).where("own is not null").select("doc_id", "unit", "own", F.size("own").alias("size"))
