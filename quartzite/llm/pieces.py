@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from quartzite.llm.common import cut, default_tokenizer, id_order, read_table, squeezed, unsqueezed
 
 SPACE = "▁"
-HOT_WORDS = 300_000
+HOT_WORDS = 200_000
 #: Distinct words that a task counts before it passes them on.
 COUNTED = 1 << 17
 BITS = 60
@@ -279,7 +279,7 @@ _HOT: dict[str, dict[str, bytes]] = {}
 
 
 def _hot_ids(key: str, parts: list[bytes]) -> dict[str, bytes]:
-    """The frequent words' ids, unpacked once per Python worker."""
+    """The frequent words' ids, unpacked for a task, which drops them at its end: idle workers must not hold them."""
     if key not in _HOT:
         _HOT.clear()
         own: dict[str, bytes] = {}
@@ -331,6 +331,8 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", tex
                 ths += [th] * len(new)
                 ws += new
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((ks, ths, ws), schema, strict=True)], schema=schema)
+        del hot
+        _HOT.clear()
 
     pairs = own.select("k", "th", "text").mapInArrow(rest, "k2 long, th2 long, word string")
     named = pairs.join(table.select("word", "bits", "bounds"), "word").groupBy("k2", "th2").agg(F.collect_list(F.struct("word", "bits", "bounds")).alias("rare"))
@@ -364,6 +366,8 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", tex
                     ids.append(np.frombuffer(out, "<i4"))
             cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_()), *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "round_trip", *["ids"] * with_ids])
+        del hot
+        _HOT.clear()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids
     return joined.mapInArrow(run, schema)
