@@ -13,7 +13,8 @@ over ``BITS`` characters fold the same edges in an Arrow function with a heap.
 their UTF-8 bytes' pieces, or the unknown piece where the vocabulary has none.
 
 Texts get their words' pieces back in two ways: the most frequent words, at most ``HOT_WORDS`` of them whatever the
-corpus, travel with the tasks; every other (text, word) pair is joined with the word table.
+corpus, travel with the tasks; every other (text, word) pair is joined with the word table, and its pieces come back
+under the word's place among the text's other words.
 
 Decoding joins the pieces, bytes included, turns U+2581 into spaces and takes the dummy space off.  It gives the text
 back but for U+2581 in the text itself, which becomes a space, and unknown pieces.  Null and empty texts have no
@@ -30,6 +31,7 @@ import string
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 from itertools import islice
 
 import numpy as np
@@ -45,6 +47,8 @@ HOT_WORDS = 200_000
 #: Distinct words that a task counts before it passes them on.
 COUNTED = 1 << 17
 BITS = 60
+#: Lowest bits of an edge's rank and start, and the bits that its length takes, above the one for early pieces.
+RANK_AT = (43, 9, 8)
 MODEL = "piece_bpe_32k.model"
 
 
@@ -106,6 +110,14 @@ class Vocabulary:
             return [x for c in word for x in self.part(c)]
         return [x for a, b in zip(bounds, bounds[1:], strict=False) for x in self.part(word[a:b])]
 
+    @cached_property
+    def width(self) -> str:
+        """Type of packed ids: two bytes if all ids fit."""
+        return "<u2" if max([*self.ids.values(), *self.raw, self.unknown]) < 1 << 16 else "<u4"
+
+    def pack(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.width).tobytes()
+
     def table(self) -> list[bytes]:
         """The bytes of every id."""
         out = [b""] * (max([*self.ids.values(), *self.raw, self.unknown]) + 1)
@@ -157,26 +169,49 @@ def count_words(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def edges(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """``(word, n, edges array<struct<p, s, l>>)``: pieces of two characters or more within each word.
+def edges(words: DataFrame, pieces: DataFrame, longest: int, edge: str) -> DataFrame:
+    """``(word, n, edges)``: ``edge``, an expression of the piece's columns and ``s``, of each piece within each word.
 
     The explodes and the broadcast join leave rows where their word is, so grouping needs no further shuffle."""
     at = words.withColumn("size", F.length("word")).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("size") - 2)))
     each = at.withColumn("l", F.explode(F.sequence(F.lit(2), F.least(F.lit(longest), F.col("size") - F.col("s")))))
     part = each.withColumn("part", F.substring("word", F.col("s") + 1, F.col("l")))
     found = part.join(F.broadcast(pieces.withColumn("key", F.xxhash64("piece"))), (F.xxhash64("part") == F.col("key")) & (F.col("part") == F.col("piece")))  # numbers are found faster than strings
-    return found.groupBy("word").agg(F.first("n").alias("n"), F.collect_list(F.struct((-F.col("score")).alias("p"), "s", "l")).alias("edges"))
+    return found.groupBy("word").agg(F.first("n").alias("n"), F.collect_list(F.expr(edge)).alias("edges"))
+
+
+def ranks(vocabulary: Vocabulary) -> list[tuple[str, int]]:
+    """Pieces of two characters or more as numbers, rank by score, then room for a start, length, and whether early.
+
+    A piece is early if one of two pieces (or characters) that make it up is not ranked before it, so that a merge may
+    open another of a better rank."""
+    own = {p: s for p, _, s in vocabulary.pieces if len(p) > 1}
+    rank = {s: k for k, s in enumerate(sorted(set(own.values()), reverse=True))}
+    if vocabulary.longest >= 1 << RANK_AT[2] or len(rank) >= 1 << 63 - RANK_AT[0]:
+        raise ValueError("the vocabulary's pieces are too long or too many")
 
+    def early(p: str) -> bool:
+        halves = ((p[:k], p[k:]) for k in range(1, len(p)))
+        return any(all(len(x) == 1 or x in own for x in xy) and any(len(x) > 1 and own[x] <= own[p] for x in xy) for xy in halves)
 
-def _bpe() -> str:
-    """Bounds of the parts, held as bits.  An edge joins two parts if both its ends and just one bit between them are set.
+    return [(p, rank[s] << RANK_AT[0] | len(p) << 1 | early(p)) for p, s in own.items()]
 
-    The edges ride in the accumulator, or they would be sorted anew for every step."""
-    inner, ends = "shiftleft(1L, e.s + e.l) - shiftleft(1L, e.s + 1)", "shiftleft(1L, e.s) | shiftleft(1L, e.s + e.l)"
-    masks = f"transform(array_sort(edges), e -> named_struct('inner', {inner}, 'ends', {ends}))"
-    hit = "filter(acc.m, m -> ((acc.b & m.inner) & ((acc.b & m.inner) - 1L)) = 0L and (acc.b & m.ends) = m.ends and (acc.b & m.inner) <> 0L)"
-    step = f"if(acc.b = acc.last, acc, named_struct('b', acc.b & ~coalesce(get({hit}, 0).inner, 0L), 'last', acc.b, 'm', acc.m))"
-    return f"aggregate(sequence(1, length(word)), named_struct('b', shiftleft(1L, length(word) + 1) - 1L, 'last', 0L, 'm', {masks}), (acc, k) -> {step}, acc -> acc.b)"
+
+def _bpe() -> tuple[str, str, str]:
+    """Expressions of the edges' masks, of the early ones among them, and of ``(b, bad)``: the parts' bounds as bits, by one pass over the edges in order of rank, then start.
+
+    An edge joins two parts if both its ends and just one bit between them are set.  ``bad`` tells that a merge opened an
+    edge of a better rank, which only an early one can be: such words take a heap instead."""
+    rank, start, _ = RANK_AT
+    s, l = f"(shiftright(e, {start}) & {(1 << rank - start) - 1}L)", f"(shiftright(e, 1) & {(1 << start - 1) - 1}L)"
+    low, high = f"shiftleft(1L, cast({s} as int))", f"shiftleft(1L, cast({s} + {l} as int))"
+    masks = f"transform(sort_array(edges), e -> named_struct('e', e, 'inner', {high} - 2L * {low}, 'ends', {low} | {high}))"
+    hit = "(({b} & {m}.inner) & (({b} & {m}.inner) - 1L)) = 0L and ({b} & {m}.ends) = {m}.ends and ({b} & {m}.inner) <> 0L"
+    after = "acc.b & ~m.inner"
+    opened = f"exists(early, x -> x.e < m.e and {hit.format(b=f'({after})', m='x')})"
+    step = f"if({hit.format(b='acc.b', m='m')}, named_struct('b', {after}, 'bad', acc.bad or {opened}), acc)"
+    fold = f"aggregate(masks, named_struct('b', shiftleft(1L, length(word) + 1) - 1L, 'bad', false), (acc, m) -> {step})"
+    return masks, "filter(masks, m -> (m.e & 1L) = 1L)", fold
 
 
 def _viterbi(single: float) -> str:
@@ -231,36 +266,53 @@ def viterbi_path(word: str, found: list[tuple[float, int, int]], singles: list[f
 
 
 def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``(word, n, bits long, bounds array<int>)`` of every word that holds a piece of two characters or more: where its
-    parts begin and end, as bits where the fold has them so (they take less room in shuffles), else as numbers."""
+    """``(word, n, ids)`` of every word that holds a piece of two characters or more, as a table of its own.
+
+    ids are packed; a zero byte more, so an odd length, tells that they do not decode to the word (unknown pieces)."""
     spark = words.sparkSession
-    pieces = spark.createDataFrame([(p, s) for p, _, s in vocabulary.pieces if len(p) > 1], "piece string, score double")
     if vocabulary.kind == "bpe":
-        grouped = edges(words, pieces, vocabulary.longest)
+        pieces = spark.createDataFrame(ranks(vocabulary), "piece string, edge long")
+        grouped = edges(words, pieces, vocabulary.longest, f"edge + shiftleft(cast(s as long), {RANK_AT[1]})")
+        masks, early, fold = _bpe()
         short = F.length("word") <= BITS
-        folded = cut(grouped.select("word", "n", F.when(short, F.expr(_bpe())).alias("bits"), F.when(~short, F.col("edges")).alias("edges")), "folded")
-        near = folded.where("edges is null").select("word", "n", "bits", F.lit(None).cast("array<int>").alias("bounds"))
-        return near.unionByName(_long(folded.where("edges is not null").select("word", "n", "edges")).select("word", "n", F.lit(None).cast("long").alias("bits"), "bounds"))
-    grouped = edges(words, pieces, vocabulary.longest)
-    least = min((s for _, _, s in vocabulary.pieces), default=0.0) - 10.0
-    singles = {p: s for p, _, s in vocabulary.pieces if len(p) == 1}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in batches:
-            got = pa.array([[singles.get(c, least) for c in w] for w in batch.column(0).to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, got], names=[*batch.schema.names, "singles"])
-
-    scored = grouped.mapInArrow(run, "word string, n long, edges array<struct<p:double,s:int,l:int>>, singles array<double>")
-    return scored.select("word", "n", F.lit(None).cast("long").alias("bits"), F.expr(_viterbi(least)).alias("bounds"))
+        passed = grouped.withColumn("masks", F.when(short, F.expr(masks))).withColumn("early", F.expr(early)).withColumn("fold", F.expr(fold))
+        bits = F.when(~F.col("fold.bad"), F.col("fold.b"))
+        folded = passed.select("word", "n", bits.alias("bits"), F.when(bits.isNull(), F.col("edges")).alias("edges"))
+    else:
+        pieces = spark.createDataFrame([(p, s) for p, _, s in vocabulary.pieces if len(p) > 1], "piece string, score double")
+        grouped = edges(words, pieces, vocabulary.longest, "named_struct('p', -score, 's', s, 'l', l)")
+        least = min((s for _, _, s in vocabulary.pieces), default=0.0) - 10.0
+        singles = {p: s for p, _, s in vocabulary.pieces if len(p) == 1}
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+            for batch in batches:
+                got = pa.array([[singles.get(c, least) for c in w] for w in batch.column(0).to_pylist()], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, got], names=[*batch.schema.names, "singles"])
+
+        scored = grouped.mapInArrow(score, "word string, n long, edges array<struct<p:double,s:int,l:int>>, singles array<double>")
+        folded = scored.select("word", "n", F.lit(None).cast("long").alias("bits"), F.expr(_viterbi(least)).cast("array<long>").alias("edges"))
+    return cut(_packed(folded, vocabulary), "words")
+
+
+def _packed(folded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``folded`` has bounds as bits, or null and the edges to merge; for ``unigram`` the bounds stand for the edges."""
+    rank, start, _ = RANK_AT
+
+    def bounds_of(word: str, edges: list[int]) -> list[int]:
+        if vocabulary.kind != "bpe":
+            return edges
+        return merge_heap(word, [(e >> rank, (e >> start) & ((1 << rank - start) - 1), (e >> 1) & ((1 << start - 1) - 1)) for e in edges])
 
-
-def _long(grouped: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        decodes, pack = vocabulary.table(), vocabulary.pack
         for batch in batches:
-            got = [merge_heap(w, [(e["p"], e["s"], e["l"]) for e in es]) for w, es in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.list_(pa.int32()))], names=["word", "n", "bounds"])
+            words, ids = batch.column(0).to_pylist(), []
+            for w, b, es in zip(words, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                own = vocabulary.word_ids(w, b, None if b is not None else bounds_of(w, es))
+                ids.append(pack(own) + b"\0" * (decode(own, decodes) != w))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["word", "n", "ids"])
 
-    return grouped.mapInArrow(run, "word string, n long, bounds array<int>")
+    return folded.mapInArrow(run, "word string, n long, ids binary")
 
 
 def _frequent(table: DataFrame, most: int) -> DataFrame:
@@ -290,20 +342,22 @@ def _hot_ids(key: str, parts: list[bytes]) -> dict[str, bytes]:
     return _HOT[key]
 
 
-def _pack_hot(table: DataFrame, vocabulary: Vocabulary) -> list[bytes]:
+def others(words: list[str], hot: dict[str, bytes]) -> list[str]:
+    """The words of two characters or more that are not among the frequent ones, each once, in an order of their own."""
+    return sorted(w for w in set(words).difference(hot) if len(w) > 1)
+
+
+def _pack_hot(table: DataFrame) -> list[bytes]:
+    """Words that do not decode to themselves (unknown pieces) stay with the others, where that is told."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        decodes = vocabulary.table()
         for batch in batches:
-            every = [(w, vocabulary.word_ids(w, b, bounds)) for w, b, bounds in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            # Words that do not decode to themselves (unknown pieces) stay with the others, where that is told.
-            if good := [(w, np.array(x, "<u4").tobytes()) for w, x in every if decode(x, decodes) == w]:
-                own = pa.table({"word": pa.array([w for w, _ in good], pa.string()), "ids": pa.array([x for _, x in good], pa.binary())})
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_table(own)
-                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["part"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["part"])
 
-    return [bytes(r[0]) for r in table.select("word", "bits", "bounds").mapInArrow(run, "part binary").collect()]
+    return [bytes(r[0]) for r in table.where("length(ids) % 2 = 0").select("word", "ids").mapInArrow(run, "part binary").collect()]
 
 
 def encoded(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, hot_words: int = HOT_WORDS) -> DataFrame:
@@ -314,56 +368,57 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", tex
     words give the text."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    own = own.select("doc_id", "text", id_order("doc_id").alias("k"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"))
+    # 96 bits of two hashes; rows that repeat id and text share their words.
+    own = own.select("doc_id", "text", F.xxhash64(id_order("doc_id"), "text").alias("k"), F.hash("text").alias("h"))
     table = encode_words(count_words(own, vocabulary), vocabulary)
-    table = table if vocabulary.kind == "bpe" else cut(table, "words")
-    sent = spark.sparkContext.broadcast(_pack_hot(_frequent(table, hot_words), vocabulary))
+    sent = spark.sparkContext.broadcast(_pack_hot(_frequent(table, hot_words)))
     key, pattern = f"{spark.sparkContext.applicationId}-{hashlib.md5(b''.join(sent.value)).hexdigest()}", vocabulary.pattern()
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         hot, words = _hot_ids(key, sent.value), _cutter(pattern)
-        schema = pa.schema([("k2", pa.int64()), ("th2", pa.int64()), ("word", pa.string())])
+        schema = pa.schema([("k2", pa.int64()), ("h2", pa.int32()), ("at", pa.int32()), ("word", pa.string())])
         for batch in batches:
-            ks, ths, ws = [], [], []
-            for k, th, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                new = [w for w in set(words(x.as_py())).difference(hot) if len(w) > 1]
+            ks, hs, at, ws = [], [], [], []
+            for k, h, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                new = others(words(x.as_py()), hot)
                 ks += [k] * len(new)
-                ths += [th] * len(new)
+                hs += [h] * len(new)
+                at += range(len(new))
                 ws += new
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((ks, ths, ws), schema, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((ks, hs, at, ws), schema, strict=True)], schema=schema)
         del hot
         _HOT.clear()
 
-    pairs = own.select("k", "th", "text").mapInArrow(rest, "k2 long, th2 long, word string")
-    named = pairs.join(table.select("word", "bits", "bounds"), "word").groupBy("k2", "th2").agg(F.collect_list(F.struct("word", "bits", "bounds")).alias("rare"))
-    joined = squeezed(own, "text").join(named, (F.col("k") == F.col("k2")) & (F.col("th") == F.col("th2")), "left").select("doc_id", "text", "rare")
+    pairs = own.select("k", "h", "text").mapInArrow(rest, "k2 long, h2 int, at int, word string")
+    named = pairs.join(table.select("word", "ids"), "word").groupBy("k2", "h2").agg(F.collect_list(F.struct("at", "ids")).alias("rare"))
+    joined = squeezed(own, "text").join(named, (F.col("k") == F.col("k2")) & (F.col("h") == F.col("h2")), "left").select("doc_id", "text", "rare")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         hot, words, tool = _hot_ids(key, sent.value), _cutter(pattern), zstandard.ZstdDecompressor()
-        decodes = vocabulary.table()
-
-        def ids_of(word: str, bits: int | None = None, bounds: list[int] | None = None) -> bytes:
-            own = vocabulary.word_ids(word, bits, bounds)
-            if decode(own, decodes) != word:
-                broken.append(word)
-            return np.array(own, "<u4").tobytes()
-
+        decodes, width = vocabulary.table(), vocabulary.width
         for batch in batches:
-            n, sha, same, ids, broken = [], [], [], [], []
-            for x, r in zip(batch.column(1), batch.column(2), strict=True):
+            n, sha, same, ids = [], [], [], []
+            given = batch.column(2)
+            ends, parts = given.offsets.to_pylist(), [x.to_pylist() for x in given.values.flatten()]
+            for k, x in enumerate(batch.column(1)):
                 raw = unsqueezed(x, tool)
                 text = "" if raw is None else raw.decode()
-                broken.clear()
-                own = words(text)
-                rare = {e["word"]: ids_of(e["word"], e["bits"], e["bounds"]) for e in r.as_py() or ()}
+                own, here = words(text), slice(ends[k], ends[k + 1])
+                new = others(own, hot)
+                rare = {new[i]: x for i, x in zip(parts[0][here], parts[1][here], strict=True)}
+                broken = [w for w, x in rare.items() if len(x) % 2]
+                rare |= {w: rare[w][:-1] for w in broken}
                 for w in set(own).difference(hot, rare):  # no piece of two characters lies in them
-                    rare[w] = ids_of(w)
-                out = b"".join([hot.get(w) or rare[w] for w in own])
-                n.append(len(out) // 4)
-                sha.append(hashlib.sha256(out).hexdigest())
+                    plain = vocabulary.word_ids(w, None, None)
+                    rare[w] = vocabulary.pack(plain)
+                    if decode(plain, decodes) != w:
+                        broken.append(w)
+                out = np.frombuffer(b"".join([hot.get(w) or rare[w] for w in own]), width).astype("<u4")
+                n.append(len(out))
+                sha.append(hashlib.sha256(out.tobytes()).hexdigest())
                 same.append(not broken and "".join(own)[1:] == text.replace(SPACE, " "))
                 if with_ids:
-                    ids.append(np.frombuffer(out, "<i4"))
+                    ids.append(out.view("<i4"))
             cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_()), *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "round_trip", *["ids"] * with_ids])
         del hot
