@@ -21,6 +21,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Where a null id is compared with others it counts as this, so null ids come first.
 NULL_ID = -(2**63)
 
+#: Spark's own switch: shuffle files are removed at the end of the execution that wrote them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Rows of a batch that goes to a Python worker.
 ROWS_PER_BATCH = 2048
 
@@ -50,10 +53,17 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as a Parquet table in the shared folder and reads it back, which ends its lineage."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes ``df`` as a Parquet table in the shared folder and reads it back, which ends its lineage.
+
+    The shuffles behind it are of no more use then, and their files go at once."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession) -> None:
