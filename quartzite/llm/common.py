@@ -66,6 +66,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_cut(df: DataFrame) -> None:
+    """Removes the table that ``cut`` gave, once nothing reads it any more."""
+    for path in {os.path.dirname(x) for x in df.inputFiles()}:  # one folder
+        remove_path(df.sparkSession, path)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Texts may be long, and a Python worker holds two Arrow batches at once: so few rows a batch, unless the session
     sets its own number."""

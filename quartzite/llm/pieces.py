@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quartzite.llm.common import cut, default_tokenizer, id_order, read_table, squeezed, unsqueezed
+from quartzite.llm.common import cut, default_tokenizer, drop_cut, id_order, read_table, squeezed, unsqueezed
 
 SPACE = "▁"
 HOT_WORDS = 200_000
@@ -266,7 +266,7 @@ def viterbi_path(word: str, found: list[tuple[float, int, int]], singles: list[f
 
 
 def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``(word, n, ids)`` of every word that holds a piece of two characters or more, as a table of its own.
+    """``(word, n, ids)`` of every word that holds a piece of two characters or more.
 
     ids are packed; a zero byte more, so an odd length, tells that they do not decode to the word (unknown pieces)."""
     spark = words.sparkSession
@@ -291,7 +291,7 @@ def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
         scored = grouped.mapInArrow(score, "word string, n long, edges array<struct<p:double,s:int,l:int>>, singles array<double>")
         folded = scored.select("word", "n", F.lit(None).cast("long").alias("bits"), F.expr(_viterbi(least)).cast("array<long>").alias("edges"))
-    return cut(_packed(folded, vocabulary), "words")
+    return _packed(folded, vocabulary)
 
 
 def _packed(folded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -342,9 +342,9 @@ def _hot_ids(key: str, parts: list[bytes]) -> dict[str, bytes]:
     return _HOT[key]
 
 
-def others(words: list[str], hot: dict[str, bytes]) -> list[str]:
-    """The words of two characters or more that are not among the frequent ones, each once, in an order of their own."""
-    return sorted(w for w in set(words).difference(hot) if len(w) > 1)
+def others(words: set[str]) -> list[str]:
+    """Words of two characters or more, in an order of their own."""
+    return sorted(w for w in words if len(w) > 1)
 
 
 def _pack_hot(table: DataFrame) -> list[bytes]:
@@ -370,7 +370,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", tex
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # 96 bits of two hashes; rows that repeat id and text share their words.
     own = own.select("doc_id", "text", F.xxhash64(id_order("doc_id"), "text").alias("k"), F.hash("text").alias("h"))
-    table = encode_words(count_words(own, vocabulary), vocabulary)
+    table = cut(encode_words(count_words(own, vocabulary), vocabulary), "words")
     sent = spark.sparkContext.broadcast(_pack_hot(_frequent(table, hot_words)))
     key, pattern = f"{spark.sparkContext.applicationId}-{hashlib.md5(b''.join(sent.value)).hexdigest()}", vocabulary.pattern()
 
@@ -380,7 +380,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", tex
         for batch in batches:
             ks, hs, at, ws = [], [], [], []
             for k, h, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                new = others(words(x.as_py()), hot)
+                new = others(set(words(x.as_py())).difference(hot))
                 ks += [k] * len(new)
                 hs += [h] * len(new)
                 at += range(len(new))
@@ -390,7 +390,10 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", tex
         _HOT.clear()
 
     pairs = own.select("k", "h", "text").mapInArrow(rest, "k2 long, h2 int, at int, word string")
-    named = pairs.join(table.select("word", "ids"), "word").groupBy("k2", "h2").agg(F.collect_list(F.struct("at", "ids")).alias("rare"))
+    # A table of its own, so that the pairs' shuffles and the word table are gone when the texts are shuffled.
+    found = cut(pairs.join(table, "word").select("k2", "h2", "at", "ids"), "pairs")
+    drop_cut(table)
+    named = found.groupBy("k2", "h2").agg(F.collect_list(F.struct("at", "ids")).alias("rare"))
     joined = squeezed(own, "text").join(named, (F.col("k") == F.col("k2")) & (F.col("h") == F.col("h2")), "left").select("doc_id", "text", "rare")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -404,11 +407,12 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", tex
                 raw = unsqueezed(x, tool)
                 text = "" if raw is None else raw.decode()
                 own, here = words(text), slice(ends[k], ends[k + 1])
-                new = others(own, hot)
+                left = set(own).difference(hot)
+                new = others(left)
                 rare = {new[i]: x for i, x in zip(parts[0][here], parts[1][here], strict=True)}
                 broken = [w for w, x in rare.items() if len(x) % 2]
                 rare |= {w: rare[w][:-1] for w in broken}
-                for w in set(own).difference(hot, rare):  # no piece of two characters lies in them
+                for w in left.difference(rare):  # no piece of two characters lies in them
                     plain = vocabulary.word_ids(w, None, None)
                     rare[w] = vocabulary.pack(plain)
                     if decode(plain, decodes) != w:
