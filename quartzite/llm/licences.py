@@ -10,7 +10,7 @@ Before that, units that cannot match are passed over by words: at the threshold
 template's bigrams at least, so words that lie in more than the rest of them are words of which it holds one.  Each
 template has a set of such words (first those that serve smaller templates already, then its longest) or bigrams, and texts and units without any of these match nothing.
 
-Templates are few and fixed; with the default ones the list has under two thousand rows, and a larger set of
+Templates are few and fixed; with the default ones the list has under three thousand rows, and a larger set of
 templates is refused above ``MAX_LISTED`` rows, so that the broadcast has a proven bound.
 
 Units of fewer than two words have no bigrams and match nothing, nor do null and empty texts.  Rows that share an id
@@ -70,8 +70,44 @@ TEMPLATES: dict[str, list[str]] = {
     "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."],
     "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
-    "Proprietary": ["All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher."],
+    "Proprietary": ["All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher.", "All rights reserved."],
 }
+#: Names in "Licensed under the ...", "Released under the ..." and "Licensed under ..." where they need no article.
+_NAMED = {
+    "Apache-2.0": (["Apache License 2.0", "Apache 2.0 License"], []),
+    "MIT": (["MIT License"], ["MIT"]),
+    "BSD-3-Clause": (["BSD 3-Clause License", "3-Clause BSD License"], []),
+    "BSD-2-Clause": (["BSD 2-Clause License", "2-Clause BSD License"], []),
+    "ISC": (["ISC License"], ["ISC"]),
+    "GPL-3.0": (["GNU General Public License v3.0", "GPL v3"], ["GPLv3"]),
+    "GPL-2.0": (["GNU General Public License v2.0", "GPL v2"], ["GPLv2"]),
+    "LGPL": (["GNU Lesser General Public License", "GNU Lesser General Public License, version 3", "GNU Lesser General Public License, version 2.1", "LGPL"], ["LGPL"]),
+    "AGPL-3.0": (["GNU Affero General Public License, version 3", "AGPL v3"], ["AGPLv3"]),
+    "MPL-2.0": (["Mozilla Public License 2.0", "Mozilla Public License, version 2.0"], []),
+    "CC0-1.0": (["CC0 1.0 Universal Public Domain Dedication"], ["CC0 1.0"]),
+    "Unlicense": (["Unlicense"], []),
+}
+_SPDX = {
+    "Apache-2.0": ["Apache-2.0"], "MIT": ["MIT"], "BSD-3-Clause": ["BSD-3-Clause"], "BSD-2-Clause": ["BSD-2-Clause"], "ISC": ["ISC"],
+    "GPL-3.0": ["GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"], "GPL-2.0": ["GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later"],
+    "LGPL": ["LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later"], "AGPL-3.0": ["AGPL-3.0-only", "AGPL-3.0-or-later"],
+    "MPL-2.0": ["MPL-2.0"], "CC0-1.0": ["CC0-1.0"], "Unlicense": ["Unlicense"],
+}
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+
+
+def _more() -> None:
+    """Adds to TEMPLATES the customary forms with each licence's names and identifiers."""
+    forms = {name: [f"{verb} under the {x}." for x in the for verb in ("Licensed", "Released")] + [f"Licensed under {x}." for x in bare] for name, (the, bare) in _NAMED.items()}
+    for name, ids in _SPDX.items():
+        forms[name] += [f"SPDX-License-Identifier: {x}" for x in ids]
+    for kind, words in _CC.items():
+        forms[f"CC-{kind}-4.0"] = [f"This work is licensed under a Creative Commons {words} 4.0 International License.", f"Licensed under CC {kind} 4.0.", f"SPDX-License-Identifier: CC-{kind}-4.0"]
+    for name, texts in forms.items():
+        known = TEMPLATES.setdefault(name, [])
+        known += [t for t in texts if normalise(t) not in map(normalise, known)]
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -80,6 +116,9 @@ def normalise(text: str) -> str:
     return " ".join(re.sub(r"[\W_]+", " ", folded).split())
 
 
+_more()
+
+
 def template_rows(templates: dict[str, list[str]] | None = None) -> list[tuple[str, list[str]]]:
     """(licence, distinct bigrams) of each template that has any."""
     out = []

@@ -193,6 +193,19 @@ def test_licences_against_sql(spark):
     assert sorted(map(tuple, licences.op5_license_scan(spark, TABLES).collect()), key=str) == sorted(((a, b, c, d) for a, b, c, d in duckdb.sql(licences.oracle()).fetchall()), key=str)
 
 
+def test_licences_finds_customary_notices(spark):
+    notices = [
+        ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("All rights reserved.", "Proprietary"), ("Licensed under the MIT License.", "MIT"), ("SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"),
+        ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "CC-BY-ND-4.0"), ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"),
+        ("// SPDX-License-Identifier: BSD-2-Clause", "BSD-2-Clause"), ("SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL"), ("# Licensed under the BSD 3-Clause License", "BSD-3-Clause"),
+        ("Licensed under the Apache License 2.0", "Apache-2.0"), ("Released under the Mozilla Public License 2.0.", "MPL-2.0"), ("Licensed under the GNU Affero General Public License, version 3", "AGPL-3.0"), ("Licensed under the ISC License", "ISC"),
+    ]
+    best = {}
+    for r in licences.scan(spark.createDataFrame([(k, f"{prose(9, k)}\n{t}\n{prose(9, k)}") for k, (t, _) in enumerate(notices)], "doc_id long, text string")).collect():
+        best[r["doc_id"]] = max(best.get(r["doc_id"], (0, "")), (r["dice"], r["licence"]))
+    assert {k: v[1] for k, v in best.items()} == {k: name for k, (_, name) in enumerate(notices)}
+
+
 # 6: SimHash
 
 
