@@ -7,12 +7,14 @@ both ways finds every such run.  Lines in a run of ``WINDOW`` lines that also oc
 smaller id, with equal ids a smaller text hash, within a text an earlier line.  Runs are judged on the input, not on
 what is left.  Blank lines stay where they are, but for those between two lines that both go.
 
+Runs of fewer lines go by the same rule if they hold ``LONG`` words or more.  Each is keyed by its own lines, and the
+earliest of each key is found by an aggregate.  Shorter runs of fewer than ``WINDOW`` lines stay.
+
 Each fingerprint is joined with its earliest position alone, not with all others.  The windows that this leaves open
 (they match another earlier position, or none) are keyed by their own lines, and the earliest of each key is found by
 an aggregate.  So rows grow with the input, whatever the number of copies.
 
-Null texts give an empty result row; null ids come first; texts with fewer lines than the window stay whole.  Rows
-that repeat both id and text are one document: none is the earlier, and each gets the same answer.  Further columns
+Null texts give an empty result row; null ids come first.  Rows that repeat both id and text are one document: none is the earlier, and each gets the same answer.  Further columns
 are carried by ``remove_runs`` and may have any names.
 """
 
@@ -30,6 +32,7 @@ from pyspark.sql import types as T
 from quartzite.llm.common import cut, id_order, read_table
 
 WINDOW = 3
+LONG = 50
 
 
 def line_hashes(text: str | None) -> tuple[np.ndarray, list[int]]:
@@ -128,6 +131,30 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return seen.where("key is null").select("k", "th", "s").unionByName(later.select("k", "th", "s"))
 
 
+def repeated_long(docs: DataFrame, window: int = WINDOW, long: int = LONG) -> DataFrame:
+    """``(k, th, s, n)``: starts and lengths of the runs of under ``window`` lines that hold ``long`` words and occur earlier."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            ids, ths, starts, sizes, keys = [], [], [], [], []
+            for key, th, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                hashes, words = line_hashes(x.as_py())[0], [len(w) for line in x.as_py().encode().split(b"\n") if (w := line.split())]
+                total = np.concatenate(([0], np.cumsum(words, dtype=np.int64)))
+                for n in range(1, window):
+                    for s in np.flatnonzero(total[n:] - total[:-n] >= long).tolist():
+                        ids.append(key)
+                        ths.append(th)
+                        starts.append(s)
+                        sizes.append(n)
+                        keys.append(xxhash.xxh3_128_digest(hashes[s : s + n].astype("<u8").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ths, pa.int64()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary())], names=["k", "th", "s", "n", "key"])
+
+    seen = cut(docs.select("k", "th", "text").mapInArrow(run, "k long, th long, s int, n int, key binary"), "long")
+    place = F.struct("k", "th", "s")
+    low = seen.groupBy("key").agg(F.min(place).alias("at"), F.max(place).alias("last")).where("at < last").select(F.col("key").alias("key2"), "at")
+    return seen.join(low, F.col("key") == F.col("key2")).where(place > F.col("at")).select("k", "th", "s", "n")
+
+
 def strip(text: str | None, starts: list[int] | None, window: int = WINDOW) -> tuple[str, int, int, int]:
     """What is left of the text, its number of lines with a word, of lines removed and of runs removed."""
     if not text:
@@ -146,12 +173,13 @@ def strip(text: str | None, starts: list[int] | None, window: int = WINDOW) -> t
     return "\n".join(x for k, x in enumerate(lines) if k not in drop), len(places), int(gone.sum()), runs
 
 
-def remove_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, columns: list[str] | None = None) -> DataFrame:
+def remove_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, columns: list[str] | None = None, long: int = LONG) -> DataFrame:
     """``docs`` (or ``columns`` of it) with ``_kept``, ``_lines``, ``_removed`` and ``_runs``."""
     columns = columns or docs.columns
     key, th = id_order(F.col(id_col).cast("long")), F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0))
     own = docs.select(key.alias("k"), th.alias("th"), F.col(text_col).alias("text")).where("text is not null")
-    starts = repeated_windows(own, window).groupBy(F.col("k").alias("_k"), F.col("th").alias("_th")).agg(F.collect_set("s").alias("_starts"))
+    found = repeated_windows(own, window).withColumn("n", F.lit(window)).unionByName(repeated_long(own, window, long))
+    starts = found.groupBy(F.col("k").alias("_k"), F.col("th").alias("_th")).agg(F.collect_set(F.struct("s", "n")).alias("_starts"))
     base = docs.select(*(F.col(f"`{c}`") for c in columns), key.alias("_key"), th.alias("_hash"))
     joined = base.join(starts, (F.col("_key") == F.col("_k")) & (F.col("_hash") == F.col("_th")), "left").select(*(F.col(f"`{c}`") for c in columns), F.col("_starts"))
     at = columns.index(text_col)
@@ -160,7 +188,7 @@ def remove_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            got = [strip(x.as_py(), s.as_py(), window) for x, s in zip(batch.column(at), batch.column(batch.num_columns - 1), strict=True)]
+            got = [strip(x.as_py(), [r["s"] + d for r in s.as_py() or [] for d in range(r["n"])], 1) for x, s in zip(batch.column(at), batch.column(batch.num_columns - 1), strict=True)]
             new = [pa.array([g[k] for g in got], t) for k, t in ((0, pa.string()), (1, pa.int64()), (2, pa.int64()), (3, pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*batch.schema.names[:-1], "_kept", "_lines", "_removed", "_runs"])
 

@@ -83,6 +83,15 @@ def test_line_dedup_finds_what_the_earliest_place_misses(spark):
     assert got == {0: "x\na\ny", 1: "a\nb\nc\nd", 2: "q", 3: ""}
 
 
+def test_line_dedup_finds_long_runs_of_few_lines(spark):
+    flat = lambda n, seed: " ".join(prose(n, seed).split())
+    one, a, b, c, few = flat(50, 31), flat(30, 32), flat(25, 33), flat(49, 34), flat(20, 35)
+    texts = [one, f"x\n{a}\n\n{b}\ny", one, f"{few}\n  {one} \nz", f"{a}\n{b}", f"{b}\n{a}", c, c, f"q\n{one}\n{one}", None, ""]
+    want = {0: one, 1: texts[1], 2: "", 3: f"{few}\nz", 4: "", 5: texts[5], 6: c, 7: c, 8: "q", 9: "", 10: ""}
+    got = linededup.remove_runs(spark.createDataFrame([*enumerate(texts), (0, one)], "doc_id long, text string")).collect()
+    assert len(got) == 12 and {r["doc_id"]: r["_kept"] for r in got} == want and [r["_removed"] for r in got if r["doc_id"] == 0] == [0, 0]
+
+
 # 2: WARC
 
 
