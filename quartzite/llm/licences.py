@@ -10,6 +10,14 @@ Before that, units that cannot match are passed over by words: at the threshold
 template's bigrams at least, so words that lie in more than the rest of them are words of which it holds one.  Each
 template has a set of such words (first those that serve smaller templates already, then its longest) or bigrams, and texts and units without any of these match nothing.
 
+Notices that are wrapped over lines, or stand inside a line, are diluted in these units.  So runs of words from one
+bigram of a template to another are units too, of up to (2 - t) / t times the template's length, over line ends and all.  Any run
+of lines or sentences that reaches a template holds such a run that is as near.  Its Dice coefficient counts every
+place whose bigram the template lacks, repeated or not; templates of up to ``SHORT`` bigrams must be there in full, as
+a run is cut to fit.  Of runs that overlap, the one with the most bigrams of its template stays (then the nearest,
+the shortest, the first), so the parts of a notice that are a notice of their own do not count; nor does a run that holds, or lies in,
+another unit with the same licence.
+
 Templates are few and fixed; with the default ones the list has under three thousand rows, and a larger set of
 templates is refused above ``MAX_LISTED`` rows, so that the broadcast has a proven bound.
 
@@ -26,12 +34,13 @@ import re
 from collections import Counter
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quartzite.llm.common import read_table
+from quartzite.llm.common import cut, read_table
 
 DICE = 0.8
+SHORT = 4
 MAX_LISTED = 100_000
 
 #: Public licence texts and customary notices.
@@ -160,9 +169,13 @@ def _allowed(b: int, least: float) -> range:
     return range(math.ceil(b * least / (2 - least) - 1e-9), math.floor(b * (2 - least) / least + 1e-9) + 1)
 
 
+def _folded(text: Column) -> Column:
+    return F.regexp_replace(F.translate(text, _UPPER, _LOWER), r"[^\p{L}\p{N}\n]+", " ")
+
+
 def units(text: Column) -> Column:
     """Distinct normalised lines, paragraphs and whole text."""
-    folded = F.regexp_replace(F.translate(text, _UPPER, _LOWER), r"[^\p{L}\p{N}\n]+", " ")
+    folded = _folded(text)
     trimmed = lambda parts: F.transform(parts, lambda u: F.trim(F.regexp_replace(u, r"[ \n]+", " ")))
     whole = trimmed(F.array(folded))
     paragraphs = F.when(folded.rlike(r"\n *\n"), trimmed(F.split(folded, r"\n *\n[ \n]*"))).otherwise(whole)
@@ -176,6 +189,45 @@ def bigrams(unit: Column) -> Column:
     return F.when(F.size(words) > 1, F.array_distinct(F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))))
 
 
+def runs(docs: DataFrame, templates: dict[str, list[str]] | None = None, least: float = DICE) -> DataFrame:
+    """``(doc_id, h, licence, unit, dice)``: the runs of words in ``docs (doc_id, h, text)`` that reach a template."""
+    known, rows = [], []
+    for name, texts in (templates or TEMPLATES).items():
+        for text in texts:
+            words = normalise(text).split()
+            if pairs := sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}):
+                need = len(pairs) if len(pairs) <= SHORT else math.ceil(len(pairs) * least / (2 - least) - 1e-9)
+                longest = math.floor((len(words) - 1) * (2 - least) / least + 1e-9)
+                known.append(longest)
+                rows += [(pair, len(known), b, len(pairs), need, longest, name) for b, pair in enumerate(pairs)]
+    words = F.split(F.trim(F.regexp_replace(_folded(F.col("text")), r"[ \n]+", " ")), " ")
+    vocabulary = docs.sparkSession.createDataFrame(rows, "pair string, t int, b int, pairs int, need int, longest int, licence string")
+    each = docs.select("doc_id", "h", words.alias("words")).where(F.size("words") > 1)
+    pairs = each.select("doc_id", "h", F.posexplode_outer(F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b))).alias("at", "pair"))
+    own = pairs.join(F.broadcast(vocabulary), "pair").drop("pair").distinct()
+    text, one, far = ["doc_id", "h"], ["doc_id", "h", "t"], max(known, default=1)
+    enough = own.withColumn("n", F.size(F.collect_set("b").over(Window.partitionBy(*one)))).where("n >= need")
+    placed = enough.withColumn("before", F.coalesce(F.lag("at").over(Window.partitionBy(*one, "b").orderBy("at")), F.lit(-1)))
+    ahead = placed.withColumn("ahead", F.collect_list(F.struct("at", "before")).over(Window.partitionBy(*one).orderBy("at").rangeBetween(0, far)))
+
+    def step(got: Column, x: Column) -> Column:
+        held = got["held"] + (x["before"] < F.col("at")).cast("int")
+        missed = x["at"] - F.col("at") - got["seen"]  # places whose bigram is not the template's
+        dice = F.lit(2.0) * held / (held + missed + F.col("pairs"))
+        better = (dice > got["dice"]) & (held >= F.col("need")) & (x["at"] - F.col("at") < F.col("longest"))
+        return F.struct(held.alias("held"), (got["seen"] + 1).alias("seen"), F.when(better, dice).otherwise(got["dice"]).alias("dice"), F.when(better, held).otherwise(got["best"]).alias("best"), F.when(better, x["at"]).otherwise(got["end"]).alias("end"))
+
+    none = F.struct(F.lit(0).alias("held"), F.lit(0).alias("seen"), F.lit(0.0).alias("dice"), F.lit(0).alias("best"), F.lit(-1).alias("end"))
+    found = ahead.where(F.size("ahead") >= F.col("need")).select(*one, "licence", "at", F.aggregate("ahead", none, step).alias("x"))
+    near = found.select(*one, "licence", "at", F.col("x.end").alias("end"), F.struct(F.col("x.best").alias("best"), F.col("x.dice").alias("dice"), (F.col("at") - F.col("x.end")).alias("short"), (-F.col("at")).alias("first")).alias("rank")).where(F.col("rank.dice") >= least)
+    for keys in (one, text):
+        others = F.collect_list(F.struct("at", "end", "rank")).over(Window.partitionBy(*keys).orderBy("at").rangeBetween(-far, far))
+        near = near.withColumn("others", others).where(~F.exists("others", lambda o: (o["at"] <= F.col("end") + 1) & (o["end"] + 1 >= F.col("at")) & (o["rank"] > F.col("rank")))).drop("others")
+    won = near.select(F.col("doc_id").alias("id2"), F.col("h").alias("h2"), "licence", "at", "end", "rank.dice")
+    back = won.join(each, (F.col("h2") == F.col("h")) & F.col("id2").eqNullSafe(F.col("doc_id")))
+    return back.select("doc_id", "h", "licence", F.array_join(F.slice("words", F.col("at") + 1, F.col("end") - F.col("at") + 2), " ").alias("unit"), "dice")
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None, least: float = DICE) -> DataFrame:
     """``(doc_id, licence, dice, n_units)``: the licences that a document's units reach, with the best coefficient."""
     spark = docs.sparkSession
@@ -188,10 +240,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     # The text is bound once, as a lambda's variable: a filter would put it to lower case for every word.
     holds = lambda text: F.exists(F.array(text), any_of)
     small = spark.createDataFrame([(a, name, pairs) for a, name, pairs in listed], "size int, licence string, pairs array<string>")
-    each = docs.where(holds(F.lower(F.col(text_col)))).select(F.col(id_col).cast("long").alias("doc_id"), F.explode_outer(units(F.col(text_col))).alias("unit"))  # explode would have the units worked out in a filter first
-    own = each.where(holds(F.col("unit"))).select("doc_id", "unit", bigrams(F.col("unit")).alias("own")).where("own is not null").select("doc_id", "unit", "own", F.size("own").alias("size"))
+    some = cut(docs.where(holds(F.lower(F.col(text_col)))).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text")), "some")
+    each = some.select("doc_id", "h", F.explode_outer(units(F.col("text"))).alias("unit"))  # explode would have the units worked out in a filter first
+    own = each.where(holds(F.col("unit"))).select("doc_id", "h", "unit", bigrams(F.col("unit")).alias("own")).where("own is not null").select("doc_id", "h", "unit", "own", F.size("own").alias("size"))
     near = own.join(F.broadcast(small), "size").withColumn("dice", F.lit(2.0) * F.size(F.array_intersect("own", "pairs")) / (F.size("own") + F.size("pairs")))
-    return near.where(F.col("dice") >= least).groupBy("doc_id", "licence").agg(F.max("dice").alias("dice"), F.countDistinct("unit").alias("n_units"))
+    whole = cut(near.where(F.col("dice") >= least).select("doc_id", "h", "licence", "unit", "dice"), "whole")
+    o = whole.select(F.col("doc_id").alias("id2"), F.col("h").alias("h2"), F.col("licence").alias("licence2"), F.col("unit").alias("unit2"))
+    within = F.contains("unit", "unit2") | F.contains("unit2", "unit")
+    more = runs(some, templates, least).join(o, (F.col("h") == F.col("h2")) & F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("licence") == F.col("licence2")) & within, "left_anti")
+    return whole.unionByName(more).groupBy("doc_id", "licence").agg(F.max("dice").alias("dice"), F.countDistinct("unit").alias("n_units"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

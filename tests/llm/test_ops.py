@@ -215,6 +215,20 @@ def test_licences_finds_customary_notices(spark):
     assert {k: v[1] for k, v in best.items()} == {k: name for k, (_, name) in enumerate(notices)}
 
 
+def test_licences_finds_wrapped_and_inner_notices(spark):
+    import textwrap
+
+    want = {0: ("MIT", 1), 1: ("GPL-3.0", 0), 2: ("ISC", 0), 3: ("BSD-3-Clause", 0), 4: ("MIT", 1), 5: ("Apache-2.0", 1)}
+    code = "".join(f"x{k} = f{k}(y, {k})\n" for k in range(40))
+    wrapped = lambda k, lead: code + textwrap.fill(licences.TEMPLATES[want[k][0]][want[k][1]], 76, initial_indent=lead, subsequent_indent=lead) + "\n" + code
+    texts = [wrapped(k, "") for k in range(4)] + [wrapped(k, " * ") for k in (4, 5)]
+    texts += ["Thanks for reading this page. All rights reserved. Released under the MIT License. See you soon.", f"{prose(40, 3)} this project is licensed under the\nMozilla Public License 2.0 {prose(40, 4)}"]
+    texts += ["SPDX-License-Identifier: Zlib", "it is licensed under the terms of the house and released under the sun, with all rights kept", texts[0] + prose(300, 5) + texts[0]]
+    found = licences.scan(spark.createDataFrame([*enumerate(texts), (0, texts[0]), (None, texts[2])], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["licence"]) for r in found} == {(k, v[0]) for k, v in want.items()} | {(6, "Proprietary"), (6, "MIT"), (7, "MPL-2.0"), (10, "MIT"), (None, "ISC")}
+    assert all(r["n_units"] == 1 and r["dice"] > 0.99 for r in found)
+
+
 # 6: SimHash
 
 
