@@ -6,10 +6,13 @@ a menu or reader comments.  If the page has ``article`` or ``main`` elements, th
 
 Where a page has neither, structure leaves its blocks undecided, and the host's suffix array decides: the token
 streams of the host's undecided pages are taken together, suffixes are grouped by their first ``RUN`` tokens (what a
-common prefix of RUN tokens in the sorted suffix array amounts to), and a string that occurs on two or more distinct
-pages is boilerplate.  Tokens it covers go; unique runs stay.  Of strings only hashes are dealt out, and an
-aggregate of the smallest and the largest page tells whether there are two, so a host with most of the pages loads
-no task more than others.
+common prefix of RUN tokens in the sorted suffix array amounts to), and strings on two or more distinct pages repeat.
+Articles repeat too: in mirrors, near copies and quotations.  So only pages that are otherwise different, of whose
+tokens at least half lie in no repeated string, bear witness that a string is boilerplate, and pages of equal text
+are one witness.  In the first and last ``EDGE`` blocks two witnesses suffice, in others ``MANY``; blocks of ``LONG``
+tokens or more, wherever they stand, take ``VERY_MANY``, and the host's first witness keeps its copy.  Tokens that such
+strings cover go, all else stays.  Of strings only hashes are dealt out, and aggregates count the witnesses, so a host
+with most of the pages loads no task more than others.
 
 White space within a block becomes one space, character references are decoded, blocks are joined in page order by
 one line end.  Null and empty pages have an empty text.  Repeated rows each get their answer; pages that share an id
@@ -32,6 +35,8 @@ from pyspark.sql import functions as F
 from quartzite.llm.common import cut, id_order, read_table
 
 RUN = 8
+EDGE, MANY = 2, 3
+LONG, VERY_MANY = 40, 10
 _RAW = "script|style|noscript|template|svg|math|iframe|object|select|textarea|button|canvas|audio|video|title"
 _PART = re.compile(
     rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<raw>{_RAW})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>(?:.*?</(?P=raw)\s*>|.*\Z)"
@@ -141,17 +146,27 @@ def _suffixes(parts: list[str], run: int) -> Iterator[tuple[int, int]]:
         yield k, xxhash.xxh3_64_intdigest(" ".join(tokens[k : k + run])) - 2**63
 
 
-def _uncovered(parts: list[str], places: list[int] | None, run: int) -> list[str]:
-    """The blocks without the tokens that strings from these places cover."""
-    if not places:
-        return parts
-    gone = np.zeros(sum(len(p.split()) for p in parts) + 1, np.int32)
+def _covered(n: int, places: list[int], run: int) -> np.ndarray:
+    """Which of n tokens strings from these places cover."""
+    gone = np.zeros(n + 1, np.int32)
     for k in places:
         gone[k] += 1
         gone[k + run] -= 1
-    covered, at, out = np.cumsum(gone) > 0, 0, []
-    for p in parts:
+    return np.cumsum(gone)[:n] > 0
+
+
+def _uncovered(parts: list[str], found: list[tuple[int, int, bool]] | None, run: int) -> list[str]:
+    """The blocks without boilerplate; ``found`` has place, witnesses and whether this page is the first of them."""
+    if not found:
+        return parts
+    n = sum(len(p.split()) for p in parts)
+    edge = _covered(n, [k for k, _, _ in found], run)
+    inner = _covered(n, [k for k, w, _ in found if w >= MANY], run)
+    long = _covered(n, [k for k, w, first in found if w >= VERY_MANY and not first], run)
+    at, out = 0, []
+    for i, p in enumerate(parts):
         tokens = p.split()
+        covered = long if len(tokens) >= LONG else edge if i < EDGE or i >= len(parts) - EDGE else inner
         left = [t for k, t in enumerate(tokens, at) if not covered[k]]
         at += len(tokens)
         if left:
@@ -160,26 +175,40 @@ def _uncovered(parts: list[str], places: list[int] | None, run: int) -> list[str
 
 
 def without_boilerplate(open_: DataFrame, run: int = RUN) -> DataFrame:
-    """``(page_id, url, parts)`` of undecided pages without strings that their host repeats."""
-    keyed = open_.select("page_id", "url", "parts", id_order("page_id").alias("k"), F.coalesce(F.xxhash64("url", "parts"), F.lit(0)).alias("h"), F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")).alias("host"))
+    """``(page_id, url, parts)`` of undecided pages without the boilerplate of their host."""
+    keyed = open_.select("page_id", "url", "parts", id_order("page_id").alias("k"), F.coalesce(F.xxhash64("url", "parts"), F.lit(0)).alias("h"), F.xxhash64("parts").alias("c"), F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")).alias("host"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            rows = [(k, h, host, at, g) for k, h, host, parts in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True) for at, g in _suffixes(parts, run)]
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=["k", "h", "host", "at", "g"])
+            rows = [(k, h, c, host, at, g) for k, h, c, host, parts in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True) for at, g in _suffixes(parts, run)]
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=["k", "h", "c", "host", "at", "g"])
 
-    own = keyed.select("k", "h", "host", "parts").mapInArrow(each, "k long, h long, host string, at int, g long")
-    many = own.groupBy("host", "g").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low < high").select(F.col("host").alias("host2"), F.col("g").alias("g2"))
-    hit = own.join(many, (F.col("host") == F.col("host2")) & (F.col("g") == F.col("g2"))).groupBy(F.col("k").alias("k3"), F.col("h").alias("h3")).agg(F.collect_set("at").alias("places"))
-    joined = keyed.join(hit, (F.col("k") == F.col("k3")) & (F.col("h") == F.col("h3")), "left").select("page_id", "url", "parts", "places")
+    def held(rows: DataFrame) -> DataFrame:
+        """The strings of two witnesses or more; pages with one id, and pages of equal text, are one."""
+        own = rows.groupBy("host", "g", "k").agg(F.min("c").alias("c"))
+        return own.groupBy("host", "g").agg(F.countDistinct("c").alias("n"), F.min("k").alias("low")).where("n > 1").select(F.col("host").alias("host2"), F.col("g").alias("g2"), "n", "low")
+
+    def places(many: DataFrame) -> DataFrame:
+        hit = own.join(many, (F.col("host") == F.col("host2")) & (F.col("g") == F.col("g2")))
+        found = hit.groupBy(F.col("k").alias("k3"), F.col("h").alias("h3")).agg(F.collect_set(F.struct("at", F.col("n").alias("n"), (F.col("k") == F.col("low")).alias("first"))).alias("found"))
+        return keyed.join(found, (F.col("k") == F.col("k3")) & (F.col("h") == F.col("h3")), "left")
+
+    def different(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [sum(len(p.split()) for p in parts) for parts in batch.column(2).to_pylist()]
+            mask = [n > 0 and 2 * _covered(n, [x["at"] for x in found or []], run).sum() <= n for n, found in zip(sizes, batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["k4", "h4"]).filter(pa.array(mask, pa.bool_()))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            got = [_uncovered(p, places, run) for p, places in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            got = [_uncovered(p, [(x["at"], x["n"], x["first"]) for x in found or []], run) for p, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.list_(pa.string()))], names=["page_id", "url", "parts"])
 
-    return joined.mapInArrow(strip, "page_id long, url string, parts array<string>")
+    own = keyed.select("k", "h", "c", "host", "parts").mapInArrow(each, "k long, h long, c long, host string, at int, g long")
+    witnesses = cut(places(held(own)).select("k", "h", "parts", "found").mapInArrow(different, "k4 long, h4 long"), "witnesses")
+    boilerplate = held(own.join(witnesses.distinct(), (F.col("k") == F.col("k4")) & (F.col("h") == F.col("h4")), "left_semi"))
+    return places(boilerplate).select("page_id", "url", "parts", "found").mapInArrow(strip, "page_id long, url string, parts array<string>")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN) -> DataFrame:

@@ -370,6 +370,16 @@ def test_html_repeats_of_a_host(spark, none):
     assert extract.main_text(none.selectExpr("doc_id as page_id", "text as html", "pays as url")).count() == 0
 
 
+def test_html_repeated_articles_stay(spark):
+    flat = lambda n, seed: " ".join(prose(n, seed).split())
+    menu, quote, article = flat(12, 40), flat(60, 41), [flat(30, 42 + k) for k in range(6)]
+    page = lambda *parts: "".join(f"<div>{p}</div>" for p in parts)
+    texts = {1: article, 2: article, 3: [*article[:4], "edited", *article[4:]], 4: [flat(90, 50), quote, flat(90, 51)], 5: [flat(90, 52), quote, flat(90, 53)]}
+    rows = [(k, f"http://h.org/{k}", page(menu, *parts)) for k, parts in texts.items()] + [(k, f"http://m.org/{k}", page(*article)) for k in (6, 7)]
+    got = {r["page_id"]: r["text"] for r in extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: "\n".join(parts) for k, parts in texts.items()} | {k: "\n".join(article) for k in (6, 7)}
+
+
 # 10: pieces
 
 
