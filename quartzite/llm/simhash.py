@@ -21,10 +21,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quartzite.llm.common import connected_components, cut, local_components, read_table, shuffle_partitions, spread
+from quartzite.llm.common import connected_components, cut, id_order, local_components, read_table, shuffle_partitions, spread
 
 SHINGLE = 4
 RADIUS = 4
@@ -57,15 +57,19 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def _text_hash(text_col: str) -> Column:
+    return F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp long)`` of every row; fp is the fingerprint's bits as a signed number."""
+    """``(doc_id, th, fp long)`` of every row; th is the text's hash, fp the fingerprint's bits as a signed number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            fp = np.fromiter((simhash(x.as_py(), shingle) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            fp = np.fromiter((simhash(x.as_py(), shingle) for x in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "th", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_hash(text_col).alias("th"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def _probes(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,26 +182,30 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return fps.select("fp").mapInArrow(probe, "bucket int, pay binary").groupBy("bucket").applyInArrow(join, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``(doc_id, fingerprint, component_id)`` of every row."""
-    marked = cut(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+def groups(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``(fp, low, root)``: each fingerprint of ``marked``, its smallest id and the smallest fingerprint of its component."""
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
     roots = connected_components(links(distinct, radius)).select(F.col("node").alias("fp"), "root")
-    groups = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    low = groups.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = groups.select("fp", "root").join(low, "root").select("fp", "component_id")
+    return distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """``(doc_id, fingerprint, component_id)`` of every row."""
+    marked = cut(fingerprints(docs, id_col, text_col, shingle).select("doc_id", "fp"), "fingerprints")
+    found = groups(marked, radius)
+    low = found.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = found.select("fp", "root").join(low, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their component; of rows that repeat an id, the one with the least text."""
-    from pyspark.sql import Window
-
-    found = near_duplicates(docs, id_col, text_col)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    own = docs.join(keep, docs[id_col].cast("long").eqNullSafe(keep["_keep"]), "left_semi")
-    turn = Window.partitionBy(id_col).orderBy(F.col(text_col))
-    return own.withColumn("_turn", F.row_number().over(turn)).where("_turn = 1").drop("_turn")
+    """One row of ``docs`` for each component: the one with the smallest id (null ids last), then the smallest text hash."""
+    marked = cut(fingerprints(docs, id_col, text_col), "fingerprints")
+    least = marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("one"))
+    keep = groups(marked).join(least, "fp").groupBy("root").agg(F.min("one").alias("one")).select(F.col("one.none").alias("_n"), id_order("one.doc_id").alias("_k"), F.col("one.th").alias("_t"))
+    keyed = docs.withColumns({"_none": F.col(id_col).cast("long").isNull(), "_key": id_order(F.col(id_col).cast("long")), "_hash": _text_hash(text_col)})
+    own = keyed.join(keep, (F.col("_none") == F.col("_n")) & (F.col("_key") == F.col("_k")) & (F.col("_hash") == F.col("_t")), "left_semi")
+    return own.dropDuplicates(["_none", "_key", "_hash"]).select(*docs.columns)
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

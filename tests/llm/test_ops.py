@@ -244,6 +244,14 @@ def test_simhash(odd, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_keep_one_of_each_component(spark):
+    a, b, c, d = (prose(80, 60 + k) for k in range(4))
+    rows = [(None, a, "x"), (None, b, "x"), (None, b, "x"), (None, None, "x"), (1, c, "x"), (1, d, "x"), (2, d, "x"), (3, c, "x"), (None, c, "x"), (5, a, "x"), (5, a, "x")]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _keep string"))
+    assert got.columns == ["doc_id", "text", "_keep"]
+    assert sorted(((r[0], r[1]) for r in got.collect()), key=str) == sorted([(5, a), (None, b), (None, None), (1, c), (1, d)], key=str)
+
+
 @pytest.mark.parametrize("dense", [1 << 24, 64])
 def test_links_connect_whatever_is_near(spark, monkeypatch, dense):
     r = random.Random(5)
