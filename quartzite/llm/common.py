@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -31,10 +32,13 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a folder of our own where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.  Where that is unset, a session within one
+    machine gets a folder of its own, and any other is refused: its executors would not see each other's files."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if got:
         return got.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="quartzite-")
@@ -43,7 +47,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quartzite/{uuid.uuid4().hex}/{name}"
+    """A new folder in the shared one; what is left of it when the driver ends is deleted then."""
+    top = f"{shared_dir(spark)}/quartzite/{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top)
+    system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(hadoop)
+    system.deleteOnExit(hadoop)
+    return f"{top}/{name}"
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
@@ -80,6 +90,23 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(ROWS_PER_BATCH))
 
 
+def free(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to differ from all taken ones in any case."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def input_bytes(df: DataFrame, column: str) -> int:
+    """Spark's estimate of a plan's size, which for a scan is that of its files; the bytes of ``column`` where it has none."""
+    guess = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return guess if guess < 1 << 50 else df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -4,13 +4,16 @@ Two zstandard dictionaries are built from good and from bad labelled texts.  A t
 compresses to with the bad dictionary less that with the good one, over its length in bytes; a logistic curve,
 fitted on labelled texts that the dictionaries have not seen, turns it into a probability that the label is 1.
 
-Training sample: of each label at most ``MAX_ROWS`` rows, the first by a hash of the id, of texts up to
-``MAX_TRAIN_BYTES`` bytes.  Those are the bounds on what reaches the driver.  Rows whose ``crc32`` of the id as text
+Training sample: of each label at most ``MAX_ROWS`` rows, the first by a hash of the id among those with texts of 1 to
+``MAX_TRAIN_BYTES`` bytes.  Those are the bounds on what reaches the driver.  A dictionary of ``DICTIONARY_BYTES`` is
+trained on a label's sample; where that has under 64 texts, too few to train on, the last DICTIONARY_BYTES of the
+sample's texts serve as they are.  Rows whose ``crc32`` of the id as text
 leaves 1 on division by 3 are held out and never learned from.  An id with differing labels counts as its mean
 label, halves up; labels that are null are ignored.  Scoring reads every whole text and nothing else of a row.
 
 Null and empty texts have feature 0.  Repeated rows get equal scores; a null id is not held out.  Without two
-classes to learn from, every score is the labelled share of label 1 (0.5 without labels).
+classes to learn from, every score is the labelled share of label 1 (0.5 without labels).  An empty table gives an
+empty result.  Further columns are carried by ``score`` and may have any names.
 """
 
 from __future__ import annotations
@@ -21,11 +24,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quartzite.llm.common import read_table
+from quartzite.llm.common import free, read_table
 
 MAX_ROWS = 3000
 MAX_TRAIN_BYTES = 32768
@@ -66,15 +69,17 @@ def fold(id_col: str = "doc_id"):
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text") -> list[tuple[int, str, int]]:
-    """The bounded training sample: id, text, label, in a fixed order."""
+    """The bounded training sample: id, text, label, in a fixed order.
+
+    Ids, lengths and hashes alone are joined with the labels and ordered; the texts of the chosen rows follow."""
     own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("_label"))
     own = own.where(F.crc32(F.col("_id").cast("string")) % FOLDS != HELD_OUT)
-    rank = F.xxhash64(F.col("_id"))
-    ids = own.where("_label = 1").orderBy(rank, "_id").limit(2 * MAX_ROWS).unionByName(own.where("_label = 0").orderBy(rank, "_id").limit(2 * MAX_ROWS))
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where(F.octet_length("_text").between(1, MAX_TRAIN_BYTES)).join(F.broadcast(ids), "_id")
-    turn = Window.partitionBy("_label").orderBy(rank, "_id", "_text")
-    got = rows.withColumn("_turn", F.row_number().over(turn)).where(F.col("_turn") <= MAX_ROWS).select("_id", "_text", "_label").collect()
-    return sorted(set(map(tuple, got)))
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).where(F.octet_length("_text").between(1, MAX_TRAIN_BYTES)).withColumn("_th", F.xxhash64("_text"))
+    known = texts.select("_id", "_th").join(own, "_id").distinct()
+    first = lambda label: known.where(F.col("_label") == label).orderBy(F.xxhash64("_id"), "_id", "_th").limit(MAX_ROWS)
+    chosen = first(0).unionByName(first(1))  # 2 * MAX_ROWS rows of three numbers
+    got = texts.join(F.broadcast(chosen), ["_id", "_th"]).dropDuplicates(["_id", "_th"]).select("_id", "_text", "_label").collect()
+    return sorted(map(tuple, got))
 
 
 def train(rows: list[tuple[int, str, int]]) -> Model:
@@ -131,8 +136,10 @@ def fit(docs: DataFrame, labels: DataFrame, **columns: str) -> Model:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "_score") -> DataFrame:
-    """``docs`` with a score for every row.  The model is under 200 KB and travels with the tasks."""
+    """``docs`` with a score for every row, the last column: ``out_col``, with more underscores where the table has such
+    a column.  The model is under 200 KB and travels with the tasks."""
     at = docs.columns.index(text_col)
+    (out_col,) = free(docs.columns, out_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(out_col, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:

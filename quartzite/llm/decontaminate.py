@@ -6,15 +6,19 @@ if it is shorter) is compared by weighted Jaccard similarity of 5-word shingles,
 often it occurs; items under five words are one shingle.  A text is contaminated by an item if a window reaches
 ``SIMILARITY``.
 
-Search: a window that reaches the similarity holds some shingle of the item, so windows without any are passed over.
-The others get a 64-bit SimHash of their words, looked up in a multi-index over the item's: eight blocks of eight
-bits, balls of radius 2 in the first five and 1 in the last three, which find every item within ``RADIUS`` bits.
-Exact similarity decides.  Items are taken in blocks of ``ITEMS`` (what travels with a task is under 100 MB even if
-each item had a thousand words); every block is held against all texts.
+Search: each window of an item's size gets a 64-bit SimHash of its words, and a multi-index over the items of that size
+finds all within ``RADIUS`` bits: eight blocks of eight bits, each with a table from a block's value to the items whose
+block lies in the ball around it (radius 2 in the first five, 1 in the last three).  The tables' lists are merged and
+complete distances checked; exact similarity then decides.  Windows that cannot reach the similarity with any item of
+their size, as they hold too few of the benchmark's shingles (whichever items'), are passed over before that.
+
+Items are taken in blocks of ``ITEMS`` items and ``BYTES`` bytes of text at most, which bounds what the driver holds and
+what travels with a task; every block is held against all texts.
 
 Null and empty texts, and items without words, match nothing.  Repeated items count once; equal texts under
 different item ids each match.  Repeated rows of a text give repeated rows of the result.  Of equally similar
-windows the first is reported.  Ids may be null; further columns are not read.
+windows the first is reported.  Empty tables give an empty result.  Ids may be null; further columns are not read, but
+carried by ``clean``, and may have any names.
 """
 
 from __future__ import annotations
@@ -35,10 +39,12 @@ from quartzite.llm.common import read_table
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 20
-ITEMS = 10_000
+ITEMS, BYTES = 10_000, 16 << 20
 BLOCKS, WIDTH = 8, 8
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _CACHE = 1 << 19
+#: Windows looked up at once.
+STARTS = 4096
 
 
 def word(token: str) -> str:
@@ -84,41 +90,37 @@ class Index:
             if own:
                 self.items.append((key, np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in own], np.int64)))
         self.counts = [Counter(_shingles(ids).tolist()) for _, ids in self.items]
-        of: dict[int, list[int]] = {}
-        for k, c in enumerate(self.counts):
-            for code in c:
-                of.setdefault(code, []).append(k)
-        self.codes = np.array(sorted(of), np.uint64)
-        self.of = [of[c] for c in self.codes.tolist()]
+        self.codes = np.array(sorted({c for own in self.counts for c in own}), np.uint64)
         self.short = any(len(ids) < SHINGLE for _, ids in self.items)
         self.fp = np.array([window_simhash(ids, len(ids))[0] for _, ids in self.items], np.uint64)
         by_size: dict[int, list[int]] = {}
         for k, (_, ids) in enumerate(self.items):
             by_size.setdefault(len(ids), []).append(k)
-        self.sizes = {n: np.array(ks) for n, ks in by_size.items()}
-        self.tables = {n: self._tables(self.fp[ks]) for n, ks in self.sizes.items()}
-
-    @staticmethod
-    def _tables(fp: np.ndarray) -> np.ndarray:
-        """[block, value, item]: whether the item's block lies in the ball around the value."""
-        out = np.zeros((BLOCKS, 1 << WIDTH, len(fp)), bool)
-        extra = RADIUS - BLOCKS * (RADIUS // BLOCKS)
+        self.tables = {n: self._tables(np.array(ks)) for n, ks in by_size.items()}
+
+    def _tables(self, ks: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each block: where the items of each value begin, and the items in order of the values whose ball holds them."""
+        out, extra = [], RADIUS - BLOCKS * (RADIUS // BLOCKS)
         for b in range(BLOCKS):
-            own = (fp >> np.uint64(b * WIDTH)) & np.uint64((1 << WIDTH) - 1)
-            for r in range(RADIUS // BLOCKS + (b <= extra)):
-                for flip in combinations(range(WIDTH), r):
-                    out[b, (own ^ np.uint64(sum(1 << x for x in flip))).astype(np.int64), np.arange(len(fp))] = True
+            own = (self.fp[ks] >> np.uint64(b * WIDTH)) & np.uint64((1 << WIDTH) - 1)
+            flips = [sum(1 << x for x in flip) for r in range(RADIUS // BLOCKS + (b <= extra)) for flip in combinations(range(WIDTH), r)]
+            values = (own[:, None] ^ np.array(flips, np.uint64)).astype(np.int64).ravel()
+            order = np.argsort(values, kind="stable")
+            out.append((np.searchsorted(values[order], np.arange((1 << WIDTH) + 1)), np.repeat(ks, len(flips))[order]))
         return out
 
     def candidates(self, n: int, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) of all items of n words within RADIUS bits of the windows' fingerprints."""
-        table, ks = self.tables[n], self.sizes[n]
-        near = np.zeros((len(fp), len(ks)), bool)
-        for b in range(BLOCKS):
-            near |= table[b][((fp >> np.uint64(b * WIDTH)) & np.uint64((1 << WIDTH) - 1)).astype(np.int64)]
-        w, j = np.nonzero(near)
-        ok = np.bitwise_count(fp[w] ^ self.fp[ks[j]]) <= RADIUS
-        return w[ok], ks[j[ok]]
+        found = []
+        for b, (begin, items) in enumerate(self.tables[n]):
+            value = ((fp >> np.uint64(b * WIDTH)) & np.uint64((1 << WIDTH) - 1)).astype(np.int64)
+            size = begin[value + 1] - begin[value]
+            w = np.repeat(np.arange(len(fp)), size)
+            item = items[np.arange(len(w)) + np.repeat(begin[value] - (np.cumsum(size) - size), size)]
+            near = np.bitwise_count(fp[w] ^ self.fp[item]) <= RADIUS
+            found.append(w[near] * len(self.fp) + item[near])
+        both = np.unique(np.concatenate(found))
+        return both // len(self.fp), both % len(self.fp)
 
     def similarity(self, item: int, window: np.ndarray) -> float:
         a, b = self.counts[item], Counter(_shingles(window).tolist())
@@ -153,7 +155,7 @@ def matches(index: Index, cache: Words, text: str | None) -> list[tuple[int, flo
         return []
     word_at = np.flatnonzero(ids)
     ids = ids[word_at]
-    hits: dict[int, list[int]] = {}
+    spots: list[np.ndarray] = []  # where shingles of the benchmark begin, and how many words they have
     for k in {min(SHINGLE, len(ids))} if not index.short else range(1, min(SHINGLE, len(ids)) + 1):
         total = np.cumsum(np.concatenate(([0], ids > 0)))
         at = np.flatnonzero(total[k:] - total[:-k] == k)
@@ -164,51 +166,38 @@ def matches(index: Index, cache: Words, text: str | None) -> list[tuple[int, flo
             spot = np.searchsorted(index.codes, code)
             found = spot < len(index.codes)
             found[found] = index.codes[spot[found]] == code[found]
-            for p, s in zip(at[found].tolist(), spot[found].tolist(), strict=True):
-                for item in index.of[s]:
-                    hits.setdefault(item, []).append(p)
-    out = []
-    by_size: dict[int, list[int]] = {}
-    for item in hits:
-        by_size.setdefault(len(index.items[item][1]), []).append(item)
-    for n, items in by_size.items():
+            spots.append(at[found])
+    held = np.zeros(len(ids) + 1, np.int64)  # benchmark shingles that begin before a word
+    for at in spots:
+        held[1:] += np.bincount(at, minlength=len(ids))
+    held = np.cumsum(held)
+    if not held[-1]:
+        return []
+    best: dict[int, tuple[float, int]] = {}
+    for n in index.tables:
         size = min(n, len(ids))
         last = len(ids) - size
-        shingles = max(1, n - SHINGLE + 1)
         # Of an item's a shingles and the window's b, both >= s (a + b) / (1 + s) must agree.
-        need = SIMILARITY / (1 + SIMILARITY) * (shingles + max(1, size - SHINGLE + 1))
-        starts: set[int] = set()
-        per: dict[int, np.ndarray] = {}
-        for item in items:
-            p = np.array(sorted(hits[item]))
-            lo, hi = np.maximum(p - size + 1, 0), np.minimum(p, last)
-            edge = np.zeros(len(ids) + 2, np.int32)
-            np.add.at(edge, lo, 1)
-            np.add.at(edge, hi + 1, -1)
-            per[item] = np.cumsum(edge)
-            starts.update(np.flatnonzero(per[item][: last + 1] >= min(need, len(p)) - 1e-9 if need <= len(p) else np.zeros(0)).tolist())
-        if not starts:
-            continue
-        at = np.array(sorted(starts))
-        fp = np.concatenate([window_simhash(ids[run[0] : run[-1] + size], size)[run - run[0]] for run in np.split(at, np.flatnonzero(np.diff(at) > size) + 1)])
-        best: dict[int, tuple[float, int]] = {}
-        for w, item in zip(*(x.tolist() for x in index.candidates(n, fp)), strict=True):
-            s = at[w]
-            if item in per and per[item][s] >= need - 1e-9:
+        need = SIMILARITY / (1 + SIMILARITY) * (max(1, n - SHINGLE + 1) + max(1, size - SHINGLE + 1))
+        at = np.flatnonzero(held[size : last + size + 1] - held[: last + 1] >= need - 1e-9)
+        for low in range(0, len(at), STARTS):
+            part = at[low : low + STARTS]
+            fp = np.concatenate([window_simhash(ids[run[0] : run[-1] + size], size)[run - run[0]] for run in np.split(part, np.flatnonzero(np.diff(part) > size) + 1)])
+            for w, item in zip(*(x.tolist() for x in index.candidates(n, fp)), strict=True):
+                s = int(part[w])
                 got = index.similarity(item, ids[s : s + size])
                 if got >= SIMILARITY and got > best.get(item, (0.0, 0))[0]:
                     best[item] = (got, int(word_at[s]))
-        out += [(item, *b) for item, b in best.items()]
-    return sorted(out)
+    return sorted((item, *b) for item, b in best.items())
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int | None, str]]]:
     own = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("text is not null").distinct()
-    n = own.count()
-    parts = max(1, -(-n // ITEMS))
+    n, size = own.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(1, -(-n // ITEMS), -(-size // BYTES))
     for k in range(parts):
         part = own if parts == 1 else own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        yield sorted(((r[0], r[1]) for r in part.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        yield sorted(((r[0], r[1]) for r in part.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))  # about ITEMS rows, BYTES bytes
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

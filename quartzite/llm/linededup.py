@@ -14,8 +14,8 @@ Each fingerprint is joined with its earliest position alone, not with all others
 (they match another earlier position, or none) are keyed by their own lines, and the earliest of each key is found by
 an aggregate.  So rows grow with the input, whatever the number of copies.
 
-Null texts give an empty result row; null ids come first.  Rows that repeat both id and text are one document: none is the earlier, and each gets the same answer.  Further columns
-are carried by ``remove_runs`` and may have any names.
+Null and empty texts give an empty result row; null ids come first.  Rows that repeat both id and text are one
+document: none is the earlier, and each gets the same answer.  An empty table gives an empty result.  Further columns are carried by ``remove_runs`` and may have any names.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quartzite.llm.common import cut, id_order, read_table
+from quartzite.llm.common import cut, free, id_order, read_table
 
 WINDOW = 3
 LONG = 50
@@ -173,24 +173,30 @@ def strip(text: str | None, starts: list[int] | None, window: int = WINDOW) -> t
     return "\n".join(x for k, x in enumerate(lines) if k not in drop), len(places), int(gone.sum()), runs
 
 
+def names(columns: Iterable[str]) -> list[str]:
+    """What ``remove_runs`` calls what it adds: ``_kept``, ``_lines``, ``_removed`` and ``_runs``, with more underscores where a table has such columns."""
+    return free(columns, "_kept", "_lines", "_removed", "_runs")
+
+
 def remove_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, columns: list[str] | None = None, long: int = LONG) -> DataFrame:
-    """``docs`` (or ``columns`` of it) with ``_kept``, ``_lines``, ``_removed`` and ``_runs``."""
+    """``docs`` (or ``columns`` of it) and after them the kept text, the lines, the lines removed and the runs removed, named by ``names``."""
     columns = columns or docs.columns
     key, th = id_order(F.col(id_col).cast("long")), F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0))
     own = docs.select(key.alias("k"), th.alias("th"), F.col(text_col).alias("text")).where("text is not null")
     found = repeated_windows(own, window).withColumn("n", F.lit(window)).unionByName(repeated_long(own, window, long))
-    starts = found.groupBy(F.col("k").alias("_k"), F.col("th").alias("_th")).agg(F.collect_set(F.struct("s", "n")).alias("_starts"))
-    base = docs.select(*(F.col(f"`{c}`") for c in columns), key.alias("_key"), th.alias("_hash"))
-    joined = base.join(starts, (F.col("_key") == F.col("_k")) & (F.col("_hash") == F.col("_th")), "left").select(*(F.col(f"`{c}`") for c in columns), F.col("_starts"))
-    at = columns.index(text_col)
+    k, t, k2, t2, at_ = free(columns, "_key", "_hash", "_key2", "_hash2", "_starts")
+    starts = found.groupBy(F.col("k").alias(k2), F.col("th").alias(t2)).agg(F.collect_set(F.struct("s", "n")).alias(at_))
+    base = docs.select(*(F.col(f"`{c}`") for c in columns), key.alias(k), th.alias(t))
+    joined = base.join(starts, (F.col(k) == F.col(k2)) & (F.col(t) == F.col(t2)), "left").select(*(F.col(f"`{c}`") for c in columns), F.col(at_))
+    at, added = columns.index(text_col), names(columns)
     fields = [f for c in columns for f in docs.schema.fields if f.name == c]
-    schema = T.StructType([*fields, T.StructField("_kept", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("_lines", "_removed", "_runs"))])
+    schema = T.StructType([*fields, *(T.StructField(c, T.StringType() if i == 0 else T.LongType()) for i, c in enumerate(added))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
             got = [strip(x.as_py(), [r["s"] + d for r in s.as_py() or [] for d in range(r["n"])], 1) for x, s in zip(batch.column(at), batch.column(batch.num_columns - 1), strict=True)]
             new = [pa.array([g[k] for g in got], t) for k, t in ((0, pa.string()), (1, pa.int64()), (2, pa.int64()), (3, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*batch.schema.names[:-1], "_kept", "_lines", "_removed", "_runs"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*batch.schema.names[:-1], *added])
 
     return joined.mapInArrow(run, schema)
 

@@ -2,8 +2,12 @@
 
 A text is one dummy space and the text (the library writes spaces as U+2581, here they stay spaces).  Words are cut
 where no piece of the vocabulary goes on: before spaces, and between punctuation and other characters as far as the
-vocabulary allows.  So they are encoded on their own, and each distinct word of the corpus once.  Substrings of two characters up to the longest piece are exploded and equi-joined to the piece table
-(fixed in size, so broadcast), the edges are grouped by word, and a higher-order ``aggregate`` folds them.
+vocabulary allows.  So they are encoded on their own, and each distinct word of the corpus once.  Substrings of two characters up to the longest piece
+are exploded and equi-joined to the piece table (fixed in size, so broadcast), the edges are grouped by word, and a
+higher-order ``aggregate`` folds them.
+
+The explode is bounded: from a start, substrings go as far as the longest piece with the same three characters, which
+a second, equally small table tells; no piece is missed.
 
 The fold follows the vocabulary's kind.  ``unigram``: Viterbi, the path with the greatest sum of scores, over the
 edges in order of their ends.  ``bpe``: as the merge rule has it, the best-scored edge (the leftmost of equals) that
@@ -12,9 +16,9 @@ for, so Viterbi would give other pieces than its library does.  The parts of a w
 over ``BITS`` characters fold the same edges in an Arrow function with a heap.  Characters without a piece become
 their UTF-8 bytes' pieces, or the unknown piece where the vocabulary has none.
 
-Texts get their words' pieces back in two ways: the most frequent words, at most ``HOT_WORDS`` of them whatever the
-corpus, travel with the tasks; every other (text, word) pair is joined with the word table, and its pieces come back
-under the word's place among the text's other words.
+Texts are cut into words by array operations, a block at a time, and only a block's distinct words are looked up.  Texts get their words' pieces back in two ways: the most frequent words, at most ``HOT_WORDS`` of
+them whatever the corpus, travel with the tasks; every other (text, word) pair is joined with the word table, and its
+pieces come back under the word's place among the text's other words.
 
 Decoding joins the pieces, bytes included, turns U+2581 into spaces and takes the dummy space off.  It gives the text
 back but for U+2581 in the text itself, which becomes a space, and unknown pieces.  Null and empty texts have no
@@ -25,27 +29,25 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import math
-import re
 import string
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quartzite.llm.common import cut, default_tokenizer, drop_cut, id_order, read_table, squeezed, unsqueezed
 
 SPACE = "▁"
 HOT_WORDS = 200_000
-#: Distinct words that a task counts before it passes them on.
-COUNTED = 1 << 17
+#: Characters of a block of texts (one text may have more), those hashed at once, and places with numbers of their own.
+CHARS, SEGMENT, PLACES = 1 << 22, 1 << 19, 1 << 12
 BITS = 60
 #: Lowest bits of an edge's rank and start, and the bits that its length takes, above the one for early pieces.
 RANK_AT = (43, 9, 8)
@@ -71,8 +73,9 @@ class Vocabulary:
     def longest(self) -> int:
         return max(map(len, self.ids), default=1)
 
-    def pattern(self) -> str:
-        """Words: spaces and then marks, or spaces and then other characters, or white space that pieces hold alone.
+    def kinds(self) -> tuple[str, str]:
+        """Marks, and white space that pieces hold alone.  Words are spaces and then marks, or spaces and then other
+        characters, or spaces before something else, or one character of the second kind.
 
         Characters that are next to each other in a piece (a space before one aside) belong together, and so do those
         that further characters tie to each other.  Marks are those that are so tied to punctuation and to no letter;
@@ -94,8 +97,7 @@ class Vocabulary:
 
         marks = reach(set(string.punctuation) - reach(string.ascii_letters + string.digits))
         alone = "".join(c for c in "\n\t\r" if c not in tied and c not in marks)
-        inside, end = re.escape("".join(sorted(marks))), re.escape(" " + alone)
-        return "|".join([f" *[{inside}]+"] * bool(marks) + [f" *[^{inside}{end}]+", " +"] + [f"[{re.escape(alone)}]"] * bool(alone))
+        return "".join(sorted(marks)), alone
 
     def part(self, text: str) -> list[int]:
         got = self.ids.get(text)
@@ -128,6 +130,38 @@ class Vocabulary:
         return out
 
 
+def _varint(raw: bytes, at: int) -> tuple[int, int]:
+    value = shift = 0
+    while True:
+        byte = raw[at]
+        value |= (byte & 127) << shift
+        at, shift = at + 1, shift + 7
+        if byte < 128:
+            return value, at
+
+
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol-buffer message."""
+    at = 0
+    while at < len(raw):
+        tag, at = _varint(raw, at)
+        if tag & 7 == 0:
+            value, at = _varint(raw, at)
+        else:
+            size, at = _varint(raw, at) if tag & 7 == 2 else ({1: 8, 5: 4}[tag & 7], at)
+            value, at = raw[at : at + size], at + size
+        yield tag >> 3, value
+
+
+def model_kind(raw: bytes) -> str:
+    """``unigram`` or ``bpe``, from a model file's trainer settings (field 2; model type is field 3, unigram unless said)."""
+    own = [v for k, trainer in _fields(raw) if k == 2 for f, v in _fields(trainer) if f == 3]
+    kind = {1: "unigram", 2: "bpe"}.get(own[-1] if own else 1)
+    if kind is None:
+        raise ValueError("the model is neither a unigram nor a bpe one")
+    return kind
+
+
 def load(path: str | None = None) -> Vocabulary:
     """The vocabulary of a SentencePiece model file, read on the driver."""
     import sentencepiece
@@ -136,47 +170,107 @@ def load(path: str | None = None) -> Vocabulary:
     every = range(sp.get_piece_size())
     plain = tuple((sp.id_to_piece(k).replace(SPACE, " "), k, float(sp.get_score(k))) for k in every if not (sp.is_byte(k) or sp.is_control(k) or sp.is_unknown(k) or sp.is_unused(k)))
     raw = tuple(k for k in every if sp.is_byte(k))
-    return Vocabulary(plain, raw if len(raw) == 256 else (), sp.unk_id())
-
-
-def _cutter(pattern: str):
-    find = re.compile(pattern).findall
-    return lambda text: find(" " + (text.replace(SPACE, " ") if SPACE in text else text)) if text else []
+    return Vocabulary(plain, raw if len(raw) == 256 else (), sp.unk_id(), model_kind(sp.serialized_model_proto()))
+
+
+class Cutter:
+    """Cuts texts into words, a block of texts at a time, with array operations.
+
+    A word's 64-bit hash is a sum of its characters' numbers, each times a number of its place; a second such sum tells
+    if two words of a block share the first.  Only a block's distinct words become strings."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        marks, alone = vocabulary.kinds()
+        self.kind = np.zeros(0x110000, np.uint8)  # 0 others, 1 marks, 2 spaces, 3 alone
+        for k, chars in ((1, marks), (2, " "), (3, alone)):
+            self.kind[[ord(c) for c in chars]] = k
+        random = np.random.Generator(np.random.PCG64(20240301))
+        self.of_char = random.integers(0, 2**64, 0x110000, np.uint64)
+        self.of_place = random.integers(0, 2**64, (2, PLACES), np.uint64) | np.uint64(1)
+
+    def __call__(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[str]]]:
+        """Of each block: its first text's place, the number of each word, where each text's words begin and end, the
+        distinct words.  A text begins with the dummy space; null and empty texts have no words."""
+        own = pc.replace_substring(pc.fill_null(texts, ""), SPACE, " ").to_pylist()
+        at, size = 0, 0
+        for k, text in enumerate(own):
+            size += len(text) + 1
+            if size >= CHARS or k + 1 == len(own):
+                yield at, *self.block(own[at : k + 1])
+                at, size = k + 1, 0
+
+    def block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        sizes = np.array([len(t) + (len(t) > 0) for t in texts], np.int64)
+        whole = "".join([" " + t for t in texts if t])
+        if not whole:
+            return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64), []
+        chars = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        kind = self.kind[chars]
+        before = np.concatenate(([3], kind[:-1]))
+        begins = (kind == 3) | ((kind == 2) & (before != 2)) | ((kind < 2) & ((before == 3) | ((before < 2) & (kind != before))))
+        begins[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        starts = np.flatnonzero(begins)
+        ends = np.searchsorted(starts, np.concatenate(([0], np.cumsum(sizes))))
+        stops = np.concatenate((starts[1:], [len(chars)]))
+        one, two = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
+        low = 0
+        while low < len(starts):  # as many words at once as SEGMENT characters hold
+            high = max(low + 1, int(np.searchsorted(stops, starts[low] + SEGMENT, "right")))
+            a, b = int(starts[low]), int(stops[high - 1])
+            place = np.arange(a, b) - np.repeat(starts[low:high], stops[low:high] - starts[low:high])
+            place %= PLACES
+            code = self.of_char[chars[a:b]]
+            one[low:high] = np.add.reduceat(code * self.of_place[0][place], starts[low:high] - a)
+            two[low:high] = np.add.reduceat(code * self.of_place[1][place], starts[low:high] - a)
+            low = high
+        long = stops - starts > PLACES  # places repeat in these
+        for i in np.flatnonzero(long).tolist():
+            raw = whole[starts[i] : stops[i]].encode()
+            one[i], two[i] = xxhash.xxh3_64_intdigest(raw), xxhash.xxh3_64_intdigest(raw, 1)
+        coded = pa.array(one).dictionary_encode()
+        at = coded.indices.to_numpy().astype(np.int64)
+        first = np.zeros(len(coded.dictionary), np.int64)
+        first[at[::-1]] = np.arange(len(at))[::-1]
+        a, b = starts[first].tolist(), stops[first].tolist()
+        words = [whole[x:y] for x, y in zip(a, b, strict=True)]
+        if (two != two[first][at]).any():  # two words with one hash
+            number: dict[str, int] = {}
+            at = np.array([number.setdefault(whole[x:y], len(number)) for x, y in zip(starts.tolist(), stops.tolist(), strict=True)], np.int64)
+            words = list(number)
+        return at, ends, words
 
 
 def count_words(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``(word, n)``: words of two characters or more, summed on the tasks before they move."""
-    pattern = vocabulary.pattern()
+    """``(word, n)``: words of two characters or more, summed within blocks and on the tasks before they move."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         _HOT.clear()  # of an earlier corpus
-        words, seen = _cutter(pattern), Counter()
-
-        def out() -> Iterator[pa.RecordBatch]:
-            items = ((w, n) for w, n in seen.items() if len(w) > 1)
-            while own := list(islice(items, 1 << 15)):
-                w, n = zip(*own, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(n, pa.int64())], names=["word", "n"])
-            seen.clear()
-
+        cut_up = Cutter(vocabulary)
         for batch in batches:
-            for x in batch.column(0):
-                seen.update(words(x.as_py()))
-                if len(seen) >= COUNTED:
-                    yield from out()
-        yield from out()
+            for _, at, _, words in cut_up(batch.column(0)):
+                took = pa.array(words, pa.string())
+                rows = pa.RecordBatch.from_arrays([took, pa.array(np.bincount(at, minlength=len(words)))], names=["word", "n"])
+                yield rows.filter(pc.greater(pc.utf8_length(took), 1))
 
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def edges(words: DataFrame, pieces: DataFrame, longest: int, edge: str) -> DataFrame:
+def _prefix(word: str, s: str) -> Column:
+    """Three characters from a place as one number."""
+    return F.expr(f"shiftleft(cast(ascii(substring({word}, {s} + 1, 1)) as bigint), 42) + shiftleft(cast(ascii(substring({word}, {s} + 2, 1)) as bigint), 21) + ascii(substring({word}, {s} + 3, 1))")
+
+
+def edges(words: DataFrame, pieces: DataFrame, edge: str) -> DataFrame:
     """``(word, n, edges)``: ``edge``, an expression of the piece's columns and ``s``, of each piece within each word.
 
-    The explodes and the broadcast join leave rows where their word is, so grouping needs no further shuffle."""
+    The explodes and the broadcast joins leave rows where their word is, so grouping needs no further shuffle.  Both
+    tables are no larger than the vocabulary; single numbers as keys are found faster than strings."""
+    far = pieces.where(F.length("piece") > 2).groupBy(_prefix("piece", "0").alias("p")).agg(F.max(F.length("piece")).alias("far"))
     at = words.withColumn("size", F.length("word")).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("size") - 2)))
-    each = at.withColumn("l", F.explode(F.sequence(F.lit(2), F.least(F.lit(longest), F.col("size") - F.col("s")))))
-    part = each.withColumn("part", F.substring("word", F.col("s") + 1, F.col("l")))
-    found = part.join(F.broadcast(pieces.withColumn("key", F.xxhash64("piece"))), (F.xxhash64("part") == F.col("key")) & (F.col("part") == F.col("piece")))  # numbers are found faster than strings
+    reach = at.join(F.broadcast(far), _prefix("word", "s") == F.col("p"), "left").withColumn("most", F.least(F.coalesce("far", F.lit(2)), F.col("size") - F.col("s")))
+    part = reach.select("word", "n", "s", F.explode(F.sequence(F.lit(2), F.col("most"))).alias("l")).withColumn("part", F.substring("word", F.col("s") + 1, F.col("l")))
+    same = F.startswith("part", "piece") & F.startswith("piece", "part")
+    found = part.join(F.broadcast(pieces.withColumn("key", F.xxhash64("piece"))), (F.xxhash64("part") == F.col("key")) & same)
     return found.groupBy("word").agg(F.first("n").alias("n"), F.collect_list(F.expr(edge)).alias("edges"))
 
 
@@ -217,12 +311,14 @@ def _bpe() -> tuple[str, str, str]:
 def _viterbi(single: float) -> str:
     """Best score and last part of every prefix, extended by one character at a time.
 
-    ``edges`` has pieces of two characters or more as (-score, start, length); a character alone is an edge too."""
-    one = f"named_struct('v', element_at(acc, -1).v + coalesce(get(singles, k - 1), {single}D), 'from', k - 1)"
-    more = "transform(filter(edges, e -> e.s + e.l = k), e -> named_struct('v', get(acc, e.s).v - e.p, 'from', e.s))"
+    ``edges`` has pieces of two characters or more as (-score, start, length); a character alone is an edge too.  Scores
+    are added as 32-bit numbers, and of equal paths the one whose last part starts first is taken, as the library does.
+    ``from`` holds starts with their sign turned, so that the greatest of equals is the first."""
+    one = f"named_struct('v', element_at(acc, -1).v + coalesce(get(singles, k - 1), cast({single} as float)), 'from', 1 - k)"
+    more = "transform(filter(edges, e -> e.s + e.l = k), e -> named_struct('v', get(acc, e.s).v - e.p, 'from', -e.s))"
     best = f"array_max(concat(array({one}), {more}))"
-    back = "aggregate(sequence(1, length(word)), array(length(word)), (b, k) -> if(element_at(b, -1) = 0, b, concat(b, array(get(acc, element_at(b, -1)).from))), b -> reverse(b))"
-    return f"aggregate(sequence(1, length(word)), array(named_struct('v', 0.0D, 'from', 0)), (acc, k) -> concat(acc, array({best})), acc -> {back})"
+    back = "aggregate(sequence(1, length(word)), array(length(word)), (b, k) -> if(element_at(b, -1) = 0, b, concat(b, array(-get(acc, element_at(b, -1)).from))), b -> reverse(b))"
+    return f"aggregate(sequence(1, length(word)), array(named_struct('v', cast(0 as float), 'from', 0)), (acc, k) -> concat(acc, array({best})), acc -> {back})"
 
 
 def merge_heap(word: str, found: list[tuple[float, int, int]]) -> list[int]:
@@ -251,20 +347,6 @@ def merge_heap(word: str, found: list[tuple[float, int, int]]) -> list[int]:
     return [*(a for a in range(n) if live[a]), n]
 
 
-def viterbi_path(word: str, found: list[tuple[float, int, int]], singles: list[float]) -> list[int]:
-    """Bounds of the best path; of equal ones the last part that starts latest."""
-    best, back = [0.0] + [-math.inf] * len(word), [0] * (len(word) + 1)
-    by_end: dict[int, list[tuple[float, int]]] = {}
-    for p, s, l in found:
-        by_end.setdefault(s + l, []).append((-p, s))
-    for k in range(1, len(word) + 1):
-        best[k], back[k] = max([(best[k - 1] + singles[k - 1], k - 1), *((best[s] + v, s) for v, s in by_end.get(k, ()))])
-    bounds = [len(word)]
-    while bounds[-1]:
-        bounds.append(back[bounds[-1]])
-    return bounds[::-1]
-
-
 def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``(word, n, ids)`` of every word that holds a piece of two characters or more.
 
@@ -272,24 +354,24 @@ def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     spark = words.sparkSession
     if vocabulary.kind == "bpe":
         pieces = spark.createDataFrame(ranks(vocabulary), "piece string, edge long")
-        grouped = edges(words, pieces, vocabulary.longest, f"edge + shiftleft(cast(s as long), {RANK_AT[1]})")
+        grouped = edges(words, pieces, f"edge + shiftleft(cast(s as long), {RANK_AT[1]})")
         masks, early, fold = _bpe()
         short = F.length("word") <= BITS
         passed = grouped.withColumn("masks", F.when(short, F.expr(masks))).withColumn("early", F.expr(early)).withColumn("fold", F.expr(fold))
         bits = F.when(~F.col("fold.bad"), F.col("fold.b"))
         folded = passed.select("word", "n", bits.alias("bits"), F.when(bits.isNull(), F.col("edges")).alias("edges"))
     else:
-        pieces = spark.createDataFrame([(p, s) for p, _, s in vocabulary.pieces if len(p) > 1], "piece string, score double")
-        grouped = edges(words, pieces, vocabulary.longest, "named_struct('p', -score, 's', s, 'l', l)")
+        pieces = spark.createDataFrame([(p, s) for p, _, s in vocabulary.pieces if len(p) > 1], "piece string, score float")
+        grouped = edges(words, pieces, "named_struct('p', -score, 's', s, 'l', l)")
         least = min((s for _, _, s in vocabulary.pieces), default=0.0) - 10.0
         singles = {p: s for p, _, s in vocabulary.pieces if len(p) == 1}
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
             for batch in batches:
-                got = pa.array([[singles.get(c, least) for c in w] for w in batch.column(0).to_pylist()], pa.list_(pa.float64()))
+                got = pa.array([[singles.get(c, least) for c in w] for w in batch.column(0).to_pylist()], pa.list_(pa.float32()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, got], names=[*batch.schema.names, "singles"])
 
-        scored = grouped.mapInArrow(score, "word string, n long, edges array<struct<p:double,s:int,l:int>>, singles array<double>")
+        scored = grouped.mapInArrow(score, "word string, n long, edges array<struct<p:float,s:int,l:int>>, singles array<float>")
         folded = scored.select("word", "n", F.lit(None).cast("long").alias("bits"), F.expr(_viterbi(least)).cast("array<long>").alias("edges"))
     return _packed(folded, vocabulary)
 
@@ -342,9 +424,14 @@ def _hot_ids(key: str, parts: list[bytes]) -> dict[str, bytes]:
     return _HOT[key]
 
 
-def others(words: set[str]) -> list[str]:
-    """Words of two characters or more, in an order of their own."""
-    return sorted(w for w in words if len(w) > 1)
+def others(at: np.ndarray, ends: np.ndarray, words: list[str], hot: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, word) of each text's words of two characters or more that are not among the hot ones, by text, in order of
+    appearance."""
+    cold = np.array([len(w) > 1 and w not in hot for w in words], bool)
+    places = np.flatnonzero(cold[at]) if len(words) else np.zeros(0, np.int64)
+    doc = np.searchsorted(ends, places, "right") - 1
+    first = np.sort(np.unique(doc * max(len(words), 1) + at[places], return_index=True)[1])
+    return doc[first], at[places[first]]
 
 
 def _pack_hot(table: DataFrame) -> list[bytes]:
@@ -372,20 +459,16 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", tex
     own = own.select("doc_id", "text", F.xxhash64(id_order("doc_id"), "text").alias("k"), F.hash("text").alias("h"))
     table = cut(encode_words(count_words(own, vocabulary), vocabulary), "words")
     sent = spark.sparkContext.broadcast(_pack_hot(_frequent(table, hot_words)))
-    key, pattern = f"{spark.sparkContext.applicationId}-{hashlib.md5(b''.join(sent.value)).hexdigest()}", vocabulary.pattern()
+    key = f"{spark.sparkContext.applicationId}-{hashlib.md5(b''.join(sent.value)).hexdigest()}"
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        hot, words = _hot_ids(key, sent.value), _cutter(pattern)
-        schema = pa.schema([("k2", pa.int64()), ("h2", pa.int32()), ("at", pa.int32()), ("word", pa.string())])
+        hot, cut_up = _hot_ids(key, sent.value), Cutter(vocabulary)
         for batch in batches:
-            ks, hs, at, ws = [], [], [], []
-            for k, h, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                new = others(set(words(x.as_py())).difference(hot))
-                ks += [k] * len(new)
-                hs += [h] * len(new)
-                at += range(len(new))
-                ws += new
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((ks, hs, at, ws), schema, strict=True)], schema=schema)
+            for low, at, ends, words in cut_up(batch.column(2)):
+                doc, word = others(at, ends, words, hot)
+                spot = np.arange(len(doc)) - np.searchsorted(doc, doc)
+                took = pa.array(doc + low)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(took), batch.column(1).take(took), pa.array(spot.astype(np.int32)), pa.array(words, pa.string()).take(pa.array(word))], names=["k2", "h2", "at", "word"])
         del hot
         _HOT.clear()
 
@@ -397,34 +480,46 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", tex
     joined = squeezed(own, "text").join(named, (F.col("k") == F.col("k2")) & (F.col("h") == F.col("h2")), "left").select("doc_id", "text", "rare")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        hot, words, tool = _hot_ids(key, sent.value), _cutter(pattern), zstandard.ZstdDecompressor()
+        hot, cut_up, tool = _hot_ids(key, sent.value), Cutter(vocabulary), zstandard.ZstdDecompressor()
         decodes, width = vocabulary.table(), vocabulary.width
+        item = np.dtype(width).itemsize
         for batch in batches:
-            n, sha, same, ids = [], [], [], []
             given = batch.column(2)
-            ends, parts = given.offsets.to_pylist(), [x.to_pylist() for x in given.values.flatten()]
-            for k, x in enumerate(batch.column(1)):
-                raw = unsqueezed(x, tool)
-                text = "" if raw is None else raw.decode()
-                own, here = words(text), slice(ends[k], ends[k + 1])
-                left = set(own).difference(hot)
-                new = others(left)
-                rare = {new[i]: x for i, x in zip(parts[0][here], parts[1][here], strict=True)}
-                broken = [w for w, x in rare.items() if len(x) % 2]
-                rare |= {w: rare[w][:-1] for w in broken}
-                for w in left.difference(rare):  # no piece of two characters lies in them
-                    plain = vocabulary.word_ids(w, None, None)
-                    rare[w] = vocabulary.pack(plain)
-                    if decode(plain, decodes) != w:
-                        broken.append(w)
-                out = np.frombuffer(b"".join([hot.get(w) or rare[w] for w in own]), width).astype("<u4")
-                n.append(len(out))
-                sha.append(hashlib.sha256(out.tobytes()).hexdigest())
-                same.append(not broken and "".join(own)[1:] == text.replace(SPACE, " "))
-                if with_ids:
-                    ids.append(out.view("<i4"))
-            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_()), *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "round_trip", *["ids"] * with_ids])
+            bounds, (spots, packed) = given.offsets.to_numpy(), given.values.flatten()
+            spots = spots.to_numpy()
+            texts = pa.array([None if (raw := unsqueezed(x, tool)) is None else raw.decode() for x in batch.column(1)], pa.string())
+            for low, at, ends, words in cut_up(texts):
+                doc, word = others(at, ends, words, hot)
+                n = len(ends) - 1
+                where = np.full(len(doc), -1)  # the row of each pair's pieces, if it has any
+                own = np.arange(bounds[low], bounds[low + n])
+                where[np.searchsorted(doc, np.searchsorted(bounds, own, "right") - 1 - low) + spots[own]] = own
+                row_of = np.full(len(words), -1)
+                row_of[word[where >= 0]] = where[where >= 0]
+                ids, bad = [], np.zeros(len(words), bool)
+                for u, (w, row) in enumerate(zip(words, row_of.tolist(), strict=True)):
+                    got = packed[row].as_py() if row >= 0 else hot.get(w)
+                    if got is None:  # no piece of two characters lies in it
+                        plain = vocabulary.word_ids(w, None, None)
+                        got = vocabulary.pack(plain) + b"\0" * (decode(plain, decodes) != w)
+                    if len(got) % 2:
+                        got, bad[u] = got[:-1], True
+                    ids.append(got)
+                every, sizes = np.frombuffer(b"".join(ids), width).astype("<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // item
+                began, count, sha, out = np.cumsum(sizes) - sizes, [], [], []
+                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    mine = at[a:b]
+                    size = sizes[mine]
+                    end = np.cumsum(size)
+                    got = every[np.arange(end[-1] if b > a else 0) + np.repeat(began[mine] - end + size, size)]
+                    count.append(len(got))
+                    sha.append(hashlib.sha256(got.tobytes()).hexdigest())
+                    if with_ids:
+                        out.append(got.view("<i4"))
+                broken = np.concatenate(([0], np.cumsum(bad[at])))
+                same = broken[ends[1:]] == broken[ends[:-1]]
+                cols = [batch.column(0).slice(low, n), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_()), *([pa.array(out, pa.list_(pa.int32()))] if with_ids else [])]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "round_trip", *["ids"] * with_ids])
         del hot
         _HOT.clear()
 

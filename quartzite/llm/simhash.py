@@ -9,9 +9,12 @@ radius 4 one of the first two segments differs in at most one bit, or the third
 around the first two and of radius 0 around the third finds every link; complete distances are verified.
 
 Only distinct fingerprints are compared, and of a bucket's links only a spanning forest leaves its task, so a
-group of n copies or near copies yields at most n - 1 rows per bucket.  Ties and repeated rows share their
+group of n copies or near copies yields at most n - 1 rows per bucket.  The number of buckets follows the number of
+fingerprints.  A segment value that more than ``HEAVY`` fingerprints have is dealt further by five bands of the whole
+fingerprint, one of which two linked ones share, so no value gathers in one task.  Ties and repeated rows share their
 fingerprint and so their component; rows with a null id take part, and a component's id ignores null ids unless
-all are null.  Further columns of the input are not read.
+all are null.  An empty table gives an empty result.  Further columns of the input are not read, but carried by
+``keep_one``, and may have any names.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quartzite.llm.common import connected_components, cut, id_order, local_components, read_table, shuffle_partitions, spread
+from quartzite.llm.common import connected_components, cut, free, id_order, local_components, read_table, shuffle_partitions, spread
 
 SHINGLE = 4
 RADIUS = 4
@@ -35,6 +38,9 @@ SEGMENTS = (21, 21, 22)
 PAIRS = 1 << 21
 #: From this many pairs on, a bucket is split again by five bands, one of which two linked fingerprints share.
 DENSE = 1 << 24
+#: Fingerprints that a segment value may gather, and probes that a bucket has on average.
+HEAVY, PER_BUCKET = 20_000, 200_000
+_BANDS = (13, 13, 13, 13, 12)
 
 
 def simhash(text: str | None, shingle: int = SHINGLE) -> int:
@@ -135,7 +141,7 @@ def _join(key: np.ndarray, fp: np.ndarray, kind: np.ndarray, radius: int) -> tup
             labels = local_components(of[i[hit]], of[j[hit]], len(nodes), labels)
     for at, n in zip(new[dense].tolist(), size[dense].tolist(), strict=True):
         own, shift = np.unique(fp[at : at + n]), 0  # linking more of a bucket than its probes ask for is no error
-        for width in (13, 13, 13, 13, 12):
+        for width in _BANDS:
             band = (own >> np.uint64(shift)) & np.uint64((1 << width) - 1)
             by = np.argsort(band, kind="stable")
             where = np.searchsorted(nodes, own[by])
@@ -149,17 +155,42 @@ def _join(key: np.ndarray, fp: np.ndarray, kind: np.ndarray, radius: int) -> tup
     return nodes[joined], nodes[labels[joined]]
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+def heavy_keys(fps: DataFrame, most: int) -> np.ndarray:
+    """Keys of the segment values that more than ``most`` fingerprints have; at most 3 / ``most`` of the fingerprints' number."""
+    shift, keys = 0, []
+    for s, width in enumerate(SEGMENTS):
+        keys.append(F.shiftrightunsigned("fp", shift).bitwiseAND((1 << width) - 1) + F.lit(s << 32))
+        shift += width
+    rows = fps.select(F.explode(F.array(*keys)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("key").collect()
+    return np.sort(np.array([r[0] for r in rows], np.uint64))
+
+
+def _banded(key: np.ndarray, owner: np.ndarray, kind: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Probes of heavy keys take five keys instead, of the old one and a band of the fingerprint each."""
+    big = np.isin(key, heavy)
+    if not big.any():
+        return key, owner, kind
+    out, shift = [(key[~big], owner[~big], kind[~big])], 0
+    for band, width in enumerate(_BANDS):
+        value = (owner[big] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+        mixed = (key[big] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(band << 16) + value) * np.uint64(0x9E3779B97F4A7C15)
+        out.append((mixed | np.uint64(1 << 63), owner[big], kind[big]))
+        shift += width
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def links(fps: DataFrame, radius: int = RADIUS, most: int = HEAVY) -> DataFrame:
     """``(a long, b long)``: edges that connect distinct fingerprints ``fp`` wherever links within ``radius`` do."""
     if radius > 4:
         raise ValueError("three segments with balls of radius 1, 1 and 0 guarantee a radius of 4 at most")
-    n = shuffle_partitions(fps.sparkSession) * 4
+    heavy = heavy_keys(fps, most)
+    n = max(shuffle_partitions(fps.sparkSession) * 4, fps.count() * 24 // PER_BUCKET)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 32768):
                 fp = batch.column(0).slice(at, 32768).to_numpy(zero_copy_only=False).view(np.uint64)
-                key, owner, kind = _probes(fp)
+                key, owner, kind = _banded(*_probes(fp), heavy)
                 bucket = spread(key, n)
                 order = np.lexsort((key, bucket))
                 key, owner, kind, bucket = key[order], owner[order], kind[order], bucket[order]
@@ -179,7 +210,10 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         a, b = _join(np.concatenate(keys), np.concatenate(fps_), np.concatenate(kinds), radius)
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
-    return fps.select("fp").mapInArrow(probe, "bucket int, pay binary").groupBy("bucket").applyInArrow(join, "a long, b long")
+    dealt = fps.select("fp").mapInArrow(probe, "bucket int, pay binary")
+    if n > 4 * shuffle_partitions(fps.sparkSession):  # more buckets than the session's partitions can hold
+        dealt = dealt.repartition(n // 4, "bucket")
+    return dealt.groupBy("bucket").applyInArrow(join, "a long, b long")
 
 
 def groups(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -203,9 +237,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     marked = cut(fingerprints(docs, id_col, text_col), "fingerprints")
     least = marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("one"))
     keep = groups(marked).join(least, "fp").groupBy("root").agg(F.min("one").alias("one")).select(F.col("one.none").alias("_n"), id_order("one.doc_id").alias("_k"), F.col("one.th").alias("_t"))
-    keyed = docs.withColumns({"_none": F.col(id_col).cast("long").isNull(), "_key": id_order(F.col(id_col).cast("long")), "_hash": _text_hash(text_col)})
-    own = keyed.join(keep, (F.col("_none") == F.col("_n")) & (F.col("_key") == F.col("_k")) & (F.col("_hash") == F.col("_t")), "left_semi")
-    return own.dropDuplicates(["_none", "_key", "_hash"]).select(*docs.columns)
+    none, key, hash_ = free([*docs.columns, "_n", "_k", "_t"], "_none", "_key", "_hash")
+    n, k, t = free(docs.columns, "_n", "_k", "_t")
+    keep = keep.toDF(n, k, t)
+    keyed = docs.withColumns({none: F.col(id_col).cast("long").isNull(), key: id_order(F.col(id_col).cast("long")), hash_: _text_hash(text_col)})
+    own = keyed.join(keep, (F.col(none) == F.col(n)) & (F.col(key) == F.col(k)) & (F.col(hash_) == F.col(t)), "left_semi")
+    return own.dropDuplicates([none, key, hash_]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

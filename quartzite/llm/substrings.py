@@ -10,15 +10,24 @@ one phrase, chosen by its own bytes alone.  Equal strings hence have equal trigg
 
 Dictionary: equal phrases (two 64-bit hashes) are one entry, placed at its earliest occurrence; all others go whole.
 A trigger with a single phrase has no string that another phrase has too.  Where a trigger has several phrases, short
-hashes of the bytes next to it bound how far two of them can agree; the dictionary's suffixes of LENGTH bytes that
-lie within that are ordered by a 128-bit fingerprint and all but the earliest of each go.  Order by fingerprint stands in for lexicographic order: its classes of equal strings are the same.
+hashes of the bytes next to it bound how far two of them can agree; those parts of the phrases are the dictionary
+whose suffixes are compared.
 
-Parts of the parse are combined before they move: of a phrase (or suffix) that a task meets often, only the earliest
-travels, so the rows of a hot phrase are bounded by the number of tasks' blocks.  A trigger that meets over ``HOT``
-phrases within a block is dealt by phrase, with a marker for the others, so no trigger gathers in one task either.
+Suffix arrays: phrases are dealt by trigger, so equal strings meet.  Each bucket concatenates its phrases and orders
+their suffixes of LENGTH bytes by prefix doubling: ranks of 8 bytes, then of 16, 32 and 64, then of LENGTH.  The parse,
+the phrases' occurrences in corpus order, orders suffixes of equal rank; both together are the corpus order of equal
+strings, of which all but the first go.  As phrases overlap, no string runs over the end of one and the parse's order
+beyond that is not needed.
+
+Parts of the parse are combined before they move: of a phrase that a task meets often, only the earliest travels, so the
+rows of a hot phrase are bounded by the number of tasks' blocks.  A trigger that meets over ``HOT`` phrases within a
+block is dealt by phrase, with a marker for the others; its strings, and those of a trigger with over ``MANY`` phrases
+in all, are dealt one by one and ordered by 128-bit fingerprints instead of by their bytes, so no trigger gathers in
+one task either.  The number of buckets follows the size of the input.
 
 Null texts count as empty.  Null ids count as the smallest.  Rows that share an id compare by their starts alone:
-of equal starts neither is earlier, so repeated rows get equal answers.  Further columns are not read.
+of equal starts neither is earlier, so repeated rows get equal answers.  An empty table gives an empty result.
+Further columns are not read and may have any names.
 """
 
 from __future__ import annotations
@@ -27,21 +36,24 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quartzite.llm.common import cut, id_order, read_table, shuffle_partitions, spread, squeezed, unsqueezed
+from quartzite.llm.common import cut, id_order, input_bytes, read_table, shuffle_partitions, spread, squeezed, unsqueezed
 
 LENGTH = 100
 GRAM = 32
-HOT = 256
+HOT, MANY = 256, 1024
 #: Bytes parsed at once, and bytes of a longer document that one piece holds.
 BLOCK, PIECE = 1 << 18, 1 << 20
 #: Triggers, or suffixes, that a task combines before it passes them on.
 COMBINE = 1 << 20
-#: Suffixes go to so many buckets at least: a bucket is sorted in memory, and answers travel per document and bucket.
-SUFFIX_BUCKETS = 256
+#: Bytes of dictionary whose suffixes are ordered at once, and that a task gathers before it passes them on.
+ORDERED, GATHERED = 1 << 20, 1 << 23
+#: Bytes of input for each bucket, and buckets of a partition.
+BUCKET, BUCKETS = 2 << 20, 4
 _REACH = LENGTH - GRAM + 1
 #: Bytes next to a trigger that short hashes cover.
 LEVELS = (16, 32, 48)
@@ -114,6 +126,23 @@ def suffix_keys(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([_mix(h64[at] * _MIX[0] + h64[at + LENGTH - 64]), _mix(h64[at] + h64[at + LENGTH - 64] * _MIX[4])], axis=1)
 
 
+def _dense(x: np.ndarray) -> np.ndarray:
+    return np.unique(x, return_inverse=True)[1].astype(np.uint64)
+
+
+def suffix_ranks(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rank of the LENGTH bytes from each place among all of them in lexicographic order; equal strings have equal ranks.
+
+    By prefix doubling over all places of ``raw``.  The suffix array is the places in order of their ranks."""
+    rank = np.zeros(len(raw) - 7, np.uint64)
+    for k in range(8):
+        rank = rank << np.uint64(8) | raw[k : len(raw) - 7 + k]
+    rank, width = _dense(rank), 8
+    while width * 2 <= LENGTH:
+        rank, width = _dense(rank[:-width] * np.uint64(len(raw)) + rank[width:]), width * 2
+    return _dense(rank[at] * np.uint64(len(raw)) + rank[at + LENGTH - width])
+
+
 class _Blocks:
     """Gathers documents and hands out blocks of bytes with the piece that each byte belongs to."""
 
@@ -232,7 +261,9 @@ def _unpack_rows(pays: pa.ChunkedArray, types: tuple[str, ...]) -> list[np.ndarr
 _DOC = ("<i8", "<i8")
 _TRIGGER = ("<u8", "<u8", "<u4", "u1", "u1", "(6,)u1")
 _SUFFIX = ("<u8", "<u8", "<u4")
-_PHRASE = ("<u4", "u1")
+_PHRASE = ("<u4", "u1", "u1")
+_PART = ("<u8", "<u4", "u1")
+_ALONE = 255
 
 
 def _spans_out(doc: np.ndarray, a: np.ndarray, b: np.ndarray, k: np.ndarray, th: np.ndarray, n: int) -> Iterator[tuple]:
@@ -324,7 +355,8 @@ def _reach(run: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _settle_triggers(table: pa.Table) -> pa.Table:
-    """Kind 1: spans that go.  Kind 2: parts of dictionary phrases that others with their trigger may share."""
+    """Kind 1: spans that go.  Kind 2: parts of dictionary phrases that others with their trigger may share, and where the
+    trigger lies in them."""
     kind = table.column("kind").to_numpy()
     rows = [(0, 1, *r) for r in zip(*(table.filter(pa.array(kind == 1)).column(c).to_pylist() for c in ("k", "th", "pay")), strict=True)]
     k, th, kh, ph, a, more, before, sides = _unpack_rows(table.filter(pa.array(kind == 0)).column("pay"), _TRIGGER)
@@ -345,13 +377,14 @@ def _settle_triggers(table: pa.Table) -> pa.Table:
         t = a[ask] + before[ask]
         low, high = np.maximum(a[ask], t - left), np.minimum(a[ask] + length[ask], t - (LENGTH - GRAM - right))
         some = low <= high
-        asked = (ask[some], low[some], high[some] - low[some])
-        for kind_, (own, at, size) in ((1, (gone, a[gone], length[gone])), (2, asked)):
+        trigger = np.where(every[ask] | (phrases[run[ask]] > MANY), _ALONE, t - low)
+        asked = (ask[some], low[some], high[some] - low[some], trigger[some])
+        for kind_, (own, at, size, place) in ((1, (gone, a[gone], length[gone], length[gone])), (2, asked)):
             by = np.lexsort((at, th[own], k[own]))
-            own, at, size = own[by], at[by], size[by]
+            own, at, size, place = own[by], at[by], size[by], place[by]
             for part in np.split(np.arange(len(own)), np.flatnonzero((np.diff(k[own]) != 0) | (np.diff(th[own]) != 0)) + 1):
                 if len(part):
-                    pay = merge(at[part], at[part] + size[part] + LENGTH).astype("<u4").tobytes() if kind_ == 1 else _pack(_PHRASE, at[part], size[part])
+                    pay = merge(at[part], at[part] + size[part] + LENGTH).astype("<u4").tobytes() if kind_ == 1 else _pack(_PHRASE, at[part], size[part], place[part])
                     rows.append((0, kind_, int(k[own[part[0]]]), int(th[own[part[0]]]), pay))
     return _emit(rows)
 
@@ -367,39 +400,99 @@ def _combine_suffixes(key, doc, s, docs: _Docs, n: int) -> pa.RecordBatch:
     return _rows(rows)
 
 
-def _find_suffixes(n: int):
+def _deal_phrases(parts: list[tuple[int, int, int, int, bytes]], docs: _Docs, n: int) -> pa.RecordBatch:
+    """Phrases (trigger's hash, document, start, further strings, bytes) by bucket."""
+    k, th = docs.arrays()
+    key, doc, at, size = (np.array([p[i] for p in parts], t) for i, t in enumerate((np.uint64, np.int64, np.int64, np.int64)))
+    rows = []
+    for to, own in _by_bucket(spread(key, n)):
+        rows.append((to, 2, 0, 0, _pack_rows(_PART, doc[own], k, th, key[own], at[own], size[own]) + b"".join([parts[i][4] for i in own.tolist()])))
+    return _rows(rows)
+
+
+def _find_phrases(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        docs, found, size = _Docs(), [], 0
+        docs, found, size, parts, gathered = _Docs(), [], 0, [], 0
         tool = zstandard.ZstdDecompressor()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if found:
+                yield _combine_suffixes(*(np.concatenate(c) for c in zip(*found, strict=True)), docs, n)
+            if parts:
+                yield _deal_phrases(parts, docs, n)
+
         for batch in batches:
             for k, th, x, pays in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                raw = np.frombuffer(unsqueezed(x, tool), np.uint8)
-                a, more = (np.concatenate(c) for c in zip(*(_unpack(p.as_buffer(), _PHRASE)[0] for p in pays.values), strict=True))
-                span = more.astype(np.int64) + 1
-                starts = np.unique(np.repeat(a.astype(np.int64), span) + np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span))
-                doc = docs.add(k, th)
-                for run_ in np.split(starts, np.flatnonzero(np.diff(starts) > LENGTH) + 1):
+                text = unsqueezed(x, tool)
+                raw = np.frombuffer(text, np.uint8)
+                a, more, place = (np.concatenate(c) for c in zip(*(_unpack(p.as_buffer(), _PHRASE)[0] for p in pays.values), strict=True))
+                doc, alone = docs.add(k, th), place == _ALONE
+                for at, m, t in zip(a[~alone].tolist(), more[~alone].tolist(), place[~alone].tolist(), strict=True):
+                    parts.append((xxhash.xxh3_64_intdigest(text[at + t : at + t + GRAM]), doc, at, m, text[at : at + m + LENGTH]))
+                    gathered += m + LENGTH
+                span = more[alone].astype(np.int64) + 1
+                starts = np.unique(np.repeat(a[alone].astype(np.int64), span) + np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span))
+                for run_ in np.split(starts, np.flatnonzero(np.diff(starts) > LENGTH) + 1) if len(starts) else ():
                     for at in range(0, len(run_), PIECE):
                         part = run_[at : at + PIECE]
                         found.append((suffix_keys(raw[part[0] : part[-1] + LENGTH], part - part[0]), np.full(len(part), doc), part))
                         size += len(part)
-                if size >= COMBINE:
-                    yield _combine_suffixes(*(np.concatenate(c) for c in zip(*found, strict=True)), docs, n)
-                    docs, found, size = _Docs(), [], 0
-        if found:
-            yield _combine_suffixes(*(np.concatenate(c) for c in zip(*found, strict=True)), docs, n)
+                if size >= COMBINE or gathered >= GATHERED:
+                    yield from out()
+                    docs, found, size, parts, gathered = _Docs(), [], 0, [], 0
+        yield from out()
 
     return run
 
 
-def _settle_suffixes(table: pa.Table) -> pa.Table:
+def _ordered(pays: pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, text hashes, starts) of the strings of a bucket's phrases that occur earlier, by suffix arrays.
+
+    Phrases are taken in order of their trigger, as many at once as ORDERED bytes hold."""
+    parts: list[list[np.ndarray]] = [[] for _ in range(6)]
+    blobs = []
+    for x in pays:
+        raw = x.as_buffer()
+        (k, th), at = _unpack(raw, _DOC)
+        (number, key, start, size), at = _unpack(raw, ("<u4", *_PART), at)
+        length = size.astype(np.int64) + LENGTH
+        for part, c in zip(parts, (k[number], th[number], key, start.astype(np.int64), length, np.cumsum(length) - length + sum(map(len, blobs))), strict=True):
+            part.append(c)
+        blobs.append(np.frombuffer(raw, np.uint8, int(length.sum()), at))
+    if not blobs:
+        return
+    k, th, key, start, length, at = (np.concatenate(p) for p in parts)
+    dictionary = np.concatenate(blobs)
+    order = np.argsort(key, kind="stable")
+    k, th, key, start, length, at = (x[order] for x in (k, th, key, start, length, at))
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]  # of its trigger
+    chunk = (np.cumsum(length) - length)[first] // ORDERED
+    for own in np.split(np.arange(len(key)), np.flatnonzero(np.diff(chunk)) + 1):
+        if len(own) < 2:
+            continue
+        size = length[own]
+        inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        text = dictionary[np.repeat(at[own], size) + inner]
+        places = np.flatnonzero(inner <= np.repeat(size, size) - LENGTH)
+        of = np.repeat(own, size)[places]
+        rank, s = suffix_ranks(text, places), start[of] + inner[places]
+        order, _, later = _earliest([rank], k[of], s)
+        gone = order[later]
+        yield k[of[gone]], th[of[gone]], s[gone]
+
+
+def _settle_phrases(table: pa.Table) -> pa.Table:
     kind = table.column("kind").to_numpy()
     rows = [(0, 1, *r) for r in zip(*(table.filter(pa.array(kind == 1)).column(c).to_pylist() for c in ("k", "th", "pay")), strict=True)]
+    found = list(_ordered(table.filter(pa.array(kind == 2)).column("pay")))
     k, th, hi, lo, s = _unpack_rows(table.filter(pa.array(kind == 0)).column("pay"), _SUFFIX)
     if len(hi):
         s = s.astype(np.int64)
         order, _, later = _earliest([hi, lo], k, s)
-        k, th, s = (x[order][later] for x in (k, th, s))
+        found.append(tuple(x[order][later] for x in (k, th, s)))
+    if found:
+        k, th, s = (np.concatenate(c) for c in zip(*found, strict=True))
         by = np.lexsort((s, th, k))
         for part in np.split(by, np.flatnonzero((np.diff(k[by]) != 0) | (np.diff(th[by]) != 0)) + 1):
             if len(part):
@@ -409,12 +502,13 @@ def _settle_suffixes(table: pa.Table) -> pa.Table:
 
 def spans(docs: DataFrame) -> DataFrame:
     """``(k, th, pays)``: for each document of ``docs (k, th, text binary)`` arrays of starts and ends that go."""
-    n = shuffle_partitions(docs.sparkSession)
-    parts = max(SUFFIX_BUCKETS, n)
-    first = cut(docs.mapInArrow(_find_triggers(n), _OUT).groupBy("bucket").applyInArrow(_settle_triggers, _OUT).where("kind > 0"), "phrases")
+    parts = max(shuffle_partitions(docs.sparkSession), input_bytes(docs, "text") // (BUCKET * BUCKETS))
+    n = parts * BUCKETS
+    by_bucket = lambda df: df.repartition(parts, "bucket").groupBy("bucket")
+    first = cut(by_bucket(docs.mapInArrow(_find_triggers(n), _OUT)).applyInArrow(_settle_triggers, _OUT).where("kind > 0"), "phrases")
     ask = first.where("kind = 2").groupBy(F.col("k").alias("k2"), F.col("th").alias("th2")).agg(F.collect_list("pay").alias("pays"))
     held = squeezed(docs.select("k", "th", "text"), "text").join(ask, (F.col("k") == F.col("k2")) & (F.col("th") == F.col("th2"))).select("k", "th", "text", "pays")
-    second = held.mapInArrow(_find_suffixes(parts), _OUT).groupBy("bucket").applyInArrow(_settle_suffixes, _OUT)
+    second = by_bucket(held.mapInArrow(_find_phrases(n), _OUT)).applyInArrow(_settle_phrases, _OUT)
     return first.where("kind = 1").select("k", "th", "pay").unionByName(second.select("k", "th", "pay")).groupBy("k", "th").agg(F.collect_list("pay").alias("pays"))
 
 

@@ -11,10 +11,11 @@ its record's digest.  A file yields one capture run, sorted by URL key, time and
 Merging: rows of all runs are dealt by range of that order, and each range merges its pieces of the runs with a loser
 tree: every inner node keeps the loser of its match, so the next capture costs one match per level.  Ranges by
 number and places within them give the global order; captures of one URL may span ranges, so a URL with a third of
-all captures is no task's burden.
+all captures is no task's burden, and the number of ranges follows that of the captures.
 
 Rows that repeat an id and a payload are each a record and none revisits the other; null ids count as the smallest
-and their records refer to none.  Null urls have an empty key.  Further columns of the input are not read.
+and their records refer to none.  Null urls have an empty key.  An empty table gives an
+empty index.  Further columns of the input are not read and may have any names.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import io
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import islice, pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,7 +35,10 @@ from pyspark.sql import functions as F
 from quartzite.llm.common import cut, fresh_path, id_order, read_table, shuffle_partitions
 
 END = "\r\n\r\n"
-RECORDS_PER_FILE = 4000
+#: Records of an archive, and bytes of payloads that it holds on average, at most.
+RECORDS_PER_FILE, BYTES_PER_FILE = 4000, 64 << 20
+#: Captures of a range of the merged order, on average.
+RANGE = 100_000
 #: Payloads under so many bytes are never revisits.
 LEAST_BYTES = 0
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -83,7 +88,11 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bod
     return full.select(F.concat(head, block).alias("value"))
 
 
-def write(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE, **columns) -> None:
+def write(pages: DataFrame, path: str, records_per_file: int | None = None, **columns) -> None:
+    """Writes the records of all rows.  An archive holds as many as BYTES_PER_FILE of payloads have on average."""
+    if records_per_file is None:
+        n, size = pages.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(columns.get("body_col", "html"))), F.lit(0))).first()
+        records_per_file = max(1, min(RECORDS_PER_FILE, BYTES_PER_FILE * n // max(size, 1)))
     records(pages, **columns).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
@@ -213,25 +222,32 @@ class LoserTree:
 
 
 def merged(runs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """The captures in global order: by ``range_no``, then by ``range_pos``."""
-    n = ranges or shuffle_partitions(runs.sparkSession)
-    dealt = runs.repartitionByRange(n, F.col("url_key"), F.col("capture_time"), id_order("page_id")).withColumn("range_no", F.spark_partition_id())
+    """The captures in global order: by ``range_no``, then by ``range_pos``.
+
+    A range has ``RANGE`` captures on average, whatever their number; equal keys may be in two ranges, in order of run and
+    place.  Its pieces of the runs are held by columns, and the merge hands out a batch at a time."""
+    n = ranges or max(shuffle_partitions(runs.sparkSession), runs.count() // RANGE)
+    dealt = runs.repartitionByRange(n, F.col("url_key"), F.col("capture_time"), id_order("page_id"), "run", "seq").withColumn("range_no", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        by: dict[str, list[tuple]] = {}
-        number, schema = 0, None
-        for batch in batches:
-            schema = batch.schema
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                by.setdefault(row[0], []).append(row[1:])
-                number = row[-1]
-        for rows in by.values():
-            rows.sort(key=lambda r: r[0])  # a run's rows come in its order, whichever blocks held them
-        rows = [r[1:-1] for r in LoserTree([iter(by[k]) for k in sorted(by)], lambda r: _order(r[1:]))]
-        for at in range(0, len(rows), 1 << 14):
-            part = rows[at : at + (1 << 14)]
-            cols = [pa.array(c, schema.field(k + 2).type) for k, c in enumerate(zip(*part, strict=True))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([number] * len(part), pa.int32()), pa.array(range(at, at + len(part)), pa.int64())], names=[*schema.names[2:-1], "range_no", "range_pos"])
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).sort_by([("run", "ascending"), ("seq", "ascending")]).combine_chunks()
+        bounds = [0, *(k for k, (a, b) in enumerate(pairwise(table.column("run").to_pylist()), 1) if a != b), table.num_rows]
+
+        def rows(a: int, b: int) -> Iterator[tuple[int, str, str, int | None]]:
+            """(place, key) of a run's captures, a few at a time."""
+            for low in range(a, b, 1024):
+                part = table.slice(low, min(1024, b - low))
+                yield from zip(range(low, b), *(part.column(c).to_pylist() for c in ("url_key", "capture_time", "page_id")), strict=False)
+
+        order = (row[0] for row in LoserTree([rows(a, b) for a, b in pairwise(bounds)], lambda r: _order(r[1:])))
+        at = 0
+        while places := list(islice(order, 1 << 14)):
+            part = table.drop_columns(["run", "seq"]).take(pa.array(places)).append_column("range_pos", pa.array(range(at, at + len(places)), pa.int64()))
+            yield from part.combine_chunks().to_batches()
+            at += len(places)
 
     schema = ", ".join(_RUN.split(", ")[2:]) + ", range_no int, range_pos long"
     return dealt.mapInArrow(run, schema)

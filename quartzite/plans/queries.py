@@ -5,38 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quartzite.functions.columns import micros
 from quartzite.operators import bilinear, cluster, factors, graph, impute, prepare, som, trace
+from quartzite.plans.registry import LINE, PART, query, rounded, table
 from quartzite.sources import prv
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-PART = ["p_size", "p_retailprice"]
-
-
-def query(name: str, sql: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql:
-            ORACLES[name] = sql
-        return fn
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
-
-
 @query("oca_inertia")
 def oca_inertia(spark, sf_dir):
     """Prepare, fit a map, explain its shape: the flagship flow."""

@@ -92,6 +92,24 @@ def test_line_dedup_finds_long_runs_of_few_lines(spark):
     assert len(got) == 12 and {r["doc_id"]: r["_kept"] for r in got} == want and [r["_removed"] for r in got if r["doc_id"] == 0] == [0, 0]
 
 
+CLASH = ["_key", "_k", "_th", "_hash", "_kept", "_lines", "_removed", "_runs", "_starts", "_score", "_turn", "_keep", "_none", "_n", "_t", "_K"]
+
+
+def clashing(spark, rows):
+    """Rows of id and text with columns named as the operators name their own."""
+    names = [c for c in CLASH if c != "_K"]
+    return spark.createDataFrame([(k, t, *(f"{c}{k}" for c in names)) for k, t in rows], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    df = clashing(spark, [(1, "a\nb\nc"), (2, "x\na\nb\nc"), (2, "other"), (None, None)])
+    got = linededup.remove_runs(df)
+    kept, lines, removed, runs = linededup.names(df.columns)
+    assert got.columns == [*df.columns, kept, lines, removed, runs] and len(set(got.columns)) == len(got.columns)
+    out = sorted(((r["doc_id"] or 0, r[kept], r["_kept"], r["_key"]) for r in got.collect()), key=str)
+    assert out == [(0, "", "_keptNone", "_keyNone"), (1, "a\nb\nc", "_kept1", "_key1"), (2, "other", "_kept2", "_key2"), (2, "x", "_kept2", "_key2")]
+
+
 # 2: WARC
 
 
@@ -112,6 +130,9 @@ def test_warc_round_trip(spark, tmp_path):
         other = top != common.NULL_ID and k != top
         want[(k, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "revisit" if other else "response", top if other else None)] += 1
     assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == want
+    empty = str(tmp_path / "none")
+    warc.write(df.limit(0), empty)
+    assert warc.index(spark, empty).count() == 0
     keys = [(r["url_key"], r["capture_time"], common.NULL_ID if r["page_id"] is None else r["page_id"]) for r in sorted(got, key=lambda r: (r["range_no"], r["range_pos"]))]
     assert keys == sorted(keys)
 
@@ -244,6 +265,37 @@ def test_simhash(odd, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_keep_one_loses_no_text_and_no_column(spark):
+    low, high = prose(80, 201), prose(80, 202)
+    df = clashing(spark, [(2, low), (5, low), (5, high), (None, prose(70, 203)), (None, prose(70, 204)), (7, None), (9, "")])
+    got = simhash.keep_one(df)
+    assert got.columns == df.columns
+    rows = [(r["doc_id"], r["text"], r["_key"], r["_none"]) for r in got.collect()]
+    assert sorted(rows, key=str) == sorted([(2, low, "_key2", "_none2"), (5, high, "_key5", "_none5"), (None, prose(70, 203), "_keyNone", "_noneNone"), (None, prose(70, 204), "_keyNone", "_noneNone"), (7, None, "_key7", "_none7")], key=str)
+
+
+@pytest.mark.parametrize("most", [simhash.HEAVY, 3])
+def test_components_by_force(spark, monkeypatch, most):
+    """Fingerprints and components through Spark, also with segment values dealt by bands."""
+    r, texts = random.Random(77), [prose(60, 300 + s) for s in range(12)]
+    for k in range(60):
+        words = r.choice(texts[:12]).split()
+        words[r.randrange(len(words))] = r.choice(WORDS)
+        texts.append(" ".join(words))
+    texts += ["", None, texts[3], "one", "two"]
+    monkeypatch.setattr(simhash, "HEAVY", most)
+    monkeypatch.setattr(simhash.links, "__defaults__", (simhash.RADIUS, most))
+    fps = [simhash.simhash(t) for t in texts]
+    low = list(range(len(texts)))
+    for _ in range(len(texts)):
+        for i in range(len(texts)):
+            for j in range(len(texts)):
+                if (fps[i] ^ fps[j]).bit_count() <= 4:
+                    low[i] = min(low[i], low[j])
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {k: (f"{fps[k]:016x}", low[k]) for k in range(len(texts))} and len(set(low)) < len(texts) - 5
+
+
 def test_keep_one_of_each_component(spark):
     a, b, c, d = (prose(80, 60 + k) for k in range(4))
     rows = [(None, a, "x"), (None, b, "x"), (None, b, "x"), (None, None, "x"), (1, c, "x"), (1, d, "x"), (2, d, "x"), (3, c, "x"), (None, c, "x"), (5, a, "x"), (5, a, "x")]
@@ -300,7 +352,6 @@ def removed_by_force(rows):
 @pytest.mark.parametrize("hot", [256, 1])
 def test_substrings(odd, none, monkeypatch, hot):
     df, rows = odd
-    monkeypatch.setattr(substrings, "SUFFIX_BUCKETS", 4)
     r = random.Random(3)
     n, parts = 2, [prose(60, 50 + s) for s in range(8)]
     more = [(100 + k, " ".join(r.choice(parts)[r.randrange(90) :] for _ in range(3))) for k in range(30)]
@@ -324,9 +375,9 @@ def test_substrings(odd, none, monkeypatch, hot):
 
         held = [(k, th, zstandard.compress(raw), asked[k, th]) for k, th, raw in {(k, th): (k, th, raw) for k, th, raw in table}.values() if (k, th) in asked]
         batch2 = pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.int64()), pa.array([x[2] for x in held], pa.binary()), pa.array([x[3] for x in held], pa.list_(pa.binary()))], names=["k", "th", "text", "pays"])
-        second = pa.Table.from_batches(list(substrings._find_suffixes(n)(iter([batch2]))))
+        second = pa.Table.from_batches(list(substrings._find_phrases(n)(iter([batch2]))))
         for b in range(n):
-            t = substrings._settle_suffixes(second.filter(pa.array(second.column("bucket").to_numpy() == b)))
+            t = substrings._settle_phrases(second.filter(pa.array(second.column("bucket").to_numpy() == b)))
             for k, th, pay in zip(*(t.column(c).to_pylist() for c in ("k", "th", "pay")), strict=True):
                 docs.setdefault((k, th), []).append(pay)
         got = Counter((None if k == common.NULL_ID else k, len(raw), *(x := substrings.keep(raw, docs.get((k, th))))[1:], x[0]) for k, th, raw in table)
@@ -336,6 +387,42 @@ def test_substrings(odd, none, monkeypatch, hot):
     assert got == removed_by_force(rows + more)
 
 
+def test_suffix_ranks():
+    r = np.random.default_rng(5)
+    raw = np.concatenate([r.integers(97, 99, 400), np.tile(r.integers(97, 100, 150), 3)]).astype(np.uint8)
+    at = np.arange(len(raw) - 99)
+    text = raw.tobytes()
+    want = {x: k for k, x in enumerate(sorted({text[p : p + 100] for p in at.tolist()}))}
+    assert substrings.suffix_ranks(raw, at).tolist() == [want[text[p : p + 100]] for p in at.tolist()] and len(want) < len(at)
+
+
+@pytest.mark.parametrize("many, ordered", [(1024, 1 << 20), (2, 1 << 20), (1024, 300)])
+def test_strings_of_many_phrases(spark, monkeypatch, many, ordered):
+    """One passage in ever different surroundings, by suffix arrays, by fingerprints, and in small chunks."""
+    settle = substrings._settle_triggers
+    monkeypatch.setattr(substrings, "MANY", many)
+    monkeypatch.setattr(substrings, "ORDERED", ordered)
+    passage = prose(60, 400)
+    rows = [(k, f"{prose(20, 500 + k)} {passage[: 150 + 7 * k]} {prose(20, 600 + k)} {passage[90:]}") for k in range(12)]
+    import pyarrow as pa
+
+    raws = [(k, k, t.encode()) for k, t in rows]
+    batch = pa.RecordBatch.from_arrays([pa.array([x[0] for x in raws]), pa.array([x[1] for x in raws]), pa.array([x[2] for x in raws], pa.binary())], names=["k", "th", "text"])
+    first = pa.Table.from_batches(list(substrings._find_triggers(1)(iter([batch]))))
+    spans, asked = {}, {}
+    for kind, k, pay in zip(*(settle(first).column(c).to_pylist() for c in ("kind", "k", "pay")), strict=True):
+        (spans if kind == 1 else asked).setdefault(k, []).append(pay)
+    import zstandard
+
+    batch = pa.RecordBatch.from_arrays([pa.array(list(asked)), pa.array(list(asked)), pa.array([zstandard.compress(raws[k][2]) for k in asked], pa.binary()), pa.array(list(asked.values()), pa.list_(pa.binary()))], names=["k", "th", "text", "pays"])
+    second = pa.Table.from_batches(list(substrings._find_phrases(1)(iter([batch]))))
+    assert (0 in second.column("kind").to_pylist()) == (many == 2)
+    for k, pay in zip(*(substrings._settle_phrases(second).column(c).to_pylist() for c in ("k", "pay")), strict=True):
+        spans.setdefault(k, []).append(pay)
+    got = Counter((k, len(raw), *(x := substrings.keep(raw, spans.get(k)))[1:], x[0]) for k, _, raw in raws)
+    assert got == removed_by_force(rows)
+
+
 # 8: classifier
 
 
@@ -360,14 +447,56 @@ def test_classifier_held_out(spark):
     assert (held.predicted == held.quality).mean() > 0.85
 
 
+def test_classifier_keeps_columns_of_any_name(spark):
+    df = clashing(spark, [(k, prose(40, k)) for k in range(5)])
+    got = compression.score(df, compression.Model(b"", b"", 0.0, 0.0))
+    assert got.columns == [*df.columns, "__score"] and {r["__score"] for r in got.collect()} == {0.5} and {r["_score"] for r in got.collect()} == {f"_score{k}" for k in range(5)}
+
+
 # 9: HTML
 
 
 def test_html():
     page = """<html><head><title>t</title><style>p{}</style></head><body><nav><p>menu</p></nav><div class="ad">buy</div><article><h1>A &amp; B</h1>
     <p>one  two&nbsp;three<br>four<p>five<!-- no --><script>var x="</p>";</script> six</p><aside>side</aside><div class="comments"><div>c</div>c</div><form>f</form><p>caf&eacute; &lt;x&gt;</p></article><footer>&copy;</footer></body>"""
-    assert extract.blocks(page) == (["A & B", "one two three four", "five six", "café <x>"], True)
-    assert extract.blocks(None) == ([], False) and extract.blocks("<p>cut off <b") == (["cut off"], False)
+    assert extract.blocks(page) == [(t, extract.GUARDED) for t in ("A & B", "one two three four", "five six", "café <x>")]
+    assert extract.blocks(None) == [] and extract.blocks("<p>cut off <b") == [("cut off", extract.OPEN)]
+
+
+def test_html_comments_go_and_sections_stay():
+    page = """<main><header><h1>Title</h1></header><article><p>one</p><section class="social-history"><p>two</p></section><div class="related-work"><p>three</p></div>
+    <div id="notice">four</div><ul class="menu-items"><li>five</li></ul><div class="comment-list"><p>six</p></div><div class="ad-slot-3">seven</div><p>eight</p></article>
+    <article class="comment"><p>nine</p><article class="reader-comment">ten</article>eleven</article><section id="comments"><article><p>twelve</p></article></section></main><header>thirteen</header>"""
+    got = extract.blocks(page)
+    assert [t for t, _ in got] == ["Title", "one", "two", "three", "four", "five", "eight"] and [x for _, x in got] == [0, 0, 1, 1, 1, 1, 0]
+    assert extract.blocks("<article class='comment'><p>a</p></article><div class='text'>b</div>") == [("b", extract.OPEN)]
+
+
+def test_html_hinted_parts_go_by_the_host(spark):
+    """Parts of an article whose names hint go where other pages of the host have them, and stay where they do not."""
+    links = "read these other stories that our editors chose for you this week"
+    rows = [(k, f"http://h.org/{k}", f"<nav>{prose(9, k)}</nav><article><p>{prose(60, 700 + k)}</p><div class='related-box'>{links if k < 4 else prose(12, 800 + k)}</div><p>{links}</p></article>") for k in range(6)]
+    got = {r["page_id"]: r["text"].split("\n") for r in extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    flat = lambda n, seed: " ".join(prose(n, seed).split())
+    assert got == {k: [flat(60, 700 + k), links] if k < 4 else [flat(60, 700 + k), flat(12, 800 + k), links] for k in range(6)}
+
+
+def test_html_strings_of_blocks_are_found_wherever_they_stand():
+    """Sampled strings: the same block, of any size, in other surroundings gives the same ones, and they cover it."""
+    r = random.Random(6)
+    for size in (8, 9, 15, 31, 32, 33, 90, 400):
+        block = " ".join(r.choice(WORDS) + str(r.randrange(9)) for _ in range(size))
+        seen = []
+        for k in range(3):
+            parts = [prose(20, 900 + k).replace("\n", " ").replace("  ", " ").strip(), block, prose(30, 950 + k).replace("\n", " ").replace("  ", " ").strip()]
+            counts = np.array([len(p.split(" ")) for p in parts])
+            h, begins = extract.token_hashes(parts), np.cumsum(counts) - counts
+            a, b, _ = extract.stretches(h, begins)
+            own = (a >= begins[1]) & (b <= begins[2])
+            seen.append({(int(x - begins[1]), tuple(h[x:y].tolist())) for x, y in zip(a[own], b[own], strict=True)})
+        common_ = seen[0] & seen[1] & seen[2]
+        covered = {x + d for x, t in common_ for d in range(len(t))}
+        assert covered >= set(range(size)), size
 
 
 def test_html_repeats_of_a_host(spark, none):
@@ -438,3 +567,46 @@ def test_pipeline(spark):
     assert out.count() == docs.count() and out.where("not round_trip").count() == 0
     left = [(r["doc_id"], r["text"]) for r in docs.collect()]
     assert not contaminated_by_force(left, [(r["item_id"], r["text"]) for r in common.read_table(spark, TABLES, "benchmark").collect()])
+
+
+def _message(*fields):
+    """A protocol-buffer message of (number, value) fields; floats are 32 bits."""
+    import struct
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    out = b""
+    for number, value in fields:
+        if isinstance(value, bytes):
+            out += varint(number << 3 | 2) + varint(len(value)) + value
+        elif isinstance(value, float):
+            out += varint(number << 3 | 5) + struct.pack("<f", value)
+        else:
+            out += varint(number << 3) + varint(value)
+    return out
+
+
+def test_unigram_model_file_equals_the_library(spark, tmp_path):
+    """A unigram model written by hand goes through ``load`` and the Viterbi fold, and its pieces are the library's."""
+    import sentencepiece
+
+    r = random.Random(11)
+    letters = "abcde"
+    ps = sorted({letters[i] for i in range(5)} | {"\u2581"} | {"\u2581" * (r.random() < 0.4) + "".join(r.choice(letters) for _ in range(r.randint(2, 4))) for _ in range(60)})
+    rows = [_message((1, b"<unk>"), (2, 0.0), (3, 2)), *(_message((1, p.encode()), (2, -r.randint(1, 4000) / 257), (3, 1)) for p in ps)]
+    spec = _message((1, b"identity"), (3, 1), (4, 0), (5, 1))  # a normaliser that adds the dummy space and keeps all others
+    raw = _message(*((1, x) for x in rows), (2, _message((3, 1))), (3, spec))
+    path = tmp_path / "unigram.model"
+    path.write_bytes(raw)
+    v = pieces.load(str(path))
+    assert v.kind == "unigram" and pieces.model_kind(_message((2, _message((3, 2))))) == "bpe" and pieces.model_kind(b"") == "unigram"
+    texts = ["".join(r.choice(letters + "  ") for _ in range(r.randint(1, 40))).strip() or "a" for _ in range(60)]
+    sp = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    for row in pieces.encoded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), v, with_ids=True).collect():
+        assert row["ids"] == sp.encode(texts[row["doc_id"]]) and row["round_trip"], texts[row["doc_id"]]
+    with pytest.raises(ValueError):
+        pieces.model_kind(_message((2, _message((3, 3)))))
