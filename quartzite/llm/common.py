@@ -25,8 +25,8 @@ NULL_ID = -(2**63)
 #: Spark's own switch: shuffle files are removed at the end of the execution that wrote them.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-#: Rows of a batch that goes to a Python worker.
-ROWS_PER_BATCH = 2048
+#: Rows and bytes of a batch that goes to a Python worker; one row may have more bytes.
+ROWS_PER_BATCH, BYTES_PER_BATCH = 2048, 16 << 20
 
 _LOCAL: dict[str, str] = {}
 
@@ -76,6 +76,37 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As ``cut``, in as many buckets of ``key`` as shuffles have partitions, so that a join on the key moves the other side
+    alone.  The catalogue's entry goes once the table is read; its files stay in the shared folder."""
+    spark, path, entry = df.sparkSession, fresh_path(df.sparkSession, name), f"quartzite_{uuid.uuid4().hex}"
+    df.write.bucketBy(shuffle_partitions(spark), key).format("parquet").option("compression", "zstd").option("path", path).saveAsTable(entry)
+    read = spark.table(entry)
+    read.schema  # resolved before the entry goes
+    spark.sql(f"drop table {entry}")
+    return read
+
+
+def in_bucket(bucket: int, n: int, first: int) -> Iterator[int]:
+    """Whole numbers from ``first`` on that Spark puts into a bucket of ``n``."""
+
+    def turned(x: np.ndarray, by: int) -> np.ndarray:
+        return (x << np.uint32(by)) | (x >> np.uint32(32 - by))
+
+    def mixed(h: np.ndarray, k: np.ndarray) -> np.ndarray:
+        k = turned(k * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        return turned(h ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+
+    while True:
+        x = np.arange(first, first + (1 << 12), dtype=np.uint64)
+        h = mixed(mixed(np.full(len(x), 42, np.uint32), x.astype(np.uint32)), (x >> np.uint64(32)).astype(np.uint32)) ^ np.uint32(8)
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        h = (h ^ (h >> np.uint32(16))).view(np.int32).astype(np.int64) % n
+        yield from x[h == bucket].tolist()
+        first += len(x)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Removes the table that ``cut`` gave, once nothing reads it any more."""
     for path in {os.path.dirname(x) for x in df.inputFiles()}:  # one folder
@@ -83,11 +114,11 @@ def drop_cut(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts may be long, and a Python worker holds two Arrow batches at once: so few rows a batch, unless the session
-    sets its own number."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name, None) in (None, "10000"):
-        spark.conf.set(name, str(ROWS_PER_BATCH))
+    """Texts may be long, and a Python worker holds two Arrow batches at once: so few rows and bytes a batch, unless the
+    session sets its own numbers."""
+    for name, usual, own in (("maxRecordsPerBatch", "10000", ROWS_PER_BATCH), ("maxBytesPerBatch", "67108864b", BYTES_PER_BATCH)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) in (None, usual):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(own))
 
 
 def free(taken: Iterable[str], *names: str) -> list[str]:

@@ -2,12 +2,12 @@
 
 A text is one dummy space and the text (the library writes spaces as U+2581, here they stay spaces).  Words are cut
 where no piece of the vocabulary goes on: before spaces, and between punctuation and other characters as far as the
-vocabulary allows.  So they are encoded on their own, and each distinct word of the corpus once.  Substrings of two characters up to the longest piece
-are exploded and equi-joined to the piece table (fixed in size, so broadcast), the edges are grouped by word, and a
-higher-order ``aggregate`` folds them.
+vocabulary allows.  So they are encoded on their own, and each distinct word of the corpus once.  Substrings of two
+characters up to the longest piece are exploded and equi-joined to the piece table (fixed in size, so broadcast), the
+edges are grouped by word, and a higher-order ``aggregate`` folds them.
 
-The explode is bounded: from a start, substrings go as far as the longest piece with the same three characters, which
-a second, equally small table tells; no piece is missed.
+The explode is bounded: from a start, substrings have the lengths of the pieces with the same three characters, which a
+second, equally small table tells, or two characters; no piece is missed.
 
 The fold follows the vocabulary's kind.  ``unigram``: Viterbi, the path with the greatest sum of scores, over the
 edges in order of their ends.  ``bpe``: as the merge rule has it, the best-scored edge (the leftmost of equals) that
@@ -16,9 +16,10 @@ for, so Viterbi would give other pieces than its library does.  The parts of a w
 over ``BITS`` characters fold the same edges in an Arrow function with a heap.  Characters without a piece become
 their UTF-8 bytes' pieces, or the unknown piece where the vocabulary has none.
 
-Texts are cut into words by array operations, a block at a time, and only a block's distinct words are looked up.  Texts get their words' pieces back in two ways: the most frequent words, at most ``HOT_WORDS`` of
-them whatever the corpus, travel with the tasks; every other (text, word) pair is joined with the word table, and its
-pieces come back under the word's place among the text's other words.
+Texts are cut into words once, by array operations, a block at a time; a written table holds each block's distinct
+words and the words of its texts as numbers of those.  Blocks get their words' pieces back in two ways: the most
+frequent words, at most ``HOT_WORDS`` of them whatever the corpus, travel with the tasks; every other (block, word) pair
+is joined with the word table, and its pieces come back under the word's number.
 
 Decoding joins the pieces, bytes included, turns U+2581 into spaces and takes the dummy space off.  It gives the text
 back but for U+2581 in the text itself, which becomes a space, and unknown pieces.  Null and empty texts have no
@@ -27,6 +28,9 @@ pieces.  Rows that repeat id and text are encoded alike; null ids are carried.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import hashlib
 import heapq
 import string
@@ -39,18 +43,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quartzite.llm.common import cut, default_tokenizer, drop_cut, id_order, read_table, squeezed, unsqueezed
+from quartzite.llm.common import cut, cut_buckets, default_tokenizer, drop_cut, in_bucket, read_table, shuffle_partitions
 
 SPACE = "▁"
 HOT_WORDS = 200_000
 #: Characters of a block of texts (one text may have more), those hashed at once, and places with numbers of their own.
 CHARS, SEGMENT, PLACES = 1 << 22, 1 << 19, 1 << 12
 BITS = 60
-#: Lowest bits of an edge's rank and start, and the bits that its length takes, above the one for early pieces.
-RANK_AT = (43, 9, 8)
+#: Lowest bit of an edge's rank; below it, in words of up to BITS characters, start, EARLY, end and start again (six bits
+#: each), in longer ones start, then the length in so many bits.
+RANK_AT, START_AT, EARLY, LENGTH_BITS = 43, 13, 1 << 12, 8
 MODEL = "piece_bpe_32k.model"
 
 
@@ -240,19 +246,45 @@ class Cutter:
         return at, ends, words
 
 
-def count_words(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``(word, n)``: words of two characters or more, summed within blocks and on the tasks before they move."""
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers as four planes of bytes, which compress better than the numbers."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _numbers(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def blocks(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``(block, ids, ends, at, words, n)`` of ``docs (doc_id, text)``, a row for each block of texts.
+
+    ``words`` are its distinct words and ``n`` how often each occurs; ``at`` holds the number of each word of the texts,
+    ``ends`` where each text's words begin and end.  ``block`` begins with the task's number, so it names the block within
+    one written table alone; a task's blocks share a bucket."""
+    n_buckets = shuffle_partitions(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        _HOT.clear()  # of an earlier corpus
-        cut_up = Cutter(vocabulary)
+        cut_up, squeeze, part = Cutter(vocabulary), zstandard.ZstdCompressor(level=3).compress, TaskContext.get().partitionId()
+        keys = in_bucket(part % n_buckets, n_buckets, part << 32)
         for batch in batches:
-            for _, at, _, words in cut_up(batch.column(0)):
-                took = pa.array(words, pa.string())
-                rows = pa.RecordBatch.from_arrays([took, pa.array(np.bincount(at, minlength=len(words)))], names=["word", "n"])
-                yield rows.filter(pc.greater(pc.utf8_length(took), 1))
+            for low, at, ends, words in cut_up(batch.column(1)):
+                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                n = np.bincount(at, minlength=len(words)).astype(np.int64)
+                order = np.argsort(-n, kind="stable")  # low numbers for frequent words, which compress better
+                place = np.empty_like(order)
+                place[order] = np.arange(len(order))
+                at, n, words = place[at], n[order], [words[i] for i in order.tolist()]
+                cols = [pa.array([next(keys)], pa.int64()), one(pa.concat_arrays([batch.column(0).slice(low, len(ends) - 1)])), one(pa.array(ends, pa.int64())), pa.array([squeeze(_planes(at))], pa.binary()), one(pa.array(words, pa.string())), one(pa.array(n))]
+                yield pa.RecordBatch.from_arrays(cols, names=["block", "ids", "ends", "at", "words", "n"])
+        _release()
+
+    return docs.select("doc_id", "text").mapInArrow(run, "block long, ids array<long>, ends array<long>, at binary, words array<string>, n array<long>")
 
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+def count_words(blocks: DataFrame) -> DataFrame:
+    """``(word, n)``: words of two characters or more, summed on the tasks before they move."""
+    each = blocks.select(F.explode(F.arrays_zip("words", "n")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.n").alias("n"))
+    return each.where(F.length("word") > 1).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _prefix(word: str, s: str) -> Column:
@@ -265,47 +297,59 @@ def edges(words: DataFrame, pieces: DataFrame, edge: str) -> DataFrame:
 
     The explodes and the broadcast joins leave rows where their word is, so grouping needs no further shuffle.  Both
     tables are no larger than the vocabulary; single numbers as keys are found faster than strings."""
-    far = pieces.where(F.length("piece") > 2).groupBy(_prefix("piece", "0").alias("p")).agg(F.max(F.length("piece")).alias("far"))
+    far = pieces.where(F.length("piece") > 2).groupBy(_prefix("piece", "0").alias("p")).agg(F.collect_set(F.length("piece")).alias("far"))
     at = words.withColumn("size", F.length("word")).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("size") - 2)))
-    reach = at.join(F.broadcast(far), _prefix("word", "s") == F.col("p"), "left").withColumn("most", F.least(F.coalesce("far", F.lit(2)), F.col("size") - F.col("s")))
-    part = reach.select("word", "n", "s", F.explode(F.sequence(F.lit(2), F.col("most"))).alias("l")).withColumn("part", F.substring("word", F.col("s") + 1, F.col("l")))
+    reach = at.join(F.broadcast(far.withColumn("far", F.concat(F.array(F.lit(2)), "far"))), _prefix("word", "s") == F.col("p"), "left")
+    lengths = reach.select("word", "n", "size", "s", F.explode(F.coalesce("far", F.array(F.lit(2)))).alias("l")).where(F.col("l") <= F.col("size") - F.col("s"))
+    part = lengths.select("word", "n", "s", "l", F.substring("word", F.col("s") + 1, F.col("l")).alias("part"))
     same = F.startswith("part", "piece") & F.startswith("piece", "part")
     found = part.join(F.broadcast(pieces.withColumn("key", F.xxhash64("piece"))), (F.xxhash64("part") == F.col("key")) & same)
     return found.groupBy("word").agg(F.first("n").alias("n"), F.collect_list(F.expr(edge)).alias("edges"))
 
 
-def ranks(vocabulary: Vocabulary) -> list[tuple[str, int]]:
-    """Pieces of two characters or more as numbers, rank by score, then room for a start, length, and whether early.
+def ranks(vocabulary: Vocabulary) -> list[tuple[str, int, int]]:
+    """Pieces of two characters or more, their ranks by score, and EARLY or 0.
 
     A piece is early if one of two pieces (or characters) that make it up is not ranked before it, so that a merge may
     open another of a better rank."""
     own = {p: s for p, _, s in vocabulary.pieces if len(p) > 1}
     rank = {s: k for k, s in enumerate(sorted(set(own.values()), reverse=True))}
-    if vocabulary.longest >= 1 << RANK_AT[2] or len(rank) >= 1 << 63 - RANK_AT[0]:
+    if vocabulary.longest >= 1 << LENGTH_BITS or len(rank) >= 1 << 63 - RANK_AT:
         raise ValueError("the vocabulary's pieces are too long or too many")
 
     def early(p: str) -> bool:
         halves = ((p[:k], p[k:]) for k in range(1, len(p)))
         return any(all(len(x) == 1 or x in own for x in xy) and any(len(x) > 1 and own[x] <= own[p] for x in xy) for xy in halves)
 
-    return [(p, rank[s] << RANK_AT[0] | len(p) << 1 | early(p)) for p, s in own.items()]
+    return [(p, rank[s], EARLY * early(p)) for p, s in own.items()]
+
+
+def _edge() -> str:
+    """An edge as a number that sorts by rank, then start."""
+    long, s = f"{{}} | shiftleft(cast(s as bigint), {LENGTH_BITS}) | l", "cast(s as bigint)"
+    short = f"{{}} | shiftleft({s}, {START_AT}) | early | shiftleft({s} + l, 6) | s"
+    rank = f"shiftleft(rank, {RANK_AT})"
+    return f"if(length(word) <= {BITS}, {short.format(rank)}, {long.format(rank)})"
+
+
+#: Set where a fold is not to be trusted; lies above the bits of the bounds.
+_BAD = 1 << 62
 
 
 def _bpe() -> tuple[str, str, str]:
-    """Expressions of the edges' masks, of the early ones among them, and of ``(b, bad)``: the parts' bounds as bits, by one pass over the edges in order of rank, then start.
-
-    An edge joins two parts if both its ends and just one bit between them are set.  ``bad`` tells that a merge opened an
-    edge of a better rank, which only an early one can be: such words take a heap instead."""
-    rank, start, _ = RANK_AT
-    s, l = f"(shiftright(e, {start}) & {(1 << rank - start) - 1}L)", f"(shiftright(e, 1) & {(1 << start - 1) - 1}L)"
-    low, high = f"shiftleft(1L, cast({s} as int))", f"shiftleft(1L, cast({s} + {l} as int))"
-    masks = f"transform(sort_array(edges), e -> named_struct('e', e, 'inner', {high} - 2L * {low}, 'ends', {low} | {high}))"
-    hit = "(({b} & {m}.inner) & (({b} & {m}.inner) - 1L)) = 0L and ({b} & {m}.ends) = {m}.ends and ({b} & {m}.inner) <> 0L"
-    after = "acc.b & ~m.inner"
-    opened = f"exists(early, x -> x.e < m.e and {hit.format(b=f'({after})', m='x')})"
-    step = f"if({hit.format(b='acc.b', m='m')}, named_struct('b', {after}, 'bad', acc.bad or {opened}), acc)"
-    fold = f"aggregate(masks, named_struct('b', shiftleft(1L, length(word) + 1) - 1L, 'bad', false), (acc, m) -> {step})"
-    return masks, "filter(masks, m -> (m.e & 1L) = 1L)", fold
+    """Expressions of the edges in order of rank, then start, of the early ones among them, and of the parts' bounds as bits,
+    by one pass over the edges.
+
+    An edge joins two parts if both its ends and just one bit between them are set.  _BAD is set if a merge opened an edge
+    of a better rank, which only an early one can be: such words take a heap instead."""
+    low, high = "shiftleft(1L, cast({e} & 63L as int))", "shiftleft(1L, cast(shiftright({e}, 6) & 63L as int))"
+    hit = f"bit_count({{b}} & ({high} - {low})) = 2 and ({{b}} & {low}) <> 0L and ({{b}} & {high}) <> 0L"
+    after = f"(b & ~({high} - 2L * {low}))".format(e="e")
+    opened = f"exists(early, x -> x < e and {hit.format(b=after, e='x')})"
+    fold = "aggregate(ordered, shiftleft(1L, length(word) + 1) - 1L, (b, e) -> if({hit}, {after}{more}, b))"
+    plain, careful = (fold.format(hit=hit.format(b="b", e="e"), after=after, more=more) for more in ("", f" | if({opened}, {_BAD}L, 0L)"))
+    # Two uses of the early edges, so that the optimiser does not put their filter into the fold.
+    return "sort_array(edges)", f"filter(ordered, e -> (e & {EARLY}L) <> 0L)", f"if(size(early) = 0, {plain}, {careful})"
 
 
 def _viterbi(single: float) -> str:
@@ -353,12 +397,12 @@ def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     ids are packed; a zero byte more, so an odd length, tells that they do not decode to the word (unknown pieces)."""
     spark = words.sparkSession
     if vocabulary.kind == "bpe":
-        pieces = spark.createDataFrame(ranks(vocabulary), "piece string, edge long")
-        grouped = edges(words, pieces, f"edge + shiftleft(cast(s as long), {RANK_AT[1]})")
-        masks, early, fold = _bpe()
+        pieces = spark.createDataFrame(ranks(vocabulary), "piece string, rank long, early int")
+        grouped = edges(words, pieces, _edge())
+        ordered, early, fold = _bpe()
         short = F.length("word") <= BITS
-        passed = grouped.withColumn("masks", F.when(short, F.expr(masks))).withColumn("early", F.expr(early)).withColumn("fold", F.expr(fold))
-        bits = F.when(~F.col("fold.bad"), F.col("fold.b"))
+        passed = grouped.withColumn("ordered", F.when(short, F.expr(ordered))).withColumn("early", F.expr(early)).withColumn("fold", F.expr(fold))
+        bits = F.when(F.col("fold") < _BAD, F.col("fold"))
         folded = passed.select("word", "n", bits.alias("bits"), F.when(bits.isNull(), F.col("edges")).alias("edges"))
     else:
         pieces = spark.createDataFrame([(p, s) for p, _, s in vocabulary.pieces if len(p) > 1], "piece string, score float")
@@ -378,20 +422,32 @@ def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 def _packed(folded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``folded`` has bounds as bits, or null and the edges to merge; for ``unigram`` the bounds stand for the edges."""
-    rank, start, _ = RANK_AT
 
     def bounds_of(word: str, edges: list[int]) -> list[int]:
         if vocabulary.kind != "bpe":
             return edges
-        return merge_heap(word, [(e >> rank, (e >> start) & ((1 << rank - start) - 1), (e >> 1) & ((1 << start - 1) - 1)) for e in edges])
+        if len(word) <= BITS:
+            return merge_heap(word, [(e >> RANK_AT, e & 63, (e >> 6 & 63) - (e & 63)) for e in edges])
+        below = (1 << RANK_AT - LENGTH_BITS) - 1
+        return merge_heap(word, [(e >> RANK_AT, e >> LENGTH_BITS & below, e & (1 << LENGTH_BITS) - 1) for e in edges])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        decodes, pack = vocabulary.table(), vocabulary.pack
+        decodes, width, known = vocabulary.table(), vocabulary.width, vocabulary.ids.get
+        item = np.dtype(width).itemsize
         for batch in batches:
-            words, ids = batch.column(0).to_pylist(), []
-            for w, b, es in zip(words, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                own = vocabulary.word_ids(w, b, None if b is not None else bounds_of(w, es))
-                ids.append(pack(own) + b"\0" * (decode(own, decodes) != w))
+            words, bits = batch.column(0).to_pylist(), batch.column(2).fill_null(0).to_numpy()
+            row, at = np.nonzero(np.unpackbits(bits.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            same = row[1:] == row[:-1]
+            own = row[1:][same]
+            part = [known(words[r][a:b], -1) for r, a, b in zip(own.tolist(), at[:-1][same].tolist(), at[1:][same].tolist(), strict=True)]
+            part = np.array(part, np.int64)
+            stops = np.cumsum(np.bincount(own, minlength=len(words))) * item
+            raw = part.astype(width).tobytes()
+            ids = [raw[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
+            for r in np.union1d(np.flatnonzero(bits == 0), own[part < 0]).tolist():  # merged by the heap, or parts that are no pieces
+                w = words[r]
+                got = vocabulary.word_ids(w, int(bits[r]), None if bits[r] else bounds_of(w, batch.column(3)[r].as_py()))
+                ids[r] = vocabulary.pack(got) + b"\0" * (decode(got, decodes) != w)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["word", "n", "ids"])
 
     return folded.mapInArrow(run, "word string, n long, ids binary")
@@ -424,19 +480,16 @@ def _hot_ids(key: str, parts: list[bytes]) -> dict[str, bytes]:
     return _HOT[key]
 
 
-def others(at: np.ndarray, ends: np.ndarray, words: list[str], hot: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, word) of each text's words of two characters or more that are not among the hot ones, by text, in order of
-    appearance."""
-    cold = np.array([len(w) > 1 and w not in hot for w in words], bool)
-    places = np.flatnonzero(cold[at]) if len(words) else np.zeros(0, np.int64)
-    doc = np.searchsorted(ends, places, "right") - 1
-    first = np.sort(np.unique(doc * max(len(words), 1) + at[places], return_index=True)[1])
-    return doc[first], at[places[first]]
+def _release() -> None:
+    """At a task's end: an idle worker must not hold the frequent words, nor what Arrow and the allocator keep for later."""
+    _HOT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries give memory back by themselves, or not at all
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def _pack_hot(table: DataFrame) -> list[bytes]:
-    """Words that do not decode to themselves (unknown pieces) stay with the others, where that is told."""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
             sink = pa.BufferOutputStream()
@@ -444,7 +497,20 @@ def _pack_hot(table: DataFrame) -> list[bytes]:
                 out.write_batch(batch)
             yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["part"])
 
-    return [bytes(r[0]) for r in table.where("length(ids) % 2 = 0").select("word", "ids").mapInArrow(run, "part binary").collect()]
+    return [bytes(r[0]) for r in table.select("word", "ids").mapInArrow(run, "part binary").collect()]
+
+
+def _tokens(at: np.ndarray, ids: list[bytes], width: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of words by their numbers, as 32-bit numbers, and where each word's ids end, 0 first."""
+    every = np.frombuffer(b"".join(ids), width).astype("<u4")
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(width).itemsize
+    began, ends, out = np.cumsum(sizes) - sizes, np.zeros(len(at) + 1, np.int64), []
+    np.cumsum(sizes[at], out=ends[1:])
+    for low in range(0, len(at), SEGMENT):  # as many words at once
+        mine = at[low : low + SEGMENT]
+        first, size = ends[low : low + len(mine)], sizes[mine]
+        out.append(every[np.arange(first[0], first[-1] + size[-1]) + np.repeat(began[mine] - first, size)])
+    return np.concatenate(out) if out else every[:0], ends
 
 
 def encoded(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, hot_words: int = HOT_WORDS) -> DataFrame:
@@ -454,74 +520,46 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", tex
     text, U+2581 taken for a space: pieces decode one by one, so it holds if every word's ids give the word and the
     words give the text."""
     spark = docs.sparkSession
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # 96 bits of two hashes; rows that repeat id and text share their words.
-    own = own.select("doc_id", "text", F.xxhash64(id_order("doc_id"), "text").alias("k"), F.hash("text").alias("h"))
-    table = cut(encode_words(count_words(own, vocabulary), vocabulary), "words")
-    sent = spark.sparkContext.broadcast(_pack_hot(_frequent(table, hot_words)))
+    own = cut_buckets(blocks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), vocabulary), "blocks", "block")
+    table = cut_buckets(encode_words(count_words(own), vocabulary), "words", "word")
+    # Words that do not decode to themselves (unknown pieces) stay with the others, where that is told.
+    frequent = _frequent(table, hot_words).where("length(ids) % 2 = 0")
+    sent = spark.sparkContext.broadcast(_pack_hot(frequent))
     key = f"{spark.sparkContext.applicationId}-{hashlib.md5(b''.join(sent.value)).hexdigest()}"
-
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        hot, cut_up = _hot_ids(key, sent.value), Cutter(vocabulary)
-        for batch in batches:
-            for low, at, ends, words in cut_up(batch.column(2)):
-                doc, word = others(at, ends, words, hot)
-                spot = np.arange(len(doc)) - np.searchsorted(doc, doc)
-                took = pa.array(doc + low)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(took), batch.column(1).take(took), pa.array(spot.astype(np.int32)), pa.array(words, pa.string()).take(pa.array(word))], names=["k2", "h2", "at", "word"])
-        del hot
-        _HOT.clear()
-
-    pairs = own.select("k", "h", "text").mapInArrow(rest, "k2 long, h2 int, at int, word string")
-    # A table of its own, so that the pairs' shuffles and the word table are gone when the texts are shuffled.
-    found = cut(pairs.join(table, "word").select("k2", "h2", "at", "ids"), "pairs")
+    rest = own.select("block", F.posexplode("words").alias("spot", "word")).where(F.length("word") > 1).join(F.broadcast(frequent.select("word")), "word", "left_anti")
+    # A table of its own, so that the shuffles of the words and the word table are gone when the pieces move to their blocks.
+    found = cut(rest.join(table.select("word", F.col("ids").alias("pack")), "word").select("block", "spot", "pack").sortWithinPartitions("block", "spot"), "pairs")
     drop_cut(table)
-    named = found.groupBy("k2", "h2").agg(F.collect_list(F.struct("at", "ids")).alias("rare"))
-    joined = squeezed(own, "text").join(named, (F.col("k") == F.col("k2")) & (F.col("h") == F.col("h2")), "left").select("doc_id", "text", "rare")
+    named = found.groupBy(F.col("block").alias("b")).agg(F.collect_list(F.struct("spot", "pack")).alias("rare"))
+    joined = own.select("block", "ids", "ends", "at", F.array_join("words", SPACE).alias("words")).join(named, F.col("block") == F.col("b"), "left").drop("block", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        hot, cut_up, tool = _hot_ids(key, sent.value), Cutter(vocabulary), zstandard.ZstdDecompressor()
-        decodes, width = vocabulary.table(), vocabulary.width
-        item = np.dtype(width).itemsize
+        hot, tool, decodes, width = _hot_ids(key, sent.value), zstandard.ZstdDecompressor(), vocabulary.table(), vocabulary.width
         for batch in batches:
-            given = batch.column(2)
-            bounds, (spots, packed) = given.offsets.to_numpy(), given.values.flatten()
-            spots = spots.to_numpy()
-            texts = pa.array([None if (raw := unsqueezed(x, tool)) is None else raw.decode() for x in batch.column(1)], pa.string())
-            for low, at, ends, words in cut_up(texts):
-                doc, word = others(at, ends, words, hot)
-                n = len(ends) - 1
-                where = np.full(len(doc), -1)  # the row of each pair's pieces, if it has any
-                own = np.arange(bounds[low], bounds[low + n])
-                where[np.searchsorted(doc, np.searchsorted(bounds, own, "right") - 1 - low) + spots[own]] = own
-                row_of = np.full(len(words), -1)
-                row_of[word[where >= 0]] = where[where >= 0]
-                ids, bad = [], np.zeros(len(words), bool)
-                for u, (w, row) in enumerate(zip(words, row_of.tolist(), strict=True)):
-                    got = packed[row].as_py() if row >= 0 else hot.get(w)
+            for docs, ends, at, words, rare in zip(*batch.columns, strict=True):
+                ends, at = ends.values.to_numpy(), _numbers(tool.decompress(at.as_buffer()))
+                words = words.as_py().split(SPACE) if len(at) else []
+                ids = list(map(hot.get, words))
+                if rare.is_valid:
+                    for u, got in zip(*(x.to_pylist() for x in rare.values.flatten()), strict=True):
+                        ids[u] = got
+                bad = np.zeros(len(words), bool)
+                for u, got in enumerate(ids):
                     if got is None:  # no piece of two characters lies in it
-                        plain = vocabulary.word_ids(w, None, None)
-                        got = vocabulary.pack(plain) + b"\0" * (decode(plain, decodes) != w)
+                        plain = vocabulary.word_ids(words[u], None, None)
+                        got = ids[u] = vocabulary.pack(plain) + b"\0" * (decode(plain, decodes) != words[u])
                     if len(got) % 2:
-                        got, bad[u] = got[:-1], True
-                    ids.append(got)
-                every, sizes = np.frombuffer(b"".join(ids), width).astype("<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // item
-                began, count, sha, out = np.cumsum(sizes) - sizes, [], [], []
-                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                    mine = at[a:b]
-                    size = sizes[mine]
-                    end = np.cumsum(size)
-                    got = every[np.arange(end[-1] if b > a else 0) + np.repeat(began[mine] - end + size, size)]
-                    count.append(len(got))
-                    sha.append(hashlib.sha256(got.tobytes()).hexdigest())
-                    if with_ids:
-                        out.append(got.view("<i4"))
-                broken = np.concatenate(([0], np.cumsum(bad[at])))
-                same = broken[ends[1:]] == broken[ends[:-1]]
-                cols = [batch.column(0).slice(low, n), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_()), *([pa.array(out, pa.list_(pa.int32()))] if with_ids else [])]
+                        ids[u], bad[u] = got[:-1], True
+                tokens, stops = _tokens(at, ids, width)
+                stops, raw = stops[ends], memoryview(tokens.tobytes())
+                sha = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)]
+                broken = np.concatenate(([0], np.cumsum(bad[at])))[ends]
+                cols = [docs.values, pa.array(np.diff(stops)), pa.array(sha, pa.string()), pa.array(broken[1:] == broken[:-1])]
+                if with_ids:
+                    cols.append(pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(tokens.view("<i4"))))
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "round_trip", *["ids"] * with_ids])
         del hot
-        _HOT.clear()
+        _release()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids
     return joined.mapInArrow(run, schema)
