@@ -90,6 +90,44 @@ def logarithm(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return each(df, columns, lambda c: F.when(c > 0, F.log10(c)))
 
 
+def log_in(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Natural logarithms, before a model; NULL for what is not above zero."""
+    return each(df, columns, lambda c: F.when(c > 0, F.ln(c)))
+
+
+def exp_out(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Back from logarithms, after a model."""
+    return each(df, columns, F.exp)
+
+
+def reset_types(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Columns in the types of ``schema``; fractions become whole by rounding, halves to the even number."""
+    kinds = {f.name: f.dataType for f in schema.fields if f.name in df.columns}
+    whole = lambda c, t: F.bround(F.col(c)).cast(t) if isinstance(t, T.IntegralType) else F.col(c).cast(t)
+    return df.withColumns({c: whole(c, t) for c, t in kinds.items() if df.schema[c].dataType != t})
+
+
+def as_categories(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Numbers that are labels as text."""
+    return each(df, columns, lambda c: c.cast("string")) if columns else df
+
+
+def split_columns(df: DataFrame) -> tuple[list[str], list[str]]:
+    """Names of the columns of numbers, and of all others."""
+    numbers = numeric(df)
+    return numbers, [c for c in df.columns if c not in numbers]
+
+
+def normalise_rows(df: DataFrame, columns: Sequence[str], norm: str = "l2") -> DataFrame:
+    """Each row's columns over their norm (``l1``, ``l2`` or ``max``); NULL where that is zero, missing cells count as zero."""
+    size = [F.abs(F.coalesce(F.col(c).cast("double"), F.lit(0.0))) for c in columns]
+    if norm not in _NORMS:
+        raise ValueError(f"{norm!r} is none of {sorted(_NORMS)}")
+    total = F.greatest(*size) if norm == "max" and len(size) > 1 else size[0] if norm == "max" else reduce(lambda a, b: a + b, size if norm == "l1" else [x * x for x in size])
+    by = F.nullif(F.sqrt(total) if norm == "l2" else total, F.lit(0.0))
+    return df.withColumns({c: F.col(c) / by for c in columns})
+
+
 def drop_empty_columns(df: DataFrame) -> DataFrame:
     counts = df.agg(*(F.count(c).alias(c) for c in df.columns)).first()
     return df.drop(*(c for c in df.columns if not counts[c]))
@@ -112,6 +150,16 @@ def missing_patterns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.groupBy(F.concat(*(F.col(c).isNull().cast("int").cast("string") for c in columns)).alias("pattern")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def pattern_rows(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """``(key, pattern)``: which rows have which pattern of missing cells."""
+    return df.select(key, F.concat(*(F.col(c).isNull().cast("int").cast("string") for c in columns)).alias("pattern"))
+
+
+def null_flags(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """1 for a missing cell, 0 for a value."""
+    return each(df, columns, lambda c: c.isNull().cast("int"))
+
+
 def missing_cells(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """``(key, feature)`` of every missing cell."""
     return df.select(key, F.explode(F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in columns)))).alias("feature"))
@@ -174,6 +222,14 @@ def rank_by_duration(df: DataFrame, label: str, duration: str, out: str = "rank"
     return total.withColumn(out, F.row_number().over(Window.orderBy(F.desc("total"), label)) - 1)
 
 
+def relabel_by_duration(df: DataFrame, label: str, duration: str, keep: int | None = None, noise: Sequence = ()) -> DataFrame:
+    """Labels become their rank by total duration, from 0; rows of a ``noise`` label go, and with ``keep`` those of a later rank."""
+    own = df.where(~F.col(label).isin(*noise)) if noise else df
+    ranks = rank_by_duration(own, label, duration, "_rank").select(F.col(label).alias("_label"), F.col("_rank"))
+    out = own.join(ranks, F.col(label).eqNullSafe(F.col("_label"))).withColumn(label, F.col("_rank").cast("long"))
+    return (out.where(F.col("_rank") < keep) if keep is not None else out).select(*df.columns)
+
+
 def bootstrap(df: DataFrame, size: int, weight: str | None = None, bags: int = 1, seed: int = 0) -> DataFrame:
     """``bags`` samples of ``size`` rows without replacement, heavier rows likelier (the least -ln(u) / w)."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)

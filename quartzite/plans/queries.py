@@ -13,6 +13,7 @@ from quartzite.operators import bilinear, cluster, factors, graph, impute, prepa
 from quartzite.plans.registry import LINE, PART, query, rounded, table
 from quartzite.sources import prv
 
+
 @query("oca_inertia")
 def oca_inertia(spark, sf_dir):
     """Prepare, fit a map, explain its shape: the flagship flow."""

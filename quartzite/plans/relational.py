@@ -140,10 +140,10 @@ def label_isin(spark, sf_dir):
     return rel.isin(table(spark, sf_dir, "part"), "p_size", ["6", "7", "8", "9"]).select("p_partkey")
 
 
-@query("ratio", "select l_orderkey, l_linenumber, round(l_extendedprice / l_quantity, 6) as l_extendedprice, round(l_quantity / nullif(l_tax, 0), 6) as l_tax from lineitem")
+@query("ratio", "select l_orderkey, l_linenumber, round(l_extendedprice / l_quantity, 8) as l_extendedprice, round(l_quantity / nullif(l_tax, 0), 8) as l_tax from lineitem")
 def ratio(spark, sf_dir):
     own = rel.ratios(rel.ratios(table(spark, sf_dir, "lineitem"), ["l_extendedprice"], "l_quantity"), ["l_tax"], "l_quantity", invert=True)
-    return rounded(own.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_tax"), "l_extendedprice", "l_tax")
+    return rounded(own.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_tax"), "l_extendedprice", "l_tax", digits=8)
 
 
 @query("strip_lower_split", "select p_partkey, split_part(lower(trim(p_type)), ' ', 1) as word, p_name from part")

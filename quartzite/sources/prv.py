@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -95,3 +96,15 @@ def edit(lines: DataFrame, edits: DataFrame) -> DataFrame:
     changed = marked.select("line_no", F.lit(0).alias("sub_no"), line.alias("value"))
     fresh = inserts.select("line_no", (F.col("sub") + 1).alias("sub_no"), F.concat_ws(":", "head", "e.code", "e.value").alias("value"))
     return joined.where("es is null").select("line_no", F.lit(0).alias("sub_no"), "value").unionByName(changed).unionByName(fresh)
+
+
+def edit_list(before: DataFrame, after: DataFrame, columns: dict[str, str], codes: dict[str, str], key: Sequence[str] = ("object_id", "ts"), whole: Sequence[str] = ()) -> DataFrame:
+    """Edits ``(object_id, ts, code, new_value, tag)`` of every cell that ``before`` lacks and ``after`` has.
+
+    ``columns`` names the filled column of each column, ``codes`` its type in the trace.  Columns in ``whole`` are rounded
+    to whole numbers, halves to the even one.  The tag is ``u``: the counter is there, with a value to replace."""
+    gaps = before.select(*key, *(F.col(c).isNull().alias(f"_gap_{c}") for c in columns)).where(reduce(lambda a, b: a | b, (F.col(f"_gap_{c}") for c in columns)))
+    value = lambda c: (F.bround(F.col(f"_new_{c}")).cast("long") if c in whole else F.col(f"_new_{c}")).cast("string")
+    both = gaps.join(after.select(*key, *(F.col(f).alias(f"_new_{c}") for c, f in columns.items())), list(key))
+    cells = F.array(*(F.struct(F.lit(codes[c]).alias("code"), value(c).alias("new_value"), F.col(f"_gap_{c}").alias("gap")) for c in columns))
+    return both.select(*key, F.explode(cells).alias("x")).where("x.gap and x.new_value is not null").select(*key, "x.code", "x.new_value", F.lit("u").alias("tag"))

@@ -165,11 +165,11 @@ def test_entry_points_without_the_subpackage(monkeypatch):
 
 
 @pytest.mark.skipif(not os.path.isdir(TABLES) or importlib.util.find_spec("duckdb") is None, reason="no tables")
-@pytest.mark.parametrize("name", ["prep_filter_derive", "fill_geo", "standardize", "trace_duration", "prv_parse", "prv_edit", "knn_degree", "laplacian_score", "som_hits", "ks_statistic", "pmm_impute", "blt_forward"])
+@pytest.mark.parametrize("name", ["prep_filter_derive", "fill_geo", "standardize", "trace_duration", "prv_parse", "prv_edit", "knn_degree", "laplacian_score", "som_hits", "ks_statistic", "pmm_impute", "blt_forward", "arg_min_group", "path_diff", "factorize", "edit_and_apply", "relabel_by_duration", "normalise_rows"])
 def test_against_sql(spark, name):
     import duckdb
 
-    from quartzite.plans import queries
+    from quartzite.plans import catalogue as queries
 
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events embeddings".split():
