@@ -22,18 +22,22 @@ def optimal_k(n: int) -> int:
 
 
 def _nearest(of: np.ndarray, ids: np.ndarray, to: np.ndarray, others: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The k nearest of each row, by exact distances of all that are as near as the k-th but for rounding."""
+    size = (to**2).sum(1)
     for at in range(0, len(of), 256):
-        part = of[at : at + 256]
-        d = np.sqrt(np.maximum((part**2).sum(1)[:, None] + (to**2).sum(1) - 2 * part @ to.T, 0))
-        close = np.argpartition(d, min(2 * k + 8, d.shape[1] - 1), axis=1)[:, : 2 * k + 9] if d.shape[1] > 2 * k + 9 else np.tile(np.arange(d.shape[1]), (len(part), 1))
-        exact = np.sqrt(((part[:, None, :] - to[close]) ** 2).sum(2))
-        other = others[close]
-        exact[other == ids[at : at + 256, None]] = np.inf
-        order = np.lexsort((other, exact), axis=1)[:, :k]
-        dist, dst = np.take_along_axis(exact, order, 1), np.take_along_axis(other, order, 1)
-        src = np.repeat(ids[at : at + 256], order.shape[1]).reshape(order.shape)
-        ok = np.isfinite(dist)
-        yield src[ok], dst[ok], dist[ok]
+        part, mine = of[at : at + 256], ids[at : at + 256]
+        own = (part**2).sum(1)
+        d = own[:, None] + size - 2 * part @ to.T
+        last = min(k, d.shape[1] - 1)  # one more, as a row itself is among the others
+        row, col = np.nonzero(d <= (np.partition(d, last, axis=1)[:, last] + 1e-10 * (own + size.max()))[:, None])
+        ok = others[col] != mine[row]
+        row, col = row[ok], col[ok]
+        exact = np.sqrt(((part[row] - to[col]) ** 2).sum(1))
+        order = np.lexsort((others[col], exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        ok = place < k
+        yield mine[row[ok]], others[col[ok]], exact[ok]
 
 
 def knn(vectors: DataFrame, key: str, vector: str, k: int) -> DataFrame:
@@ -101,3 +105,28 @@ def laplacian_scores(vectors: DataFrame, key: str, vector: str, edges: DataFrame
     both = w.join(arrays.select(F.col("id").alias("src"), F.col("hs").alias("a")), "src").join(arrays.select(F.col("id").alias("dst"), F.col("hs").alias("b")), "dst")
     cross = both.select("w", F.posexplode(F.zip_with("a", "b", lambda x, y: x * y)).alias("feature", "ab")).groupBy("feature").agg(F.sum(F.col("w") * F.col("ab")).alias("ww"))
     return first.join(cross, "feature").select("feature", F.abs(F.col("dd") - F.col("ww")).alias("score"))
+
+
+def undirected(edges: DataFrame, weight: str = "distance") -> DataFrame:
+    """``(a, b, weight)``, one edge for both ways; where they differ, that of the greater source."""
+    both = edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    return both.agg(F.max_by(weight, "src").alias(weight))
+
+
+def vertices(edges: DataFrame) -> DataFrame:
+    """``(id)`` of all ends."""
+    return edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+
+
+def update(edges: DataFrame, changes: DataFrame, weight: str = "distance", smallest: bool = True) -> DataFrame:
+    """Edges with new weights, taken only if smaller (or always); changes to edges that are not there are left out."""
+    got = edges.join(changes.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.col(weight).alias("_w")), (F.col("src") == F.col("_s")) & (F.col("dst") == F.col("_d")), "left")
+    return got.select("src", "dst", (F.least(weight, "_w") if smallest else F.coalesce("_w", weight)).alias(weight))
+
+
+def adjacency_matrix(edges: DataFrame, weight: str | None = None, most: int = 1000) -> DataFrame:
+    """A row for each source, a column for each vertex: 0 and 1, or weights; refused over ``most`` vertices."""
+    names = [r[0] for r in vertices(edges).orderBy("id").limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"over {most} vertices")
+    return edges.groupBy("src").pivot("dst", names).agg(F.max(weight) if weight else F.lit(1)).na.fill(0)

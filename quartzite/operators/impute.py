@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quartzite.functions.columns import rescale
-from quartzite.operators.prepare import fill
+from quartzite.operators.prepare import exp_out, fill, finite_only, log_in
+from quartzite.operators.relational import numbered
+from quartzite.storage import cut
 
 
 def _normal_equations(df: DataFrame, target: str, features: Sequence[str]) -> tuple[np.ndarray, np.ndarray, float, int]:
@@ -56,14 +59,18 @@ def least_squares(df: DataFrame, target: str, features: Sequence[str]) -> np.nda
 METHODS = {"norm": ridge, "norm.nob": least_squares}
 
 
-def mice(df: DataFrame, columns: Sequence[str], method: str = "norm", sweeps: int = 10, start: str = "mean", within_range: bool = True, cut_every: int = 3) -> DataFrame:
+def mice(df: DataFrame, columns: Sequence[str], method: str = "norm", sweeps: int = 10, start: str = "mean", within_range: bool = True, logs: bool = False) -> DataFrame:
     """Chained equations: missing cells start at a fill and are predicted from the other columns, column by column.
 
     Predictions are rescaled into the observed range where ``within_range`` and their width allow.  A model is one
-    aggregate; the plan is cut by ``checkpoint`` every few sweeps, so lineage stays short and executors may be lost."""
+    aggregate; each sweep is written as a table, so lineage stays short and executors may be lost.  With ``logs`` the columns
+    are modelled as logarithms, which keeps the results above zero.  A column without any value stays without."""
     if method not in METHODS:
         raise ValueError(f"{method!r} is none of {sorted(METHODS)}")
-    gaps = [c for c in columns if df.where(F.col(c).isNull()).limit(1).count()]
+    df = log_in(df, columns) if logs else df
+    counts = df.agg(F.count(F.lit(1)).alias("_n"), *(F.count(c).alias(c) for c in columns)).first()
+    columns = [c for c in columns if counts[c]]
+    gaps = [c for c in columns if counts[c] < counts["_n"]]
     now = fill(df.withColumns({f"_gap_{c}": F.col(c).isNull() for c in gaps}), columns, start)
     now = now.withColumns({c: F.col(c).cast("double") for c in columns})
     ranges = df.agg(*(f(c) for c in gaps for f in (F.min, F.max))).first() if gaps else ()
@@ -77,42 +84,82 @@ def mice(df: DataFrame, columns: Sequence[str], method: str = "norm", sweeps: in
                 if low is not None and high > low:
                     guess = rescale(guess, F.lit(low), F.lit(high), float(ranges[2 * k]), float(ranges[2 * k + 1]))
             now = now.withColumn(target, F.when(F.col(f"_gap_{target}"), guess).otherwise(F.col(target)))
-        if sweep % cut_every == cut_every - 1:
-            if not now.sparkSession.conf.get("spark.checkpoint.dir", None):
-                import tempfile
+        now = cut(now, "sweep")
+    done = now.select(*df.columns)
+    return exp_out(done, columns) if logs else done
 
-                now.sparkSession.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quartzite-"))
-            now = now.checkpoint()
-    return now.select(*df.columns)
+
+def impute(df: DataFrame, key: str, columns: Sequence[str], method: str = "mean", by: str | None = None, k: int = 3) -> DataFrame:
+    """Infinite cells count as missing; ``mean`` fills by the column's mean, ``pmm`` by the nearest rows in ``by``."""
+    own = finite_only(df, columns)
+    if method == "mean":
+        return fill(own, columns, "mean")
+    if method != "pmm" or by is None:
+        raise ValueError(f"no such way to fill: {method!r}, by {by!r}")
+    for c in columns:
+        found = nearest_mean(own, key, c, by, k).select(F.col(key).alias("_key"), "value")
+        own = own.join(found, F.col(key) == F.col("_key"), "left").withColumn(c, F.coalesce(F.col(c).cast("double"), "value")).drop("_key", "value")
+    return own
+
+
+#: Known rows of a range.
+RANGE = 50_000
 
 
 def nearest_mean(df: DataFrame, key: str, target: str, by: str, k: int = 3) -> DataFrame:
-    """``(key, value)`` for rows without ``target``: the mean of the k rows nearest in ``by``, weighted by inverse distance.
+    """``(key, value)`` for rows without ``target``: the mean of the k known rows nearest in ``by``, weighted by inverse
+    distance (1e-12 at least); of equally near rows those of the smaller key.
 
-    In one dimension the k nearest are among the k before and the k after in order, so two windows over ranges of
-    ``by`` do; ties go to the smaller key.  An exact match takes the mean of exact matches."""
+    Known rows are dealt in order of ``by`` into ranges of RANGE rows, each with the k rows before and after it; of equal
+    values only the k smallest keys can matter.  Values asked for meet their range's rows, salted where they are many."""
+    spark = df.sparkSession
     own = df.select(F.col(key).alias("k"), F.col(target).cast("double").alias("y"), F.col(by).cast("double").alias("x")).where("x is not null")
-    known = own.where("y is not null")
-    # Ranges hold all neighbours: each range of x takes k rows from either side along.
-    points = known.groupBy("x").agg(F.sum("y").alias("s"), F.count("y").alias("n"))
-    total = points.count()
-    parts = max(1, total // 100_000)
-    placed = points.repartitionByRange(parts, "x").withColumn("p", F.spark_partition_id())
-    edge = lambda order, n: placed.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy(order))).where(F.col("r") <= k).select("x", "s", "n", (F.col("p") + n).alias("p"))
-    near = placed.select("x", "s", "n", "p").unionByName(edge(F.desc("x"), 1)).unionByName(edge(F.asc("x"), -1))
-    spans = placed.groupBy("p").agg(F.min("x").alias("low")).orderBy("low").collect()  # one row a range
+    first = F.row_number().over(Window.partitionBy("x").orderBy("k"))
+    known = cut(numbered(own.where("y is not null").withColumn("r", first).where(F.col("r") <= k).drop("r"), ["x", "k"], "place").withColumn("p", F.floor(F.col("place") / RANGE)))
     open_ = own.where("y is null").select("k", "x")
-    part = F.lit(spans[0]["p"] if spans else 0)
-    for row in spans[1:]:
-        part = F.when(F.col("x") >= row["low"], F.lit(row["p"])).otherwise(part)
-    asked = open_.withColumn("p", part)
-    lists = near.groupBy("p").agg(F.array_sort(F.collect_list(F.struct("x", "s", "n"))).alias("pts"))
-    chosen = F.slice(F.array_sort(F.transform("pts", lambda q: F.struct(F.abs(q["x"] - F.col("x")).alias("d"), q["x"].alias("x"), q["s"].alias("s"), q["n"].alias("n")))), 1, k)
-    w = lambda q: q["n"] / F.greatest(q["d"], F.lit(1e-12))
-    joined = asked.join(lists, "p").withColumn("near", chosen)
-    num = F.aggregate("near", F.lit(0.0), lambda t, q: t + w(q) * q["s"] / q["n"])
-    den = F.aggregate("near", F.lit(0.0), lambda t, q: t + w(q))
-    return joined.select(F.col("k").alias(key), (num / den).alias("value"))
+    asked = cut(open_.select("x").distinct())
+    lows = sorted((r[0], r[1]) for r in known.groupBy("p").agg(F.min("x")).collect())  # a row a range
+    starts = np.array([x for _, x in lows], float)
+    salts = max(1, asked.count() // max(RANGE * len(lows), 1))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(0)
+            part = np.maximum(np.searchsorted(starts, x.to_numpy(), "right") - 1, 0)
+            yield pa.RecordBatch.from_arrays([x, pa.array(part, pa.int64())], names=["x", "p"])
+
+    near = known.select("k", "x", "y", "place", "p")
+    at = F.col("place") % RANGE
+    near = near.unionByName(near.where(at < k).withColumn("p", F.col("p") - 1)).unionByName(near.where(at >= RANGE - k).withColumn("p", F.col("p") + 1))
+    near = near.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    of = asked.mapInArrow(dealt, "x double, p long").withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(salts)).cast("int"))
+
+    def answer(points: pa.Table, xs: pa.Table) -> pa.Table:
+        place = points.column("place").to_numpy()
+        order = np.argsort(place)
+        px, py, keys = (points.column(c).to_numpy()[order] for c in ("x", "y", "k"))
+        ask = xs.column("x").to_numpy()
+        if not len(px) or not len(ask):
+            return pa.table({"x2": pa.array([], pa.float64()), "value": pa.array([], pa.float64())})
+        n = min(k, len(px))
+        # Of equal values the smaller keys come first: so k runs of equal values before, and k rows from each run's start on.
+        runs, below, spots = np.searchsorted(px, px), np.searchsorted(px, ask)[:, None], []
+        spots.append(below + np.arange(k))
+        for _ in range(k):
+            run = np.where(below > 0, runs[np.maximum(below - 1, 0)], -k)
+            spots.append(np.where(run + np.arange(k) < below, run + np.arange(k), -1))
+            below = np.maximum(run, 0)
+        spots = np.concatenate(spots, axis=1)
+        spots = np.sort(np.where((spots >= 0) & (spots < len(px)), spots, -1), axis=1)
+        fresh = np.concatenate([np.ones((len(spots), 1), bool), spots[:, 1:] != spots[:, :-1]], axis=1) & (spots >= 0)
+        d = np.where(fresh, np.abs(px[spots] - ask[:, None]), np.inf)
+        by_ = np.lexsort((keys[spots], d), axis=1)[:, :n]
+        d, spots = np.take_along_axis(d, by_, 1), np.take_along_axis(spots, by_, 1)
+        w = np.where(np.isfinite(d), 1 / np.maximum(d, 1e-12), 0.0)
+        return pa.table({"x2": pa.array(ask), "value": pa.array((w * py[spots]).sum(1) / w.sum(1))})
+
+    got = near.groupBy("p", "salt").cogroup(of.groupBy("p", "salt")).applyInArrow(answer, "x2 double, value double")
+    return open_.join(got, F.col("x") == F.col("x2")).select(F.col("k").alias(key), "value")
 
 
 def ks(df: DataFrame, sample: str, value: str, ranges: int = 32) -> DataFrame:

@@ -230,28 +230,12 @@ def relabel_by_duration(df: DataFrame, label: str, duration: str, keep: int | No
     return (out.where(F.col("_rank") < keep) if keep is not None else out).select(*df.columns)
 
 
-def bootstrap(df: DataFrame, size: int, weight: str | None = None, bags: int = 1, seed: int = 0) -> DataFrame:
-    """``bags`` samples of ``size`` rows without replacement, heavier rows likelier (the least -ln(u) / w)."""
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    one = lambda b: df.withColumn("bag", F.lit(b)).withColumn("_k", -F.ln(1.0 - F.rand(seed + b)) / F.when(w > 0, w)).where("_k is not null").orderBy("_k").limit(size).drop("_k")
-    return reduce(DataFrame.unionByName, (one(b) for b in range(bags)))
-
-
 def balanced_counts(df: DataFrame, label: str, to_largest: bool = True) -> DataFrame:
     """``(label, n_rows, target)``: how many rows each class has after resampling to the largest or smallest."""
     own = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_rows"))
     return with_stats(own, {"target": (F.max if to_largest else F.min)("n_rows")})
 
 
-def balance(df: DataFrame, label: str, to_largest: bool = True, seed: int = 4) -> DataFrame:
-    """Rows resampled with replacement to a common class size, in expectation: each row as often as a Poisson draw."""
-    rate = balanced_counts(df, label, to_largest).select(F.col(label).alias("_l"), (F.col("target") / F.col("n_rows")).alias("_r"))
-    u = F.rand(seed)
-    own = df.join(F.broadcast(rate), F.col(label).eqNullSafe(F.col("_l")))
-    times = (F.floor("_r") + (u < F.col("_r") - F.floor("_r")).cast("int")).cast("int")
-    return own.withColumn("_t", times).where("_t > 0").withColumn("_x", F.explode(F.sequence(F.lit(1), F.col("_t")))).select(*df.columns)
-
-
 def per_group(df: DataFrame, label: str, k: int, key: str, seed: int = 10) -> DataFrame:
     """``k`` rows a group, by a hash of the key."""
     turn = Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
@@ -259,11 +243,18 @@ def per_group(df: DataFrame, label: str, k: int, key: str, seed: int = 10) -> Da
 
 
 def mahalanobis(df: DataFrame, columns: Sequence[str], out: str = "distance") -> DataFrame:
-    """Squared Mahalanobis distance from the mean, under the sample covariance."""
+    """Squared Mahalanobis distance from the mean, under the sample covariance; columns that depend on each other count
+    once, by the pseudo-inverse."""
     import numpy as np
 
     n = len(columns)
     row = df.agg(*(F.avg(c) for c in columns), *(F.covar_samp(a, b) for a in columns for b in columns)).first()
-    mean, inverse = row[:n], np.linalg.inv(np.array(row[n:], float).reshape(n, n))
+    if any(v is None for v in row):
+        return df.withColumn(out, F.lit(None).cast("double"))
+    mean, inverse = row[:n], np.linalg.pinv(np.array(row[n:], float).reshape(n, n), hermitian=True)
     diff = [F.col(c) - F.lit(float(m)) for c, m in zip(columns, mean, strict=True)]
     return df.withColumn(out, reduce(lambda a, b: a + b, (diff[i] * diff[j] * float(inverse[i, j]) for i in range(n) for j in range(n))))
+
+
+def mean_mahalanobis(df: DataFrame, columns: Sequence[str]) -> float | None:
+    return mahalanobis(df, columns, "_d").agg(F.avg("_d")).first()[0]

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quartzite.operators.draws import with_replacement
+
 MAX_NEURONS = 4096
 
 
@@ -53,6 +55,7 @@ def bounds(df: DataFrame, features: Sequence[str]) -> tuple[np.ndarray, np.ndarr
 
 def regular_grid(lattice: Lattice, low: np.ndarray, high: np.ndarray, mean: np.ndarray, grid: Sequence[int] = (0, 1), margin: float = 0.2) -> np.ndarray:
     """Codebook spread evenly over two features, widened by a share of their range; other features at their mean."""
+    low, high = np.asarray(low, float), np.asarray(high, float)
     out = np.tile(np.asarray(mean, float), (lattice.size, 1))
     pad = margin * (high - low)
     for axis, (feature, n) in enumerate(zip(grid, (lattice.rows, lattice.columns), strict=True)):
@@ -60,27 +63,49 @@ def regular_grid(lattice: Lattice, low: np.ndarray, high: np.ndarray, mean: np.n
     return out
 
 
-def random_samples(df: DataFrame, features: Sequence[str], n: int, seed: int = 0) -> np.ndarray:
-    """n rows by the order of a seeded hash."""
-    rows = df.select(*(F.col(c).cast("double") for c in features)).orderBy(F.xxhash64(*features, F.lit(seed)), *features).limit(n).collect()  # n neurons
-    return np.array(rows, float)
+def drawn_rows(df: DataFrame, features: Sequence[str], n: int, seed: int = 0) -> np.ndarray:
+    """n rows, each drawn from the whole table with replacement; the driver holds those alone."""
+    rows = with_replacement(df.select(*(F.col(c).cast("double") for c in features)).dropna(), n, seed=seed).select(*features).collect()
+    out = np.array(rows, float).reshape(-1, len(features))
+    return out[np.random.default_rng(seed).permutation(len(out))]  # partitions hand them out in their own order
+
+
+def initial(df: DataFrame, features: Sequence[str], lattice: Lattice, method: str = "rs", seed: int = 0, margin: float = -0.1) -> np.ndarray:
+    """A codebook: ``rs`` drawn rows, ``rc`` uniform within the bounds, ``rpam`` Gaussian around the mean, ``rpaz`` around
+    zero, ``rrg`` a regular grid over the first two features."""
+    rng, shape = np.random.default_rng(seed), (lattice.size, len(features))
+    if method == "rs":
+        return drawn_rows(df, features, lattice.size, seed)
+    if method == "rpaz":
+        return rng.normal(size=shape)
+    low, high, mean = bounds(df, features)
+    if method == "rc":
+        return rng.uniform(low, high, shape)
+    if method == "rpam":
+        return mean + rng.normal(size=shape)
+    if method == "rrg":
+        return regular_grid(lattice, low, high, mean, margin=margin)
+    raise ValueError(f"{method!r} is no way to begin")
 
 
 def best_units(df: DataFrame, features: Sequence[str], codebook: np.ndarray, out: str = "bmu", distance: str | None = None) -> DataFrame:
     """``df`` with the nearest neuron of every row, the lowest of equals; NULL where a feature is missing."""
-    at = len(df.columns)
+    at, rows = len(df.columns), max(1, (1 << 20) // codebook.size)  # of a block of eight megabytes
     names = [*df.columns, out, *([distance] if distance else [])]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{out}` int" + (f", `{distance}` double" if distance else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column(at).to_pylist(), float).reshape(batch.num_rows, -1)
-            d = ((x[:, None, :] - codebook[None]) ** 2).sum(2)
-            bad = ~np.isfinite(d).all(1)
-            unit = np.where(bad, 0, np.where(np.isnan(d), np.inf, d).argmin(1)).astype(np.int32)
+            x = np.array(batch.column(at).to_pylist(), float).reshape(batch.num_rows, codebook.shape[1])
+            bad, unit, least = ~np.isfinite(x).all(1), np.zeros(len(x), np.int32), np.zeros(len(x))
+            x = np.nan_to_num(x)
+            for low in range(0, len(x), rows):
+                d = ((x[low : low + rows, None, :] - codebook[None]) ** 2).sum(2)
+                unit[low : low + rows] = d.argmin(1)
+                least[low : low + rows] = d.min(1)
             cols = [pa.array(unit, mask=bad)]
             if distance:
-                cols.append(pa.array(np.sqrt(d[np.arange(len(d)), unit]), mask=bad))
+                cols.append(pa.array(np.sqrt(least), mask=bad))
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], *cols], names=names)
 
     return df.withColumn("_v", F.array(*(F.col(c).cast("double") for c in features))).mapInArrow(run, schema)
@@ -108,24 +133,43 @@ def _decay(start: float, epoch: int, epochs: int) -> float:
     return start * float(np.exp(-epoch / epochs))
 
 
-def train_online(df: DataFrame, features: Sequence[str], lattice: Lattice, codebook: np.ndarray, epochs: int, rate: float = 0.5, radius: float | None = None, seed: int = 0, fixed_edge: bool = False) -> np.ndarray:
-    """One drawn row an epoch, rate and radius falling exponentially.  The driver holds the drawn rows alone."""
-    drawn = random_samples(df, features, epochs, seed)
-    if not len(drawn):
-        return codebook
-    rng = np.random.default_rng(seed)
-    out, places = codebook.astype(float).copy(), lattice.places()
-    radius = radius or max(lattice.rows, lattice.columns) / 2
-    free = np.ones(lattice.size, bool)
-    if fixed_edge:
-        free = ((places > 0) & (places < [lattice.rows - 1, lattice.columns - 1])).all(1)
-    for epoch in range(epochs):
-        x = drawn[rng.integers(len(drawn))]
-        unit = ((out - x) ** 2).sum(1).argmin()
-        r = _decay(radius, epoch, epochs)
-        pull = np.exp(-((places - places[unit]) ** 2).sum(1) / (2 * r * r)) * _decay(rate, epoch, epochs) * free
+def bubble(places: np.ndarray, winner: int, radius: float, rate: float) -> np.ndarray:
+    """The rate for neurons within 1.5 radii of the winner on the lattice, 0 for others."""
+    return np.where(np.sqrt(((places - places[winner]) ** 2).sum(1)) < 1.5 * radius, rate, 0.0)
+
+
+def gravity(x: np.ndarray, codebook: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """Mass over squared distance of every neuron; infinite at no distance."""
+    d = ((codebook - x) ** 2).sum(1)
+    return np.where(d > 0, mass / np.where(d > 0, d, 1.0), np.inf)
+
+
+def train_online(
+    df: DataFrame, features: Sequence[str], lattice: Lattice, codebook: np.ndarray, epochs: int, rate: float = 0.5, radius: float | None = None, seed: int = 0, fixed_edge: bool = False, active: Sequence[str] | None = None, by_mass: bool = False
+) -> tuple[np.ndarray, list[float]]:
+    """One row an epoch, drawn from the whole table, rate and radius falling exponentially; also each row's squared distance
+    to its winner.  The driver holds the drawn rows alone.
+
+    Winners are found by the ``active`` features (all unless given); all features move.  ``by_mass``: the winner is the
+    neuron that pulls most, and gains mass by winning.  ``fixed_edge``: neurons of the boundary stay."""
+    out, places, trail = codebook.astype(float).copy(), lattice.places(), []
+    seen = [list(features).index(c) for c in active or features]
+    mass, radius = np.ones(lattice.size), radius or max(lattice.rows, lattice.columns) / 2
+    free = ((places > 0) & (places < [lattice.rows - 1, lattice.columns - 1])).all(1) if fixed_edge else np.ones(lattice.size, bool)
+    for epoch, x in enumerate(drawn_rows(df, features, epochs, seed)):
+        d = ((out[:, seen] - x[seen]) ** 2).sum(1)
+        winner = int(gravity(x[seen], out[:, seen], mass).argmax()) if by_mass else int(d.argmin())
+        mass[winner] += 1
+        trail.append(float(d[winner]))
+        pull = bubble(places, winner, _decay(radius, epoch, epochs), _decay(rate, epoch, epochs)) * free
         out += pull[:, None] * (x - out)
-    return out
+    return out, trail
+
+
+def nearest_units(codebook: np.ndarray, x: np.ndarray, n: int | None = None, mass: np.ndarray | None = None) -> np.ndarray:
+    """Neurons in order of distance (or of pull, strongest first) from one point, the first ``n`` of them."""
+    by = ((codebook - x) ** 2).sum(1) if mass is None else -gravity(x, codebook, mass)
+    return np.argsort(by, kind="stable")[:n]
 
 
 def train_batch(df: DataFrame, features: Sequence[str], lattice: Lattice, codebook: np.ndarray, epochs: int = 10, radius: float | None = None) -> tuple[np.ndarray, list[float]]:

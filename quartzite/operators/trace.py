@@ -44,3 +44,34 @@ def overlap(bursts: DataFrame, key: str, begin: str, end: str, ranges: int = 64)
 def communications(sends: DataFrame, receives: DataFrame, on: str, sent: str, received: str) -> DataFrame:
     """``(src, dst, weight)`` from send to receive, weighted by the time between."""
     return sends.join(receives, on).select(F.col("src"), F.col("dst"), (F.col(received) - F.col(sent)).alias("weight"))
+
+
+def status_edges(states: DataFrame, thread: str = "object_id", begin: str = "begin_time", end: str = "end_time", status: str = "state") -> DataFrame:
+    """``(src, dst, weight, status)`` of every state, weighted by its length; and an edge from ``start`` to each thread's first
+    instant (status 98), one from its last to ``finish`` (99)."""
+    at = lambda c: F.concat_ws(":", F.col(thread), F.col(c).cast("string"))
+    own = states.select(at(begin).alias("src"), at(end).alias("dst"), (F.col(end) - F.col(begin)).alias("weight"), F.col(status).cast("int").alias("status"))
+    ends = states.groupBy(thread).agg(F.min(begin).alias("b"), F.max(end).alias("e"))
+    first = ends.select(F.lit("start:0").alias("src"), at("b").alias("dst"), F.col("b").alias("weight"), F.lit(98).alias("status"))
+    last = ends.select(at("e").alias("src"), F.lit("finish").alias("dst"), (F.col("e") * 0).alias("weight"), F.lit(99).alias("status"))
+    return own.unionByName(first).unionByName(last)
+
+
+def label_edges(events: DataFrame, thread: str, time: str, label: str, order: list[str]) -> DataFrame:
+    """``(src, dst, weight, label)`` from each event to its thread's next, with the first one's label; also from ``start:0``
+    to the first, and to ``finish`` from the last."""
+    turn = Window.partitionBy(thread).orderBy(*order)
+    name = lambda c: F.concat_ws(":", F.col(thread), c.cast("string"))
+    own = events.select(thread, F.col(time).alias("_t"), F.col(label).alias("label"), F.lead(time).over(turn).alias("_n"), F.row_number().over(turn).alias("_r"))
+    steps = own.select(name(F.col("_t")).alias("src"), F.coalesce(F.when(F.col("_n").isNotNull(), name(F.col("_n"))), F.lit("finish")).alias("dst"), F.coalesce(F.col("_n") - F.col("_t"), F.lit(0)).alias("weight"), "label")
+    first = own.where("_r = 1").select(F.lit("start:0").alias("src"), name(F.col("_t")).alias("dst"), F.col("_t").alias("weight"), F.lit(None).cast(own.schema["label"].dataType).alias("label"))
+    return steps.unionByName(first)
+
+
+def joined_edges(**kinds: DataFrame) -> DataFrame:
+    """``(kind, src, dst, weight)`` of several tables of edges."""
+    tables = [df.select(F.lit(k).alias("kind"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("weight").cast("double").alias("weight")) for k, df in kinds.items()]
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out

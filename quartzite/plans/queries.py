@@ -9,16 +9,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quartzite.functions.columns import micros
-from quartzite.operators import bilinear, cluster, factors, graph, impute, prepare, som, trace
+from quartzite.operators import bilinear, cluster, draws, factors, graph, impute, prepare, som, trace
 from quartzite.plans.registry import LINE, PART, query, rounded, table
 from quartzite.sources import prv
+from quartzite.storage import cut
 
 
 @query("oca_inertia")
 def oca_inertia(spark, sf_dir):
     """Prepare, fit a map, explain its shape: the flagship flow."""
     own = prepare.fill(prepare.zeros_missing(table(spark, sf_dir, "lineitem").select(*LINE), ["l_tax", "l_discount"]), LINE, "mean")
-    own = prepare.standardise(own, LINE)
+    own = cut(prepare.standardise(own, LINE))  # read once an epoch
     lattice = som.Lattice(6, 6)
     codebook, _ = som.train_batch(own, LINE, lattice, som.regular_grid(lattice, *som.bounds(own, LINE)), epochs=5)
     return som.inertia(spark, codebook, LINE)
@@ -297,8 +298,7 @@ def som_umatrix(spark, sf_dir):
 def som_train(spark, sf_dir):
     own = prepare.standardise(table(spark, sf_dir, "part").select(*PART), PART)
     lattice = som.Lattice(8, 8)
-    start = som.regular_grid(lattice, *som.bounds(own, PART), margin=-0.1)
-    return som.codebook_table(spark, som.train_online(own, PART, lattice, start, epochs=300))
+    return som.codebook_table(spark, som.train_online(own, PART, lattice, som.initial(own, PART, lattice, "rrg"), epochs=300)[0])
 
 
 @query("som_train_batch")
@@ -337,10 +337,8 @@ def ks_statistic(spark, sf_dir):
 
 @query(
     "pmm_impute",
-    """with known as (select p_retailprice as x, sum(p_size)::double as s, count(*) as n from part where p_partkey % 11 <> 0 group by 1),
-    asked as (select p_partkey, p_retailprice as x from part where p_partkey % 11 = 0),
-    near as (select p_partkey, known.x as kx, s, n, abs(known.x - asked.x) as d, row_number() over (partition by p_partkey order by abs(known.x - asked.x), known.x) as r from asked, known)
-    select p_partkey, round(sum(n / greatest(d, 1e-12) * s / n) / sum(n / greatest(d, 1e-12)), 6) as value from near where r <= 3 group by 1""",
+    """with near as (select a.p_partkey, b.p_size as y, abs(b.p_retailprice - a.p_retailprice) as d, row_number() over (partition by a.p_partkey order by abs(b.p_retailprice - a.p_retailprice), b.p_partkey) as r from part a, part b where a.p_partkey % 11 = 0 and b.p_partkey % 11 <> 0)
+    select p_partkey, round(sum(y / greatest(d, 1e-12)) / sum(1 / greatest(d, 1e-12)), 6) as value from near where r <= 3 group by 1""",
 )
 def pmm_impute(spark, sf_dir):
     own = table(spark, sf_dir, "part").withColumn("p_size", F.when(F.col("p_partkey") % 11 != 0, F.col("p_size")))
@@ -386,7 +384,7 @@ def factor_rotation(spark, sf_dir):
 
 @query("weighted_bootstrap")
 def weighted_bootstrap(spark, sf_dir):
-    return prepare.bootstrap(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 100, "o_totalprice", bags=2)
+    return draws.with_replacement(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 100, "o_totalprice", bags=2)
 
 
 @query("missing_cells", "select l_orderkey, unnest(list_filter([case when l_discount = 0 then 'l_discount' end, case when l_tax = 0 then 'l_tax' end], lambda x: x is not null)) as feature from lineitem")

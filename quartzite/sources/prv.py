@@ -55,18 +55,21 @@ def _pairs() -> Column:
 
 
 def events(lines: DataFrame, counters: dict[str, str], stacks: dict[str, str] | None = None, cycles: str | None = None, instructions: str | None = None) -> DataFrame:
-    """Events with their durations and a column for each configured type; labels attach to the same thread and time.
+    """Events with their durations and a column for each configured type; a label attaches to the thread's next counters.
 
     Rows whose cycles and instructions are both zero (or missing) go, after durations are known."""
     own = clean(lines).where(F.col("f")[0] == "2").select("line_no", _object(1).alias("object_id"), _long(5).alias("ts"), _pairs().alias("p"))
-    labels = own.where(F.array_contains(F.map_keys("p"), LABEL)).groupBy("object_id", "ts").agg(F.max(F.element_at("p", LABEL)).alias("label"))
-    rest = own.where(~F.array_contains(F.map_keys("p"), LABEL) | (F.size("p") > 1))
+    own = own.withColumn("l", F.try_element_at("p", F.lit(LABEL))).withColumn("c", F.col("l").isNull() | (F.size("p") > 1))
     turn = Window.partitionBy("object_id").orderBy("ts", "line_no")
-    timed = rest.withColumn("duration", F.col("ts") - F.coalesce(F.lag("ts").over(turn), F.lit(0)))
-    wide = timed.select("line_no", "object_id", "ts", "duration", *(F.coalesce(F.try_element_at("p", F.lit(code)), F.lit(0)).alias(name) for code, name in (counters | (stacks or {})).items()))
+    # A line of labels alone stands for the thread's next line of counters; the last such line before it counts.
+    upto = turn.rowsBetween(Window.unboundedPreceding, -1)
+    told = own.withColumn("at", F.max(F.when(F.col("c"), F.struct("ts", "line_no"))).over(upto)).withColumn("told", F.max(F.when(F.col("l").isNotNull() & ~F.col("c"), F.struct("ts", "line_no", "l"))).over(upto))
+    fresh = F.col("told").isNotNull() & (F.col("at").isNull() | (F.struct("told.ts", "told.line_no") > F.struct("at.ts", "at.line_no")))
+    timed = told.where("c").withColumn("label", F.coalesce("l", F.when(fresh, F.col("told.l")))).withColumn("duration", F.col("ts") - F.coalesce(F.lag("ts").over(turn), F.lit(0)))
+    wide = timed.select("line_no", "object_id", "ts", "duration", *(F.coalesce(F.try_element_at("p", F.lit(code)), F.lit(0)).alias(name) for code, name in (counters | (stacks or {})).items()), "label")
     if cycles and instructions:
         wide = wide.where(~((F.col(cycles) == 0) & (F.col(instructions) == 0))).withColumn("ipc", F.col(instructions) / F.nullif(F.col(cycles), F.lit(0)))
-    return wide.join(labels, ["object_id", "ts"], "left")
+    return wide
 
 
 def render_events(df: DataFrame, ids: Sequence[str], time: str, pairs: dict[str, str]) -> DataFrame:
