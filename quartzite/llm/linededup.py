@@ -33,6 +33,8 @@ from quartzite.llm.common import cut, free, id_order, read_table
 
 WINDOW = 3
 LONG = 50
+#: Keys that over one in so many rows have are joined by broadcast; they are fewer than this.
+COMMON = 1000
 
 
 def line_hashes(text: str | None) -> tuple[np.ndarray, list[int]]:
@@ -118,21 +120,31 @@ def _extend(joined: DataFrame, window: int) -> DataFrame:
     return joined.select(*cols).mapInArrow(run, "k long, th long, s int, key binary")
 
 
+def _met(rows: DataFrame, key: str, first: DataFrame, key2: str) -> DataFrame:
+    """``rows`` with their key's row of ``first``, in which ``n`` tells how many of ``rows`` have the key; others go.
+
+    Keys that over one in COMMON of the rows have are fewer than COMMON, so their rows of ``first`` travel to the tasks;
+    all others are shuffled, and none of those fills a task."""
+    held, same = cut(first, "first"), F.col(key) == F.col(key2)
+    limit = rows.count() // COMMON  # of a written table: from its footers
+    common = F.broadcast(held.where(F.col("n") > limit))
+    return rows.join(common, same).unionByName(rows.join(common.select(key2), same, "left_anti").join(held.where(F.col("n") <= limit), same))
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``(k, th, s)``: starts of the windows of lines that occur earlier, of ``docs (k, th, text)``."""
     spots = cut(_fingerprints(docs, window).distinct(), "fingerprints")
     place = F.struct("k", "th", "p")
-    first = spots.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at"), F.min_by("around", place).alias("first_around")).where("n > 1").select(F.col("h").alias("h2"), "at", "first_around")
-    joined = spots.join(first, F.col("h") == F.col("h2")).withColumn("alone", F.struct("k", "th", "p") == F.col("at"))
+    first = spots.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at"), F.min_by("around", place).alias("first_around")).where("n > 1").select(F.col("h").alias("h2"), "n", "at", "first_around")
+    joined = _met(spots, "h", first, "h2").withColumn("alone", F.struct("k", "th", "p") == F.col("at"))
     seen = cut(_extend(joined, window), "windows")
-    open_ = seen.where("key is not null and k is not null")
-    low = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "th", "s")).alias("at")).where("n > 1").select(F.col("key").alias("key2"), "at")
-    later = open_.join(low, F.col("key") == F.col("key2")).where(F.struct("k", "th", "s") > F.col("at"))
+    low = seen.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "th", "s")).alias("at")).where("n > 1").select(F.col("key").alias("key2"), "n", "at")
+    later = _met(seen, "key", low, "key2").where(F.struct("k", "th", "s") > F.col("at"))
     return seen.where("key is null").select("k", "th", "s").unionByName(later.select("k", "th", "s"))
 
 
 def repeated_long(docs: DataFrame, window: int = WINDOW, long: int = LONG) -> DataFrame:
-    """``(k, th, s, n)``: starts and lengths of the runs of under ``window`` lines that hold ``long`` words and occur earlier."""
+    """``(k, th, s, size)``: starts and lengths of the runs of under ``window`` lines that hold ``long`` words and occur earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
@@ -147,12 +159,12 @@ def repeated_long(docs: DataFrame, window: int = WINDOW, long: int = LONG) -> Da
                         starts.append(s)
                         sizes.append(n)
                         keys.append(xxhash.xxh3_128_digest(hashes[s : s + n].astype("<u8").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ths, pa.int64()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary())], names=["k", "th", "s", "n", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ths, pa.int64()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary())], names=["k", "th", "s", "size", "key"])
 
-    seen = cut(docs.select("k", "th", "text").mapInArrow(run, "k long, th long, s int, n int, key binary"), "long")
+    seen = cut(docs.select("k", "th", "text").mapInArrow(run, "k long, th long, s int, size int, key binary"), "long")
     place = F.struct("k", "th", "s")
-    low = seen.groupBy("key").agg(F.min(place).alias("at"), F.max(place).alias("last")).where("at < last").select(F.col("key").alias("key2"), "at")
-    return seen.join(low, F.col("key") == F.col("key2")).where(place > F.col("at")).select("k", "th", "s", "n")
+    low = seen.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at"), F.max(place).alias("last")).where("at < last").select(F.col("key").alias("key2"), "n", "at")
+    return _met(seen, "key", low, "key2").where(place > F.col("at")).select("k", "th", "s", "size")
 
 
 def strip(text: str | None, starts: list[int] | None, window: int = WINDOW) -> tuple[str, int, int, int]:
@@ -183,9 +195,9 @@ def remove_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns = columns or docs.columns
     key, th = id_order(F.col(id_col).cast("long")), F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0))
     own = docs.select(key.alias("k"), th.alias("th"), F.col(text_col).alias("text")).where("text is not null")
-    found = repeated_windows(own, window).withColumn("n", F.lit(window)).unionByName(repeated_long(own, window, long))
+    found = repeated_windows(own, window).withColumn("size", F.lit(window)).unionByName(repeated_long(own, window, long))
     k, t, k2, t2, at_ = free(columns, "_key", "_hash", "_key2", "_hash2", "_starts")
-    starts = found.groupBy(F.col("k").alias(k2), F.col("th").alias(t2)).agg(F.collect_set(F.struct("s", "n")).alias(at_))
+    starts = found.groupBy(F.col("k").alias(k2), F.col("th").alias(t2)).agg(F.collect_set(F.struct("s", "size")).alias(at_))
     base = docs.select(*(F.col(f"`{c}`") for c in columns), key.alias(k), th.alias(t))
     joined = base.join(starts, (F.col(k) == F.col(k2)) & (F.col(t) == F.col(t2)), "left").select(*(F.col(f"`{c}`") for c in columns), F.col(at_))
     at, added = columns.index(text_col), names(columns)
@@ -194,7 +206,7 @@ def remove_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            got = [strip(x.as_py(), [r["s"] + d for r in s.as_py() or [] for d in range(r["n"])], 1) for x, s in zip(batch.column(at), batch.column(batch.num_columns - 1), strict=True)]
+            got = [strip(x.as_py(), [r["s"] + d for r in s.as_py() or [] for d in range(r["size"])], 1) for x, s in zip(batch.column(at), batch.column(batch.num_columns - 1), strict=True)]
             new = [pa.array([g[k] for g in got], t) for k, t in ((0, pa.string()), (1, pa.int64()), (2, pa.int64()), (3, pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*batch.schema.names[:-1], *added])
 
