@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quartzite.functions.columns import rescale
@@ -56,7 +57,73 @@ def least_squares(df: DataFrame, target: str, features: Sequence[str]) -> np.nda
     return np.concatenate(([0.0], np.linalg.lstsq(xx[1:, 1:], xy[1:], rcond=None)[0]))
 
 
-METHODS = {"norm": ridge, "norm.nob": least_squares}
+#: Classes that a column of categories may have.
+CLASSES = 100
+
+
+def _linear(features: Sequence[str], beta: np.ndarray) -> Column:
+    return sum((F.col(c) * float(b) for c, b in zip(features, beta[1:], strict=True)), F.lit(float(beta[0])))
+
+
+def _polynomial(df: DataFrame, target: str, features: Sequence[str]) -> Column:
+    """Least squares on the features and all products of two."""
+    own = [F.col(c).cast("double") for c in features]
+    terms = own + [a * b for a, b in combinations_with_replacement(own, 2)]
+    names = [f"_t{i}" for i in range(len(terms))]
+    beta = ridge(df.select(target, *(t.alias(n) for t, n in zip(terms, names, strict=True))), target, names)
+    return sum((t * float(b) for t, b in zip(terms, beta[1:], strict=True)), F.lit(float(beta[0])))
+
+
+def _likeliest(scores: Sequence[tuple[float, Column]]) -> Column:
+    return F.array_max(F.array(*(F.struct(s.alias("s"), F.lit(float(v)).alias("v")) for v, s in scores)))["v"]
+
+
+def _discriminant(df: DataFrame, target: str, features: Sequence[str], pooled: bool) -> Column:
+    """The likeliest class by Gaussians of one covariance, or of each class's own: one aggregate by class."""
+    n = len(features)
+    x = [F.col(c).cast("double") for c in features]
+    rows = df.groupBy(F.col(target).cast("double").alias("v")).agg(F.count(F.lit(1)), *(F.avg(c) for c in x), *(F.covar_pop(a, b) for a in x for b in x)).limit(CLASSES + 1).collect()
+    if not rows or len(rows) > CLASSES:
+        raise ValueError(f"{target}: not between 1 and {CLASSES} classes")
+    total = sum(r[1] for r in rows)
+    each = [(r[0], r[1] / total, np.array(r[2 : 2 + n], float), np.array(r[2 + n :], float).reshape(n, n)) for r in sorted(rows)]
+    common, scores = sum(p * s for _, p, _, s in each), []
+    for value, p, mean, own in each:
+        spread = (common if pooled else own) + 1e-9 * np.eye(n) * max(float(np.trace(common)) / n, 1e-9)
+        inverse = np.linalg.inv(spread)
+        z = [a - float(m) for a, m in zip(x, mean, strict=True)]
+        far = sum((z[i] * z[j] * float(inverse[i, j]) for i in range(n) for j in range(n)), F.lit(0.0))
+        scores.append((value, F.lit(math.log(p) - float(np.linalg.slogdet(spread)[1]) / 2) - far / 2))
+    return _likeliest(scores)
+
+
+def _logistic(df: DataFrame, target: str, features: Sequence[str]) -> Column:
+    """The likeliest class of a multinomial logistic regression."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    values = sorted(r[0] for r in df.select(F.col(target).cast("double")).distinct().limit(CLASSES + 1).collect())
+    if not values or len(values) > CLASSES:
+        raise ValueError(f"{target}: not between 1 and {CLASSES} classes")
+    if len(values) == 1:
+        return F.lit(values[0])
+    place = (F.array_position(F.array(*map(F.lit, values)), F.col(target).cast("double")) - 1).cast("double")
+    own = VectorAssembler(inputCols=list(features), outputCol="_x").transform(df.withColumn("_y", place))
+    model = LogisticRegression(featuresCol="_x", labelCol="_y", family="multinomial", maxIter=50).fit(own)
+    weights, start = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    return _likeliest([(v, _linear(features, np.concatenate(([start[k]], weights[k])))) for k, v in enumerate(values)])
+
+
+#: Each gives the expression that predicts a target.  Those of classes give values that the column has.
+METHODS = {
+    "norm": lambda df, y, x: _linear(x, ridge(df, y, x)),
+    "norm.nob": lambda df, y, x: _linear(x, least_squares(df, y, x)),
+    "polyreg": _polynomial,
+    "lda": lambda df, y, x: _discriminant(df, y, x, True),
+    "qda": lambda df, y, x: _discriminant(df, y, x, False),
+    "logreg": _logistic,
+}
+OF_CLASSES = ("lda", "qda", "logreg")
 
 
 def mice(df: DataFrame, columns: Sequence[str], method: str = "norm", sweeps: int = 10, start: str = "mean", within_range: bool = True, logs: bool = False) -> DataFrame:
@@ -77,9 +144,8 @@ def mice(df: DataFrame, columns: Sequence[str], method: str = "norm", sweeps: in
     for sweep in range(sweeps if gaps else 0):
         for k, target in enumerate(gaps):
             others = [c for c in columns if c != target]
-            beta = METHODS[method](now.where(~F.col(f"_gap_{target}")), target, others)
-            guess = sum((F.col(c) * float(b) for c, b in zip(others, beta[1:], strict=True)), F.lit(float(beta[0])))
-            if within_range:
+            guess = METHODS[method](now.where(~F.col(f"_gap_{target}")), target, others)
+            if within_range and method not in OF_CLASSES:
                 low, high = now.where(F.col(f"_gap_{target}")).agg(F.min(guess), F.max(guess)).first()
                 if low is not None and high > low:
                     guess = rescale(guess, F.lit(low), F.lit(high), float(ranges[2 * k]), float(ranges[2 * k + 1]))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quartzite.functions.columns import micros
 from quartzite.operators import agreement as agree
-from quartzite.operators import draws, graph, lattice, outliers, prepare, selection, som, trace, validate
+from quartzite.operators import draws, graph, impute, lattice, models, outliers, prepare, selection, som, trace, validate
 from quartzite.operators.pipeline import prepare_data
 from quartzite.plans.registry import LINE, PART, query, rounded, table
 from quartzite.sources import prv, tables
@@ -204,3 +204,24 @@ def representative_features(spark, sf_dir):
     own = table(spark, sf_dir, "lineitem").select(*LINE)
     found = [("principal", f) for f in selection.principal_features(own, LINE, 2)] + [("independent", f) for f in selection.independent_features(own, LINE, 2)]
     return spark.createDataFrame(found, "method string, feature string")
+
+
+@query("reachability_order")
+def reachability_order(spark, sf_dir):
+    own = prepare.standardise(table(spark, sf_dir, "supplier"), ["s_acctbal", "s_nationkey"])
+    return models.reachability(own, "s_suppkey", ["s_acctbal", "s_nationkey"], 5)
+
+
+@query("embedding_isomap")
+def embedding_isomap(spark, sf_dir):
+    own = prepare.standardise(table(spark, sf_dir, "supplier"), ["s_acctbal", "s_nationkey"])
+    return models.embedding(own, "s_suppkey", ["s_acctbal", "s_nationkey"], "isomap")
+
+
+@query("mice_classes", "select p_partkey, (p_size > 25)::int::double as large from part")
+def mice_classes(spark, sf_dir):
+    """A class that its features tell exactly is filled as it was."""
+    own = table(spark, sf_dir, "part").withColumn("far", F.when(F.col("p_size") > 25, 100.0).otherwise(0.0) + F.col("p_size") / 10)
+    large = F.when(F.col("p_partkey") % 7 != 0, (F.col("p_size") > 25).cast("double"))
+    got = impute.mice(own.select("p_partkey", "far", large.alias("large")), ["far", "large"], "lda", sweeps=1)
+    return got.select("p_partkey", "large")

@@ -124,7 +124,7 @@ def test_mice_recovers_a_line(spark):
     got = impute.mice(df, ["a", "b"], sweeps=2, within_range=False).where("id % 9 = 0").collect()
     assert all(r["b"] == pytest.approx(2 * r["a"] + 1, abs=1e-3) for r in got)
     with pytest.raises(ValueError):
-        impute.mice(df, ["a", "b"], method="lda")
+        impute.mice(df, ["a", "b"], method="else")
 
 
 def test_ks(spark):
