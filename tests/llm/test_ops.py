@@ -610,3 +610,20 @@ def test_unigram_model_file_equals_the_library(spark, tmp_path):
         assert row["ids"] == sp.encode(texts[row["doc_id"]]) and row["round_trip"], texts[row["doc_id"]]
     with pytest.raises(ValueError):
         pieces.model_kind(_message((2, _message((3, 3)))))
+
+
+def test_chosen_numbers_fall_into_their_bucket(spark):
+    from itertools import islice
+
+    from pyspark.sql import functions as F
+
+    for n, bucket, first in ((7, 3, 5 << 32), (211, 210, 0), (1, 0, 9)):
+        keys = list(islice(common.in_bucket(bucket, n, first), 20))
+        got = spark.createDataFrame([(k,) for k in keys], "k long").select(F.expr(f"pmod(hash(k), {n})").alias("b")).distinct().collect()
+        assert [r["b"] for r in got] == [bucket] and len(set(keys)) == 20 and min(keys) >= first
+
+
+def test_bucketed_tables_read_back(spark):
+    own = common.cut_buckets(spark.range(50).toDF("k"), "fifty", "k")
+    assert sorted(r["k"] for r in own.collect()) == list(range(50))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("quartzite_")]
