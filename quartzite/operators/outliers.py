@@ -62,7 +62,7 @@ def scores(df: DataFrame, features: Sequence[str], model: tuple[list[tuple[np.nd
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column(at).to_pylist(), float).reshape(batch.num_rows, -1)
+            x = batch.column(at).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1))
             bad, total = ~np.isfinite(x).all(1) | (not made), np.zeros(len(x))
             x = np.nan_to_num(x)
             for feature, split, left, right, length in made:

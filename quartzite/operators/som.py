@@ -96,7 +96,7 @@ def best_units(df: DataFrame, features: Sequence[str], codebook: np.ndarray, out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column(at).to_pylist(), float).reshape(batch.num_rows, codebook.shape[1])
+            x = batch.column(at).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, codebook.shape[1])
             bad, unit, least = ~np.isfinite(x).all(1), np.zeros(len(x), np.int32), np.zeros(len(x))
             x = np.nan_to_num(x)
             for low in range(0, len(x), rows):
