@@ -56,3 +56,21 @@ def test_polynomials_are_filled(spark):
     rows = [(i, float(i % 13), None if i % 10 == 0 else float((i % 13) ** 2 - 3)) for i in range(200)]
     got = impute.mice(spark.createDataFrame(rows, "id long, a double, b double"), ["a", "b"], "polyreg", sweeps=1, within_range=False)
     assert got.where("id % 10 = 0 and abs(b - (a * a - 3)) > 0.05").count() == 0
+
+
+def test_reachability_of_many_rows(spark):
+    """Over 3,000 rows, copies and an infinite one among them, in the order of a plain walk."""
+    r = np.random.default_rng(5)
+    x = np.concatenate((np.tile(r.normal(size=(300, 2)), (9, 1)), r.normal(size=(400, 2)), [[np.inf, 0.0]]))
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, a double, b double")
+    d = np.sqrt(((x[:-1, None] - x[None, :-1]) ** 2).sum(2))
+    core = np.sort(d, axis=1)[:, 11]
+    reach, left, order = np.full(len(d), np.inf), np.ones(len(d), bool), []
+    while left.any():
+        i = int(np.flatnonzero(left)[reach[left].argmin()])
+        left[i] = False
+        order.append(i)
+        reach[left] = np.minimum(reach[left], np.maximum(core[i], d[i, left]))
+    got = models.reachability(df, "id", ["a", "b"], 12).orderBy("place").collect()
+    want = [(i, p, None if p == 0 else reach[i], core[i]) for p, i in enumerate(order)] + [(len(d), len(d), None, None)]
+    assert [tuple(v) for v in got] == want
