@@ -74,3 +74,34 @@ def test_reachability_of_many_rows(spark):
     got = models.reachability(df, "id", ["a", "b"], 12).orderBy("place").collect()
     want = [(i, p, None if p == 0 else reach[i], core[i]) for p, i in enumerate(order)] + [(len(d), len(d), None, None)]
     assert [tuple(v) for v in got] == want
+
+
+@pytest.mark.parametrize("n, copies", [(1050, 1), (70, 20)])
+def test_isomap_of_many_rows(spark, n, copies):
+    """Over 1,000 rows, in parts that do not meet, against all rows' distances at once."""
+    r = np.random.default_rng(7)
+    x = np.tile(np.concatenate((r.normal(size=(n - 40, 2)) * [3, 1], r.normal(size=(40, 2)) * 0.1 + [20, 5])), (copies, 1))[r.permutation(n * copies)]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    g = np.full_like(d, np.inf)
+    for i, js in enumerate(np.argsort(d, axis=1, kind="stable")[:, 1:11]):
+        g[i, js] = g[js, i] = d[i, js]
+    part = np.arange(len(x))
+    for i, j in np.argwhere(np.isfinite(g)):
+        part[part == part[j]] = part[i]
+    while (part != part[0]).any():
+        inside, outside = np.flatnonzero(part == part[0]), np.flatnonzero(part != part[0])
+        i, j = np.unravel_index(d[np.ix_(inside, outside)].argmin(), (len(inside), len(outside)))
+        i, j = inside[i], outside[j]
+        g[i, j] = g[j, i] = d[i, j]
+        part[part == part[j]] = part[0]
+    np.fill_diagonal(g, 0)
+    for m in range(len(x)):
+        np.minimum(g, g[:, m, None] + g[None, m], out=g)
+    square = g**2
+    values, vectors = np.linalg.eigh(-(square - square.mean(0) - square.mean(1)[:, None] + square.mean()) / 2)
+    want = vectors[:, :-3:-1] * np.sqrt(values[:-3:-1])
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, a double, b double")
+    got = models.embedding(df, "id", ["a", "b"], "isomap").orderBy("id").toArrow()
+    got = np.array([got.column(c).to_numpy() for c in (1, 2)]).T
+    assert np.abs(got) == pytest.approx(np.abs(want), abs=1e-6)
+    assert (np.abs((got * want).sum(0)) == pytest.approx((want**2).sum(0))) and (got[np.abs(got).argmax(0), [0, 1]] > 0).all()
