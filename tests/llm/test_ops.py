@@ -8,6 +8,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -205,6 +206,23 @@ def test_decontamination(spark, none):
     assert decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_decontamination_reads_plain_words_by_the_column(monkeypatch):
+    """No call for each word that is letters and digits only, and the same rows however the texts are cut."""
+    items = [(i, prose(30, 1000 + i)) for i in range(6)] + [(9, "three short words")]
+    texts = [" ".join(f"w{k}x{i}" for i in range(500)) for k in range(10)] + [f" \n{prose(9, 77)} - {t.title()}." for _, t in items] + [None, "", "--", "Three; short\x0bwords"]
+    index, calls = decontaminate.Index(items), []
+    monkeypatch.setattr(decontaminate, "word", lambda t, own=decontaminate.word: calls.append(t) or own(t))
+    found = []
+    for run in (1, 1000, 4 << 20):
+        monkeypatch.setattr(decontaminate, "RUN", run)
+        found.append(list(decontaminate.matches(index, pa.array(texts), {})))
+        assert len(calls) < 1000  # 5,000 words are in no item
+        calls.clear()
+    first = len(decontaminate.words(prose(9, 77)))
+    assert found[0] == found[1] == found[2]
+    assert found[0] == [(10 + k, [(k, 1.0, first + 1)]) for k in range(7)] + [(20, [(6, 1.0, 0)])]
+
+
 # 5: licences
 
 
